@@ -65,3 +65,16 @@ def held_out(doc_id: str, modulus: int, rest: int):
 def ascii_lower(c):
     """A-Z to a-z, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, rest: int, bound: int) -> DataFrame:
+    """doc_id, text, y: at most `bound` labelled documents outside the held-out fold.
+
+    The `bound` labels with the smallest hash of their id are taken, so every size is sampled alike. A document
+    with several label rows counts once, by the largest; null labels and null ids are left out. As the labels
+    are at most `bound` rows, they are broadcast to the documents.
+    """
+    fold = table(spark, sf_dir, "labels").where(~held_out("doc_id", modulus, rest)).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    some = fold.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(text as string) text")
+    return docs.join(F.broadcast(some), "doc_id")
