@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch in this session, so that a worker holds few long texts at once."""
+def prepared(spark: SparkSession) -> None:
+    """Let Python workers import this package, and bound the rows of an Arrow batch, so that a worker holds few long texts at once.
+
+    Workers get the folder of this package as PYTHONPATH; where executors don't have it, ship it with --py-files.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, env["PYTHONPATH"]]) if env.get("PYTHONPATH") else root
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with state: `make` runs once per task and returns the function of a batch."""
-    small_batches(df.sparkSession)
+    prepared(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
