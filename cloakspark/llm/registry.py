@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register a query.
-MODULES = ["bpe", "quality", "toxicity", "licenses", "html_text", "urls", "simhash", "decontaminate", "substrings"]
+MODULES = ["bpe", "quality", "toxicity", "licenses", "html_text", "urls", "simhash", "decontaminate", "substrings", "neighbours"]
 
 _modules = [importlib.import_module(f"cloakspark.llm.{name}") for name in MODULES]
 QUERIES = {k: f for m in _modules for k, f in m.QUERIES.items()}
