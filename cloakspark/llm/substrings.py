@@ -378,7 +378,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     A character of which only some bytes go, goes whole. A null text stays null.
     """
-    rows = _with_ranges(df).select("row.*", "ranges", "again")
+    rows, names = _with_ranges(df).select("row.*", "ranges", "again"), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,7 +387,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raw = (text or "").encode()
                 spans = _spans(raw, ranges, again)
                 texts.append(text if not len(spans) else b"".join([p.encode() for p in _parts(raw, spans)]).decode())
-            columns = {n: b.column(n) for n in df.columns}
+            columns = {n: b.column(n) for n in names}
             columns["text"] = pa.array(texts, columns["text"].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
