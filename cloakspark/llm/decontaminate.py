@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspark.llm._common import table
+from cloakspark.llm._common import checkpointed, table
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -22,19 +22,24 @@ CONSISTENCY = 0.8
 BROADCAST_WINDOWS = 200_000
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s min h hour hours minute minutes second seconds day days week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents degree degrees mph kmh kg w kw v".split()
 _WORD = r"\d+(?:[.,]\d+)*|[\p{L}\p{N}]+|[.!?\n]+"
-_NUMBER, _NAME, _MARK = r"^\d+([.,]\d+)*$", r"^\p{Lu}\p{Ll}+$", r"^[.!?\n]+$"
+_NAME = r"^\p{Lu}\p{Ll}+$"
 
 
 def _canonical(words: Column) -> Column:
     """array<struct<c, o>>: the template word and the original word of each word; sentence ends go."""
+    # the first character tells a number (a digit) and a sentence end from a word, as _WORD is matched in that order
+    number = lambda x: (x >= "0") & (x < ":")
+    mark = lambda x: (x < "0") | x.startswith("?")
+
     def one(x: Column, i: Column) -> Column:
         prev = F.when(i > 0, F.get(words, i - 1))
+        low = F.lower(x)
         kind = (
-            F.when(x.rlike(_MARK), F.lit("."))
-            .when(x.rlike(_NUMBER), F.lit("<number>"))
-            .when(prev.rlike(_NUMBER) & F.lower(x).isin(UNITS), F.lit("<unit>"))
-            .when(x.rlike(_NAME) & prev.isNotNull() & ~prev.rlike(_MARK), F.lit("<name>"))
-            .otherwise(F.lower(x))
+            F.when(mark(x), F.lit("."))
+            .when(number(x), F.lit("<number>"))
+            .when(prev.isNotNull() & number(prev) & low.isin(UNITS), F.lit("<unit>"))
+            .when((low != x) & prev.isNotNull() & ~mark(prev) & x.rlike(_NAME), F.lit("<name>"))
+            .otherwise(low)
         )
         return F.struct(kind.alias("c"), x.alias("o"))
 
@@ -75,6 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id")
     found = own.join(F.broadcast(items) if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "h")
+    found = checkpointed(found)  # few rows, read twice below; the windows of the documents are worked out once
     shared = found.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_shared")).join(sizes, "item_id").where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
     slots = found.where("slots is not null").select("doc_id", "item_id", "slots", F.explode("item_slots").alias("theirs"))
     values = slots.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("theirs").alias("a"), F.col("slots").alias("b"))).alias("p")).select("doc_id", "item_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a is not null and b is not null")
