@@ -242,6 +242,8 @@ def covered(docs: DataFrame) -> DataFrame:
             if len(known):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(known), np.int32)), known.column("doc"), known.column("text"), known.column("packed")], ["kind", "doc", "text", "packed"])
             packed += b.filter(b.column("doc").is_null()).column("packed").to_pylist()
+        if not packed:
+            return
         rows, first, elsewhere = _first(np.frombuffer(b"".join(packed), _STRETCH), "key", "content")
         gone = rows[elsewhere]
         if (out := _by_document(0, gone["doc"], gone["text"], _ranges(gone["at"].astype(np.int64), gone["windows"] + np.int64(LENGTH - 1)))) is not None:
@@ -282,6 +284,8 @@ def covered(docs: DataFrame) -> DataFrame:
         for b in batches:
             packed += b.column("packed").to_pylist()
             data += b.column("data").to_pylist()
+        if not packed:
+            return
         rows, raw = np.frombuffer(b"".join(packed), _GIVEN), b"".join(data)
         ends = np.cumsum(rows["size"].astype(np.int64))
         starts = ends - rows["size"]
