@@ -131,6 +131,24 @@ def stretches_of(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows column by column, which compresses better than row by row."""
+    return b"".join([rows[c].tobytes() for c in rows.dtype.names])
+
+
+def _unpacked(packed: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The rows of several packed blocks."""
+    sizes = [len(p) // kind.itemsize for p in packed]
+    rows, at = np.zeros(sum(sizes), kind), 0
+    for p, n in zip(packed, sizes, strict=True):
+        start = 0
+        for c in kind.names:
+            rows[c][at : at + n] = np.frombuffer(p, kind[c], n, start)
+            start += n * kind[c].itemsize
+        at += n
+    return rows
+
+
 def _by_document(kind: int, doc: np.ndarray, text: np.ndarray, rows: np.ndarray) -> pa.RecordBatch | None:
     """A row per document with its packed rows: kind, doc, text, packed."""
     if not len(doc):
@@ -212,11 +230,11 @@ def _pack_by_key(rows: np.ndarray, buckets: int, contexts: list[bytes] | None =
     new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
     cuts = list(zip(new, [*new[1:], len(rows)], strict=True))
     data = [b"".join([contexts[i] for i in order[a:b].tolist()]) if contexts else b"" for a, b in cuts]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(data, pa.binary())], ["bucket", "packed", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array([_packed(rows[a:b]) for a, b in cuts], pa.binary()), pa.array(data, pa.binary())], ["bucket", "packed", "data"])
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc, text, packed: byte ranges of documents that stand earlier. docs: doc, text (its hash), raw (its bytes)."""
+    """doc, text, packed: byte ranges of documents that stand earlier. docs: doc, text (its hash), row (a struct with text)."""
     spark = docs.sparkSession
     prepared(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -225,7 +243,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = stretches_of(list(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("raw").to_pylist(), strict=True)))
+            rows = stretches_of(list(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), _raw(b.column("row")), strict=True)))
             rows, first, elsewhere = _first(rows, "key", "content")
             if (out := _pack_by_key(rows[first], buckets)) is not None:
                 yield pa.RecordBatch.from_arrays([out.column(0), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), out.column(1)], ["bucket", "doc", "text", "packed"])
@@ -244,7 +262,7 @@ def covered(docs: DataFrame) -> DataFrame:
             packed += b.filter(b.column("doc").is_null()).column("packed").to_pylist()
         if not packed:
             return
-        rows, first, elsewhere = _first(np.frombuffer(b"".join(packed), _STRETCH), "key", "content")
+        rows, first, elsewhere = _first(_unpacked(packed, _STRETCH), "key", "content")
         gone = rows[elsewhere]
         if (out := _by_document(0, gone["doc"], gone["text"], _ranges(gone["at"].astype(np.int64), gone["windows"] + np.int64(LENGTH - 1)))) is not None:
             yield out
@@ -264,7 +282,7 @@ def covered(docs: DataFrame) -> DataFrame:
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, contexts = [], []
-            for doc, text, raw, wants in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "raw", "wanted")), strict=True):
+            for doc, text, raw, wants in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), _raw(b.column("row")), b.column("wanted").to_pylist(), strict=True):
                 want = np.frombuffer(b"".join(wants), _WANTED)
                 for key, at, windows, hot in want.tolist():
                     if not hot:
@@ -286,7 +304,7 @@ def covered(docs: DataFrame) -> DataFrame:
             data += b.column("data").to_pylist()
         if not packed:
             return
-        rows, raw = np.frombuffer(b"".join(packed), _GIVEN), b"".join(data)
+        rows, raw = _unpacked(packed, _GIVEN), b"".join(data)
         ends = np.cumsum(rows["size"].astype(np.int64))
         starts = ends - rows["size"]
         order = np.lexsort((rows["at"], rows["text"], rows["doc"], rows["key"]))
@@ -324,20 +342,26 @@ def covered(docs: DataFrame) -> DataFrame:
             if (out := _by_document(0, doc, text, ranges)) is not None:
                 yield out
 
-    keyed = docs.mapInArrow(hashed, "bucket int, doc long, text long, packed binary").repartition(partitions, "bucket")
+    # the hashing reads the text alone; the join below carries whole rows, so that the last join can use the same shuffle
+    keyed = docs.select("doc", "text", F.struct("row.text").alias("row")).mapInArrow(hashed, "bucket int, doc long, text long, packed binary").repartition(partitions, "bucket")
     facts = keyed.mapInArrow(compared, per_document)
     wanted = facts.where("kind = 1").groupBy("doc", "text").agg(F.collect_list("packed").alias("wanted")).withColumnsRenamed({"doc": "d", "text": "t"})
-    bytes_ = docs.join(wanted, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t"))).select("doc", "text", "raw", "wanted").mapInArrow(given, "bucket int, packed binary, data binary")
+    bytes_ = docs.join(wanted, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t"))).select("doc", "text", "row", "wanted").mapInArrow(given, "bucket int, packed binary, data binary")
     more = bytes_.repartition(partitions, "bucket").mapInArrow(sorted_out, per_document)
     return facts.where("kind = 0").unionByName(more).select("doc", "text", "packed")
 
 
+def _raw(rows: pa.StructArray) -> list[bytes]:
+    """The texts of some rows as bytes, null as empty."""
+    return [(t or "").encode() for t in rows.field("text").to_pylist()]
+
+
 def _with_ranges(df: DataFrame) -> DataFrame:
-    """The rows of `df` (doc_id, text first) with raw, ranges (packed) and again (a row like an earlier one)."""
-    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    """row (all columns of `df`), ranges (packed) and again (a row like an earlier one) of every row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("text"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     gone = covered(docs).groupBy("doc", "text").agg(F.collect_list("packed").alias("ranges")).withColumnsRenamed({"doc": "d", "text": "t"})
-    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("text"))
-    joined = whole.join(gone, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t")), "left")
+    joined = docs.join(gone, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t")), "left")
     return joined.withColumn("again", F.row_number().over(Window.partitionBy("doc", "text").orderBy("doc")) > 1).select("row", "ranges", "again")
 
 
@@ -363,16 +387,16 @@ def digests(df: DataFrame) -> DataFrame:
     and different texts are ordered by the hash of the text, and of equal rows one comes first. Other columns aren't
     read.
     """
-    rows = _with_ranges(df.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary").alias("raw"), "ranges", "again")
+    rows = _with_ranges(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw, ranges, again in zip(*(b.column(c).to_pylist() for c in ("raw", "ranges", "again")), strict=True):
+            for raw, ranges, again in zip(_raw(b.column("row")), b.column("ranges").to_pylist(), b.column("again").to_pylist(), strict=True):
                 spans = _spans(raw, ranges, again)
                 out.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(_rest(raw, spans)).hexdigest()))
             n, removed, spans, digest = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("row").field("doc_id"), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(run, SCHEMA)
 
