@@ -61,7 +61,7 @@ def value_pattern(value: Column) -> Column:
 def stitched(text: Column, pattern: str | Column, each: Callable[[Column], Column]) -> Column:
     """The text with every match replaced by `each` of it. A text without a match is searched once and stays as it is."""
     pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0), lambda gap, m: F.concat(gap, F.coalesce(each(m), F.lit(""))))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0), lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(each(m))))
     return F.when(F.regexp_like(text, pattern), F.array_join(pairs, "")).otherwise(text)
 
 
@@ -69,7 +69,7 @@ def stitched_parts(text: Column, before: str, value: str, after: str, ignore_cas
     """The text with the value part of every match replaced by `each` of it."""
     pattern = F.lit(java(f"({before})({value})({after})", ignore_case))
     groups = F.arrays_zip(*(F.regexp_extract_all(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)))
-    pairs = F.zip_with(F.split(text, pattern, -1), groups, lambda gap, g: F.concat(gap, F.coalesce(F.concat(g["g1"], each(g["g2"]), g["g3"]), F.lit(""))))
+    pairs = F.zip_with(F.split(text, pattern, -1), groups, lambda gap, g: F.concat(gap, F.when(g.isNull(), "").otherwise(F.concat(g["g1"], each(g["g2"]), g["g3"]))))
     return F.when(F.regexp_like(text, pattern), F.array_join(pairs, "")).otherwise(text)
 
 

@@ -30,7 +30,7 @@ def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str, rules=P.TEX
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<string>").alias("found"))
     for k, (label, pattern) in enumerate(rules):  # one projection per pattern, as each reads what the one before left
         matches = F.transform(F.regexp_extract_all("text", F.lit(P.java(pattern)), 0), coded(label, k))
-        df = df.select("id", masked_text(F.col("text"), run_id, ((label, pattern),)).alias("text"), F.concat("found", matches).alias("found"))
+        df = df.select("id", masked_text(F.col("text"), run_id, label, pattern).alias("text"), F.concat("found", matches).alias("found"))
     rows = df.select("id", F.explode_outer("found").alias("m")).where("m is not null").select("id", F.split("m", "\x01", 4).alias("m"))
     label, raw = F.col("m")[0], F.col("m")[3]
     return rows.select(T.placeholder(run_id, label, raw).alias("placeholder"), label.alias("label"), raw.alias("raw"), F.struct("id", F.col("m")[1].cast("int").alias("rule"), F.col("m")[2].cast("int").alias("at")).alias("ord"))

@@ -30,17 +30,15 @@ def hashed_cells(df: DataFrame, fields) -> DataFrame:
     )
 
 
-def masked_text(text: Column, run_id: str, rules=P.TEXT_PATTERNS) -> Column:
-    """Plain text after the ordered patterns."""
-    for label, pattern in rules:
-        text = T.stitched(text, P.java(pattern), lambda m, label=label: F.when(T.is_token(m), m).otherwise(T.placeholder(run_id, label, m)))
-    return text
+def masked_text(text: Column, run_id: str, label: str, pattern: str) -> Column:
+    """Plain text after one pattern."""
+    return T.stitched(text, P.java(pattern), lambda m: F.when(T.is_token(m), m).otherwise(T.placeholder(run_id, label, m)))
 
 
 def masked_in_steps(df: DataFrame, column: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
-    """As masked_text, one projection per pattern, so that each reads a column and not the nested expression of all before."""
-    for rule in rules:
-        df = df.withColumn(column, masked_text(F.col(column), run_id, (rule,)))
+    """The ordered patterns, one projection each: nested in one expression, each step would repeat all before it several times."""
+    for label, pattern in rules:
+        df = df.withColumn(column, masked_text(F.col(column), run_id, label, pattern))
     return df
 
 
@@ -104,14 +102,14 @@ def masked_notes(df: DataFrame, columns: list[str], run_id: str, rules=P.NOTE_PA
     return df
 
 
-def pseudonymised_names(text: Column, run_id: str) -> Column:
+def pseudonymised_names(df: DataFrame, column: str, run_id: str) -> DataFrame:
     """Names in context: the first word becomes a FIRSTNAME token, the rest a LASTNAME token."""
 
     def tokens(name: Column) -> Column:
-        parts = F.split(name, java_space, 2)
-        return F.concat(T.placeholder(run_id, "FIRSTNAME", parts[0], digits=8), F.when(F.size(parts) > 1, F.concat(F.lit(" "), T.placeholder(run_id, "LASTNAME", F.get(parts, F.lit(1)), digits=8))).otherwise(""))
+        parts = F.split(name, P.java(r"\s+"), 2)
+        last = F.when(F.size(parts) > 1, F.concat(F.lit(" "), T.placeholder(run_id, "LASTNAME", F.get(parts, F.lit(1)), digits=8))).otherwise("")
+        return F.concat(T.placeholder(run_id, "FIRSTNAME", parts[0], digits=8), last)
 
-    java_space = P.java(r"\s+")
     for before, name, after, ignore_case in P.NAME_CONTEXTS:
-        text = T.stitched_parts(text, before, name, after, ignore_case, tokens)
-    return text
+        df = df.withColumn(column, T.stitched_parts(F.col(column), before, name, after, ignore_case, tokens))
+    return df

@@ -122,7 +122,7 @@ def mask_document(spark, d):
 
 
 def pseudonym_names(spark, d):
-    return fixture(spark, d, X.NUMBERED).select("doc_id", K.pseudonymised_names(F.col("text"), RUN).alias("text"))
+    return K.pseudonymised_names(fixture(spark, d, X.NUMBERED), "text", RUN)
 
 
 def _records(spark, d):
