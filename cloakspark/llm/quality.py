@@ -69,7 +69,9 @@ class Trees:
         rows = np.arange(len(x))[:, None]
         while len(t) and inner and node[0, 0] < inner:
             node = 2 * node + 1 + (x[rows, self.feature[t, node]] > self.threshold[t, node])
-        z = self.base + (self.leaf[t, node - inner].sum(axis=1) if len(t) else 0.0)
+        z = np.full(len(x), self.base)
+        if len(t):
+            z += self.leaf[t, node - inner].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
