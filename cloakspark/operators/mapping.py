@@ -19,7 +19,7 @@ def first_seen(found: DataFrame) -> DataFrame:
     return found.groupBy("placeholder").agg(F.min_by("raw", F.struct("ord", "raw")).alias("original_value"))
 
 
-def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
+def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str) -> DataFrame:
     """placeholder, label, raw, ord of every match of the patterns, each in the text that the patterns before it left."""
     from cloakspark.operators.masking import masked_text
 
@@ -28,7 +28,8 @@ def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str, rules=P.TEX
         return lambda m, i: F.concat_ws("\x01", F.lit(label), F.lit(str(rule)), i.cast("string"), m)
 
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<string>").alias("found"))
-    for k, (label, pattern) in enumerate(rules):  # one projection per pattern, as each reads what the one before left
+    df = df.where(F.col("text").rlike(P.java(P.TEXT_NEEDS)))
+    for k, (label, pattern) in enumerate(P.TEXT_PATTERNS):  # one projection per pattern, as each reads what the one before left
         matches = F.transform(F.regexp_extract_all("text", F.lit(P.java(pattern)), 0), coded(label, k))
         df = df.select("id", masked_text(F.col("text"), run_id, label, pattern).alias("text"), F.concat("found", matches).alias("found"))
     rows = df.select("id", F.explode_outer("found").alias("m")).where("m is not null").select("id", F.split("m", "\x01", 4).alias("m"))

@@ -35,11 +35,15 @@ def masked_text(text: Column, run_id: str, label: str, pattern: str) -> Column:
     return T.stitched(text, P.java(pattern), lambda m: F.when(T.is_token(m), m).otherwise(T.placeholder(run_id, label, m)))
 
 
-def masked_in_steps(df: DataFrame, column: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
-    """The ordered patterns, one projection each: nested in one expression, each step would repeat all before it several times."""
-    for label, pattern in rules:
-        df = df.withColumn(column, masked_text(F.col(column), run_id, label, pattern))
-    return df
+def masked_in_steps(df: DataFrame, column: str, run_id: str) -> DataFrame:
+    """The ordered patterns, one projection each: nested in one expression, each step would repeat all before it several times.
+
+    A text without a character that every pattern needs is read once and skips all steps.
+    """
+    df = df.withColumn("__any", F.col(column).rlike(P.java(P.TEXT_NEEDS)))
+    for label, pattern in P.TEXT_PATTERNS:
+        df = df.withColumn(column, F.when(F.col("__any"), masked_text(F.col(column), run_id, label, pattern)).otherwise(F.col(column)))
+    return df.drop("__any")
 
 
 def masked_supplemental(df: DataFrame, column: str, run_id: str, rules=P.SUPPLEMENTAL_PATTERNS) -> DataFrame:
