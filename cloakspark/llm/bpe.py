@@ -28,7 +28,7 @@ from cloakspark.llm._common import map_batches, table, texts_of
 #: Symbols from which a word is merged with a heap.
 LONG_WORD = 96
 #: Words whose encoding a worker remembers as young; when full they become the old ones, and the old ones go.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 #: Above every rank of a merge.
 NO_RANK = 1 << 40
 #: Unicode White_Space, which is what the vocabulary's normaliser takes as white space.
