@@ -47,49 +47,88 @@ def _canonical(words: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str) -> DataFrame:
-    """key, h, slots: every window of template words; slots are the original words where it has placeholders, else null.
+    """key, t, i, m, w, h, b, slots: every window of template words, from word i on, of m words.
 
-    Texts of fewer words are one window; texts without words have none. df: key, text.
+    t tells the texts of a key apart; b is false. slots are the original words where the window has placeholders, else
+    null. Texts of fewer words are one window; texts without words have none. df: key, text.
     """
-    words = df.select(key, F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), 0).alias("words")).select(key, _canonical(F.col("words")).alias("pairs"))
-    words = words.select(key, F.col("pairs.c").alias("c"), F.col("pairs.o").alias("o"), F.size("pairs").alias("n"))
+    words = df.select(key, F.xxhash64("text").alias("t"), F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), 0).alias("words")).select(key, "t", _canonical(F.col("words")).alias("pairs"))
+    words = words.select(key, "t", F.col("pairs.c").alias("c"), F.col("pairs.o").alias("o"), F.size("pairs").alias("n"))
 
     def window(i: Column) -> Column:
         parts = [F.get(F.col("c"), i + k) for k in range(WINDOW)]
         slotted = F.lit(False)
         for p in parts:
             slotted = slotted | F.coalesce(p.startswith("<"), F.lit(False))
-        return F.struct(F.xxhash64(*parts).alias("h"), F.when(slotted, F.transform(F.sequence(i, i + WINDOW - 1), lambda k: F.when(F.get(F.col("c"), k).startswith("<"), F.get(F.col("o"), k)))).alias("slots"))
+        slots = F.when(slotted, F.transform(F.sequence(i, i + WINDOW - 1), lambda k: F.when(F.get(F.col("c"), k).startswith("<"), F.get(F.col("o"), k))))
+        return F.struct(i.alias("i"), F.least(F.col("n"), F.lit(WINDOW)).alias("m"), F.xxhash64(*parts).alias("h"), slots.alias("slots"))
 
     # no filter on these columns, and an outer explode: a predicate would be pushed below the projections and inlined
     # into the lambdas, which then work out the words anew for each word
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0))))
-    return words.select(key, F.transform(starts, window).alias("w")).select(key, F.explode_outer("w").alias("w")).select(key, "w.h", "w.slots").where("h is not null")
+    found = words.select(key, "t", F.transform(starts, window).alias("w")).select(key, "t", F.explode_outer("w").alias("w"))
+    return found.select(key, "t", "w.i", "w.m", F.col("w.h").alias("w"), "w.h", F.lit(False).alias("b"), "w.slots").where("h is not null")
+
+
+def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, consistency: the share of slot pairs that map one to one by majority. pairs: keys, theirs, slots."""
+    values = pairs.where("slots is not null and theirs is not null").select(*keys, F.explode(F.arrays_zip(F.col("theirs").alias("a"), F.col("slots").alias("b"))).alias("p")).select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a is not null and b is not null")
+    n = values.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+    to = n.groupBy(*keys, "a").agg(F.max_by("b", F.struct("n", "b")).alias("best_b"))
+    back = n.groupBy(*keys, "b").agg(F.max_by("a", F.struct("n", "a")).alias("best_a"))
+    return n.join(to, [*keys, "a"]).join(back, [*keys, "b"]).groupBy(*keys).agg((F.sum(F.when((F.col("best_b") == F.col("b")) & (F.col("best_a") == F.col("a")), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
+
+
+def judged(shared: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_shared, n_windows, share, consistency of what is similar and consistent enough. shared: keys, n_shared, n_windows."""
+    shared = shared.where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
+    out = shared.join(agreement(pairs, keys), keys, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    return out.where(F.col("consistency") >= CONSISTENCY).select(*keys, "n_shared", "n_windows", (F.col("n_shared") / F.col("n_windows")).alias("share"), "consistency")
+
+
+def occurrences(met: DataFrame) -> DataFrame:
+    """keys, place, w, theirs, slots: for each place of a text where an item may begin, the nearest match of each of the item's windows.
+
+    A match votes for the places around its own, as words may be put in or left out: as many as windows may be missing.
+    """
+    keys = ["doc_id", "item_id"]
+    at, reach = F.col("i") - F.col("their_i"), F.floor((1 - SIMILARITY) * F.col("n_windows")).cast("int")
+    near = met.withColumn("place", F.explode(F.sequence(at - reach, at + reach)))
+    near = near.groupBy(*keys, "t", "place", "their_i").agg(F.min_by(F.struct("w", "theirs", "slots", "n_windows"), F.struct(F.abs(at - F.col("place")), F.col("b").cast("int"), F.col("i"))).alias("m"))
+    return near.select(*keys, "t", "place", "m.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_windows, share, consistency: a row per document and benchmark item that it holds.
 
+    The windows of a whole document are judged together first. A document that falls short with that holds an item if
+    one occurrence of it does: the item's windows at one place; the figures are then those of the most consistent one.
+
     docs: doc_id, text; benchmark: item_id, text; other columns aren't read. Null or empty texts hold nothing and are
     held by nothing; rows with equal ids count as one document; rows with a null id can't be named and are left out.
     An item without placeholders has consistency 1.
     """
-    # one row per item and window: the windows' own slots are kept in an array, as a window may stand twice
-    items = windows(benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null"), "item_id").distinct()
-    items = items.groupBy("item_id", "h").agg(F.collect_list("slots").alias("item_slots"))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id")
+    keys = ["doc_id", "item_id"]
+    each = checkpointed(windows(benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null"), "item_id"))
+    # one row per item and window: the windows' own places and slots are kept in an array, as a window may stand twice
+    items = each.groupBy("item_id", "h").agg(F.collect_set(F.struct(F.col("i").alias("their_i"), "w", "b", F.col("slots").alias("theirs"))).alias("item_windows"))
+    sizes = each.where("not b").groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id").drop("m", "w")
     found = own.join(F.broadcast(items) if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "h")
-    found = checkpointed(found)  # few rows, read twice below; the windows of the documents are worked out once
-    shared = found.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_shared")).join(sizes, "item_id").where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
-    slots = found.where("slots is not null").select("doc_id", "item_id", "slots", F.explode("item_slots").alias("theirs"))
-    values = slots.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("theirs").alias("a"), F.col("slots").alias("b"))).alias("p")).select("doc_id", "item_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a is not null and b is not null")
-    n = values.groupBy("doc_id", "item_id", "a", "b").agg(F.count("*").alias("n"))
-    to = n.groupBy("doc_id", "item_id", "a").agg(F.max_by("b", F.struct("n", "b")).alias("best_b"))
-    back = n.groupBy("doc_id", "item_id", "b").agg(F.max_by("a", F.struct("n", "a")).alias("best_a"))
-    agree = n.join(to, ["doc_id", "item_id", "a"]).join(back, ["doc_id", "item_id", "b"]).groupBy("doc_id", "item_id").agg((F.sum(F.when((F.col("best_b") == F.col("b")) & (F.col("best_a") == F.col("a")), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
-    out = shared.join(agree, ["doc_id", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.where(F.col("consistency") >= CONSISTENCY).select("doc_id", "item_id", "n_shared", "n_windows", (F.col("n_shared") / F.col("n_windows")).alias("share"), "consistency")
+    found = checkpointed(found)  # few rows, read again below; the windows of the documents are worked out once
+    first = found.withColumn("item_windows", F.filter("item_windows", lambda x: ~x["b"])).where("not b and size(item_windows) > 0")
+    shared = first.groupBy(*keys).agg(F.countDistinct("h").alias("n_shared")).join(sizes, "item_id")
+    pairs = first.where("slots is not null").select(*keys, "slots", F.explode(F.array_distinct(F.transform("item_windows", lambda x: x["theirs"]))).alias("theirs"))
+    whole = checkpointed(judged(shared, pairs, keys))
+    rest = found.join(whole, keys, "left_anti")
+    met = rest.select(*keys, "t", "i", "slots", F.col("b").alias("mine"), F.explode("item_windows").alias("x")).select(*keys, "t", "i", "slots", "x.their_i", "x.w", "x.theirs", (F.col("mine") | F.col("x.b")).alias("b"))
+    enough = met.groupBy(*keys).agg(F.countDistinct("w").alias("n_shared")).join(sizes, "item_id").where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
+    met = checkpointed(met.join(enough, keys))
+    places = checkpointed(occurrences(met))
+    placed = [*keys, "t", "place"]
+    one = judged(places.groupBy(*placed).agg(F.countDistinct("w").alias("n_shared"), F.first("n_windows").alias("n_windows")), places, placed).drop("t", "place")
+    best = one.unionByName(judged(enough, met, keys)).groupBy(*keys).agg(F.max(F.struct("consistency", "n_shared", "n_windows", "share")).alias("m"))
+    return whole.unionByName(best.select(*keys, "m.n_shared", "m.n_windows", "m.share", "m.consistency"))
 
 
 def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
