@@ -46,28 +46,46 @@ def _canonical(words: Column) -> Column:
     return F.filter(F.transform(words, one), lambda p: p["c"] != ".")
 
 
-def windows(df: DataFrame, key: str) -> DataFrame:
+def windows(df: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
     """key, t, i, m, w, h, b, slots: every window of template words, from word i on, of m words.
 
-    t tells the texts of a key apart; b is false. slots are the original words where the window has placeholders, else
-    null. Texts of fewer words are one window; texts without words have none. df: key, text.
+    t tells the texts of a key apart. slots are the original words where the window has placeholders, else null. A
+    window with a capitalised word that may be a name at the start of a sentence has a second row (b) that reads all
+    such words as names; h is the hash of the row's reading and w that of the first. Texts of fewer words are one
+    window; texts without words have none. `short` has lengths below WINDOW at which longer texts are windowed too.
+    df: key, text.
     """
     words = df.select(key, F.xxhash64("text").alias("t"), F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), 0).alias("words")).select(key, "t", _canonical(F.col("words")).alias("pairs"))
-    words = words.select(key, "t", F.col("pairs.c").alias("c"), F.col("pairs.o").alias("o"), F.size("pairs").alias("n"))
+    words = words.select(key, "t", F.transform("pairs", lambda p: p["c"]).alias("c"), F.transform("pairs", lambda p: p["o"]).alias("o"), F.size("pairs").alias("n"))
 
-    def window(i: Column) -> Column:
-        parts = [F.get(F.col("c"), i + k) for k in range(WINDOW)]
+    def capital(x: Column, i: Column) -> Column:
+        own = F.get(F.col("o"), i)
+        return F.when((x != own) & ~x.startswith("<") & own.rlike(_NAME), F.lit("<name>")).otherwise(x)
+
+    words = words.select(key, "t", "c", "o", "n", F.transform("c", capital).alias("d"))
+    every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))
+    words = words.select(key, "t", "c", "d", "o", "n", F.filter(every, lambda i: F.get(F.col("c"), i) != F.get(F.col("d"), i)).alias("starts"))
+
+    def window(i: Column, size: int, second: bool) -> Column:
+        parts = [F.get(F.col("d" if second else "c"), i + k) for k in range(size)]
         slotted = F.lit(False)
         for p in parts:
             slotted = slotted | F.coalesce(p.startswith("<"), F.lit(False))
-        slots = F.when(slotted, F.transform(F.sequence(i, i + WINDOW - 1), lambda k: F.when(F.get(F.col("c"), k).startswith("<"), F.get(F.col("o"), k))))
-        return F.struct(i.alias("i"), F.least(F.col("n"), F.lit(WINDOW)).alias("m"), F.xxhash64(*parts).alias("h"), slots.alias("slots"))
+        slots = F.when(slotted, F.transform(F.sequence(i, i + size - 1), lambda k: F.when(F.get(F.col("d" if second else "c"), k).startswith("<"), F.get(F.col("o"), k))))
+        w = F.xxhash64(*[F.get(F.col("c"), i + k) for k in range(size)])
+        return F.struct(i.alias("i"), F.least(F.col("n"), F.lit(size)).alias("m"), w.alias("w"), (F.xxhash64(*parts) if second else F.lit(None).cast("long")).alias("h"), F.lit(second).alias("b"), slots.alias("slots"))
+
+    def both(size: int) -> list[Column]:
+        last = F.greatest(F.col("n") - size, F.lit(0))
+        whole = F.col("n") > (0 if size == WINDOW else size)
+        near = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(F.greatest(p - size + 1, F.lit(0)), F.least(p, last)))))
+        empty = F.array().cast("array<int>")
+        return [F.transform(F.when(whole, F.sequence(F.lit(0), last)).otherwise(empty), lambda i: window(i, size, False)), F.transform(F.when(whole, near).otherwise(empty), lambda i: window(i, size, True))]
 
     # no filter on these columns, and an outer explode: a predicate would be pushed below the projections and inlined
     # into the lambdas, which then work out the words anew for each word
-    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0))))
-    found = words.select(key, "t", F.transform(starts, window).alias("w")).select(key, "t", F.explode_outer("w").alias("w"))
-    return found.select(key, "t", "w.i", "w.m", F.col("w.h").alias("w"), "w.h", F.lit(False).alias("b"), "w.slots").where("h is not null")
+    found = words.select(key, "t", F.concat(*[x for size in (WINDOW, *short) for x in both(size)]).alias("w"))
+    return found.select(key, "t", F.explode_outer("w").alias("w")).select(key, "t", "w.i", "w.m", "w.w", F.coalesce("w.h", "w.w").alias("h"), "w.b", "w.slots").where("h is not null")
 
 
 def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,8 +119,9 @@ def occurrences(met: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_windows, share, consistency: a row per document and benchmark item that it holds.
 
-    The windows of a whole document are judged together first. A document that falls short with that holds an item if
-    one occurrence of it does: the item's windows at one place; the figures are then those of the most consistent one.
+    The windows of a whole document are judged together first, read as in `_canonical`. A document that falls short
+    with that holds an item if one occurrence of it does: the item's windows at one place, in either reading (see
+    `windows`), or all windows in either reading; the figures are then those of the most consistent one.
 
     docs: doc_id, text; benchmark: item_id, text; other columns aren't read. Null or empty texts hold nothing and are
     held by nothing; rows with equal ids count as one document; rows with a null id can't be named and are left out.
@@ -110,10 +129,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "item_id"]
     each = checkpointed(windows(benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null"), "item_id"))
+    short = tuple(sorted(r["m"] for r in each.where(F.col("m") < WINDOW).select("m").distinct().collect()))
     # one row per item and window: the windows' own places and slots are kept in an array, as a window may stand twice
     items = each.groupBy("item_id", "h").agg(F.collect_set(F.struct(F.col("i").alias("their_i"), "w", "b", F.col("slots").alias("theirs"))).alias("item_windows"))
     sizes = each.where("not b").groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id").drop("m", "w")
+    own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id", short).drop("m", "w")
     found = own.join(F.broadcast(items) if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "h")
     found = checkpointed(found)  # few rows, read again below; the windows of the documents are worked out once
     first = found.withColumn("item_windows", F.filter("item_windows", lambda x: ~x["b"])).where("not b and size(item_windows) > 0")

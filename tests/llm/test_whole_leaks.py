@@ -18,3 +18,11 @@ def held(spark, items, docs):
 def test_each_occurrence_is_judged_by_itself(spark):
     docs = [REPEATS, f"{TRAIN} {OTHER_TRAIN}", f"{REPEATS} and so on {REPEATS}", "At noon Tom has 3 apples and then he went home to sleep."]
     assert held(spark, [REPEATS, TRAIN], docs) == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_names_at_sentence_starts_and_short_items(spark):
+    ask = "Tom has 3 apples. Ann gives him 5 more apples. Tom eats 2 of them. How many apples are left?"
+    again = "Bob has 4 apples. Eve gives him 8 more apples. Bob eats 1 of them. How many apples are left?"
+    other = "Bob has 4 apples. Bob gives Eve 8 of them. How many are in the house of the man then?"
+    docs = [again, f"so they say that {again}", other, "we all know that Paris beats Rome these days", "a longer text with xyzzy plugh in it", "a longer text with xyzzy and plugh", "xyzzy plugh"]
+    assert held(spark, [ask, "Paris beats Rome", "xyzzy plugh"], docs) == {(0, 0), (1, 0), (3, 1), (4, 2), (6, 2)}
