@@ -4,8 +4,9 @@ A page is a stream of structural tags and texts. Adjacent repetitions in a strea
 `( ... )+`, texts become slots `#`. Streams of one host are aligned one after the other with the wrapper so far;
 where they differ, the differing stretch becomes an optional group `( ... )?`. Next to the wrapper of a host stand
 sums over its slots: how much text they hold, and whether it varies from page to page. Slots in containers that
-never hold an article (menus, footers, adverts ...) are left out; of the rest the container whose slots hold most
-varying text is the host's main container. A page then gives the blocks of its host's main container.
+never hold an article (menus, footers, adverts ...) are left out; of the rest the smallest container of all slots in
+article elements, or else of all that vary, is the host's main container. A page then gives the blocks of its article
+elements, or else of its host's main container. Sums over containers decide this; the wrapper does not.
 
 Streams are reduced to distinct (host, folded stream) pairs and slot sums to (host, container) before anything is
 gathered by host, so a host with a third of all pages brings no more rows than its number of layouts.
@@ -67,8 +68,10 @@ class Element:
             for a in _ATTRIBUTE.finditer(rest):
                 words += re.split(r"[\s_-]+", (a[2] or a[3] or a[4] or "").lower())
         self.name = name
+        # marker words on the page's own roots tell of its layout; an article in an article may be a comment
+        root = name in ("html", "body", "main") or (name == "article" and not (parent and parent.within))
         self.within = bool(parent and parent.within) or name in _ARTICLE or not _ARTICLE_WORDS.isdisjoint(words)
-        self.never = bool(parent and parent.never) or name in _NEVER or not _NEVER_WORDS.isdisjoint(words) or (name == "header" and not (parent and parent.within))
+        self.never = bool(parent and parent.never) or name in _NEVER or (not root and not _NEVER_WORDS.isdisjoint(words)) or (name == "header" and not (parent and parent.within))
         marks = [w for w in words if w and not any(c.isdigit() for c in w)]
         self.key = ".".join([name, *marks[:3]])
         self.path = f"{parent.path}/{self.key}" if parent else self.key
@@ -212,15 +215,15 @@ def main_container(wrapper: str, slots: dict[str, tuple[int, bool, bool]]) -> st
         for k in range(1, len(parts) + 1):
             total["/".join(parts[:k])] += usable[p][0]
     every = max(total.values())
-    # the innermost container that still holds nearly all of the usable text
-    return max((p for p, n in total.items() if n >= 0.8 * every), key=lambda p: (p.count("/"), p))
+    # the innermost container that holds all of the usable text
+    return max((p for p, n in total.items() if n == every), key=lambda p: (p.count("/"), p))
 
 
 def article(blocks: list, main: str) -> str:
-    """The text of the blocks in the main container; where a page lacks it, of its article elements, else of all usable blocks."""
+    """The text of the blocks in the page's article elements; where it has none, in the main container, else of all usable blocks."""
     usable = [(e, t) for _, e, t in blocks if not (e and e.never)]
     under = lambda e: e is not None and (e.path == main or e.path.startswith(main + "/"))
-    chosen = [t for e, t in usable if main and under(e)] or [t for e, t in usable if e and e.within] or [t for _, t in usable]
+    chosen = [t for e, t in usable if e and e.within] or [t for e, t in usable if main and under(e)] or [t for _, t in usable]
     return "\n".join(chosen)
 
 
