@@ -131,8 +131,8 @@ def dependencies(mapping: DataFrame) -> DataFrame:
 def cycles(mapping: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     """placeholder: tokens on a cycle that the returned tokens reach. roots: placeholder.
 
-    Reachability from the roots, then from each reached token back to itself, as unions of joins until nothing new
-    comes; `depth` bounds the length of a chain of values, and an error says so if it's not enough.
+    Reachability from the roots, where `depth` bounds the length of a chain of values, and an error says so if it's not
+    enough; then paths from each reached token back to itself, which double their length until nothing new comes.
     """
     edges = dependencies(mapping).distinct()
     reach = roots.select(F.col("placeholder").alias("node")).distinct()
@@ -146,15 +146,12 @@ def cycles(mapping: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     else:
         raise ValueError(f"values are nested deeper than {depth}")
     near = checkpointed(edges.join(seen, edges["source"] == seen["node"], "left_semi"))
-    step = near.select(F.col("source").alias("s"), F.col("target").alias("t"))
-    paths = known = near
-    for _ in range(depth):
-        longer = paths.join(step, paths["target"] == step["s"]).select("source", F.col("t").alias("target")).distinct()
-        old = known.select(F.col("source").alias("s"), F.col("target").alias("t"))
-        paths = checkpointed(longer.join(old, (longer["source"] == old["s"]) & (longer["target"] == old["t"]), "left_anti"))
-        if paths.isEmpty():
-            break
-        known = checkpointed(known.unionByName(paths))
+    known, before, n = near, -1, near.count()
+    while n > before:
+        on = known.select(F.col("source").alias("s"), F.col("target").alias("t"))
+        longer = known.join(on, known["target"] == on["s"]).select("source", F.col("t").alias("target"))
+        known = checkpointed(known.select("source", "target").unionByName(longer).distinct())
+        before, n = n, known.count()
     return known.where("source = target").select(F.col("source").alias("placeholder")).distinct()
 
 
