@@ -98,7 +98,7 @@ class Scanner:
             self.seeds.make_automaton()
 
     def spans(self, joined: str) -> list[Span]:
-        """All matches in order of their start; of a notice with edits, the best in each neighbourhood of seeds."""
+        """All matches in order of their start; of a notice with edits, all in each neighbourhood of seeds that don't overlap, the best first."""
         found: list[Span] = []
         around: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(joined) if len(self.seeds) else ():
@@ -117,7 +117,14 @@ class Scanner:
         for k, ranges in around.items():
             n, pattern = self.notices[k], self.patterns[k]
             for a, b in ranges:
-                for m in pattern.finditer(joined, a, min(b, len(joined))):
+                # the best match of a range, then those of what is left on either side of it
+                rest = [(a, min(b, len(joined)))]
+                while rest:
+                    a, b = rest.pop()
+                    m = pattern.search(joined, a, b) if b - a >= len(n.words) - n.edits else None
+                    if not m or m.end() == m.start():
+                        continue
+                    rest += [(a, m.start()), (m.end(), b)]
                     # edits at the rim of a match are spaces of the neighbouring words
                     start, end = m.span()
                     while start < end and joined[start] == " ":
