@@ -149,6 +149,12 @@ def residual_counts(spark, d):
     return S.residual_counts(_documents(spark, d), "text").where(~F.col("name").isin("phone", "card_or_account", "contextual_identifier", "currency_amount"))
 
 
+def residual_counts_all(spark, d):
+    """All counters, over documents and pages."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("html")
+    return S.residual_counts(_documents(spark, d).select("text").union(pages), "text")
+
+
 def residual_after_mask(spark, d):
     return S.residual_counts(K.masked_document(fixture(spark, d, X.NUMBERED), "text", RUN), "text")
 
@@ -415,7 +421,7 @@ QUERIES = {
     for f in (
         mask_text_patterns, mapping_first_seen, mapping_collisions, placeholder_counts, rehydrate_single, rehydrate_multipass, mapping_cycles, unresolved_count, integrity_full_outer, integrity_summary,
         mask_static_columns, mask_index, mask_cell_md5, mask_known_values, mask_free_text_det, mask_supplemental, candidates_propagate, mask_document, pseudonym_names, split_records, join_records,
-        batch_fixed, batch_greedy, residual_counts, residual_after_mask, residual_records, residual_rows, merge_detections, accept_detections, apply_detections, fidelity, credit_profile, credit_stats,
+        batch_fixed, batch_greedy, residual_counts, residual_counts_all, residual_after_mask, residual_records, residual_rows, merge_detections, accept_detections, apply_detections, fidelity, credit_profile, credit_stats,
         privacy_risk, extract_fields, token_integrity_strict, route_external, manifest_check, envelope, ledger_anchor, recover_scatter, mapping_upsert, latest_request, restore_plain,
     )
 }
