@@ -1,15 +1,14 @@
 """HTML extraction by wrappers inferred as union-free regular expressions.
 
-A page is a stream of structural tags and texts. Adjacent repetitions in a stream fold into repeated groups
-`( ... )+`, texts become slots `#`. Streams of one host are aligned one after the other with the wrapper so far;
-where they differ, the differing stretch becomes an optional group `( ... )?`. Next to the wrapper of a host stand
-sums over its slots: how much text they hold, and whether it varies from page to page. Slots in containers that
-never hold an article (menus, footers, adverts ...) are left out; of the rest the smallest container of all slots in
-article elements, or else of all that vary, is the host's main container. A page then gives the blocks of its article
-elements, or else of its host's main container. Sums over containers decide this; the wrapper does not.
-
-Streams are reduced to distinct (host, folded stream) pairs and slot sums to (host, container) before anything is
-gathered by host, so a host with a third of all pages brings no more rows than its number of layouts.
+A page is a stream of slots: one per block of text, known by the containers and the tag it stands in. Adjacent
+repetitions in a stream fold into repeated groups `( ... )+`. Streams of one host are aligned one after the other with
+the wrapper so far; where they differ, the differing stretch becomes optional, `( ... )?`. Alignment goes in rounds of
+at most FAN streams to a task, so a host of very many layouts is no single group.
+
+Then every page is matched against its host's wrapper, which tells its blocks apart by their place in the expression,
+and what stands in each slot of the wrapper is summed over the host: whether its text varies, and whether it is marked
+as an article. That makes a slot content or template (see `content_slots`). A page gives the blocks that match
+content slots; containers that never hold an article (menus, footers, adverts ...) are in no stream.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ import difflib
 import html as entities
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -27,10 +27,16 @@ from pyspark.sql import functions as F
 
 from cloakspark.llm._common import ascii_lower, checkpointed, map_batches, table
 
-#: Wrappers up to this many hosts are broadcast (a few hundred bytes each); more are joined by host, with salt.
-BROADCAST_HOSTS = 50_000
+#: Wrappers up to this many bytes in all are broadcast; more are joined by host, with salt.
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 SCHEMA = "page_id long, url string, text string, n_chars long"
+#: Streams that one task aligns for a host.
+FAN = 32
+#: Nodes of a stream, and different slots of a page, beyond which they are generalised.
+LONG, MANY = 256, 200
+#: Pages from which a text that never varies, before or after all that varies in an article, is template.
+TEMPLATE_FROM = 8
 
 #: Elements whose content isn't markup or isn't shown.
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|title"
@@ -120,12 +126,12 @@ def parsed(html: str) -> list[tuple[str, Element | None, str]]:
     return blocks
 
 
-# Wrappers: a node is a token, or ("+", nodes) for a repeated group, or ("?", nodes) for an optional one.
+# Wrappers: a node is a slot, or ("+", nodes) for a repeated group, or ("?", nodes) for an optional one.
 
 
-def folded(tokens: list) -> list:
-    """The stream with adjacent repetitions as repeated groups, shortest first, until none is left."""
-    out = tokens
+def folded(nodes: list) -> list:
+    """The nodes with adjacent repetitions as repeated groups, shortest first, until none is left."""
+    out = nodes
     for size in (1, 2, 3, 4, 6):
         made, i = [], 0
         while i < len(out):
@@ -142,27 +148,46 @@ def folded(tokens: list) -> list:
     return out
 
 
-def same(a, b) -> bool:
-    """Two nodes match: equal, or one is the other repeated or optional."""
-    return a == b or (a[0] == "+" and (b,) == a[1]) or (b[0] == "+" and (a,) == b[1])
+def taken_apart(node) -> tuple[bool, bool, object]:
+    """Whether a node is optional, whether it is repeated, and what is inside."""
+    optional = repeated = False
+    while isinstance(node, tuple) and len(node[1]) == 1:
+        optional, repeated = optional or node[0] == "?", repeated or node[0] == "+"
+        node = node[1][0]
+    return optional, repeated, node
+
+
+def put_together(optional: bool, repeated: bool, core):
+    node = ("+", (core,)) if repeated else core
+    return ("?", (node,)) if optional else node
 
 
 def aligned(wrapper: list, stream: list) -> list:
-    """The wrapper that also takes in `stream`: mismatching stretches become optional groups, single ones of a repeated group join it."""
-    bare = [n[1][0] if n[0] == "?" and len(n[1]) == 1 else n for n in wrapper]
-    core = [n[1][0] if n[0] == "+" and len(n[1]) == 1 else n for n in bare]
-    other = [n[1][0] if n[0] == "+" and len(n[1]) == 1 else n for n in stream]
+    """The wrapper that also takes in `stream` (or another wrapper): what only one of them has becomes optional, what one of them repeats is repeated."""
+    ours, theirs = [taken_apart(n) for n in wrapper], [taken_apart(n) for n in stream]
     out: list = []
-    optional = lambda ns: [n if n[0] == "?" else ("?", (n,)) for n in ns]
-    for op, a, b, c, d in difflib.SequenceMatcher(None, core, other, autojunk=False).get_opcodes():
+    for op, a, b, c, d in difflib.SequenceMatcher(None, [n[2] for n in ours], [n[2] for n in theirs], autojunk=False).get_opcodes():
         if op == "equal":
-            for k in range(b - a):
-                w, s = wrapper[a + k], stream[c + k]
-                grown = ("+", (core[a + k],)) if "+" in (bare[a + k][0], s[0]) and core[a + k][0] != "+" else bare[a + k]
-                out.append(("?", (grown,)) if w[0] == "?" else grown)
+            out += [put_together(x[0] or y[0], x[1] or y[1], x[2]) for x, y in zip(ours[a:b], theirs[c:d], strict=True)]
         else:
-            out += optional(wrapper[a:b]) + optional(stream[c:d])
-    return out
+            out += [put_together(True, r, core) for _, r, core in ours[a:b] + theirs[c:d]]
+    return bounded(folded(out))
+
+
+def bounded(nodes: list) -> list:
+    """Nodes of a very long expression as one repeated group of all its slots, each optional, in order of appearance."""
+    if len(nodes) <= LONG:
+        return nodes
+    return [("+", tuple([("?", (s,)) for s in dict.fromkeys(slots(nodes))]))]
+
+
+def slots(nodes) -> Iterator[str]:
+    """The slots of an expression in order; their number there is what the rest knows them by."""
+    for n in nodes:
+        if isinstance(n, str):
+            yield n
+        else:
+            yield from slots(n[1])
 
 
 def shown(nodes) -> str:
@@ -184,9 +209,17 @@ def read(text: str) -> list:
     return stack[0]
 
 
+def names_of(blocks: list) -> list[str]:
+    """The slot of each block: its containers and its tag. Pages of very many different ones are read by the names of the two innermost containers."""
+    names = [f"{e.path if e else '-'}>{tag or '-'}#" for tag, e, _ in blocks]
+    if len(set(names)) > MANY:
+        names = [f"{'/'.join([re.split(r'[.]', k)[0] for k in e.path.split('/')[-2:]]) if e else '-'}>{tag or '-'}#" for tag, e, _ in blocks]
+    return names
+
+
 def stream_of(blocks: list) -> list:
-    """The folded stream of a page: the container and tag of each block, then its slot."""
-    return folded([f"{e.path if e else '-'}>{tag or '-'}#" for tag, e, _ in blocks])
+    """The folded stream of a page."""
+    return bounded(folded(names_of(blocks)))
 
 
 def wrapper_of(streams: list[str]) -> str:
@@ -198,99 +231,210 @@ def wrapper_of(streams: list[str]) -> str:
     return shown(whole or [])
 
 
-def slots_of(wrapper: str) -> list[str]:
-    """Containers of the slots of a wrapper, in order, without repetition."""
-    return list(dict.fromkeys(re.findall(r"(\S+?)>\S*#", wrapper)))
+class Matcher:
+    """Matches pages against a wrapper: which slot of the expression each block stands in."""
+
+    def __init__(self, wrapper: str):
+        self.first: set[int] = set()
+        self.follow: list[set[int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.known: dict[tuple[str, ...], list[int | None]] = {}
+        _, first, last = self._built(read(wrapper))
+        self.first, self.last = set(first), set(last)
+
+    def _built(self, nodes) -> tuple[bool, list[int], list[int]]:
+        """Whether nodes may be absent, and the slots they may begin and end with; fills in which slot may follow which."""
+        absent, first, last = True, [], []
+        for n in nodes:
+            if isinstance(n, str):
+                own = len(self.follow)
+                self.follow.append(set())
+                self.at[n].append(own)
+                none, f, e = False, [own], [own]
+            else:
+                none, f, e = self._built(n[1])
+                if n[0] == "+":
+                    for x in e:
+                        self.follow[x].update(f)
+                none = none or n[0] == "?"
+            for x in last:
+                self.follow[x].update(f)
+            first = first + f if absent else first
+            last = last + e if none else e
+            absent = absent and none
+        return absent, first, last
+
+    def __call__(self, names: list[str]) -> list[int | None]:
+        """The number of the slot of each block, the leftmost way through the expression; None for a block that it can't take in."""
+        key = tuple(names)
+        if key not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[key] = self._matched(names)
+        return self.known[key]
+
+    def _matched(self, names: list[str]) -> list[int | None]:
+        steps: list[dict[int, int]] = []
+        reached = {-1}
+        for name in names:
+            step = {}
+            for p in self.at.get(name, ()):
+                before = [q for q in reached if p in (self.first if q < 0 else self.follow[q])]
+                if before:
+                    step[p] = min(before)
+            steps.append(step)
+            reached = set(step) or reached
+        out: list[int | None] = [None] * len(names)
+        state = min(reached & self.last, default=min(reached))
+        for k in range(len(names) - 1, -1, -1):
+            if steps[k]:
+                out[k], state = state, steps[k][state]
+        return out
+
+
+def content_slots(found: list[tuple[int, str, int, bool, bool]]) -> list[int]:
+    """Numbers of the slots that hold article text. found: slot, container, pages with it, whether its text varies, whether it is marked as an article.
+
+    Marked slots and others are judged by themselves, as a page without marks may stand beside pages with them. Where no
+    text varies, nothing tells template from content and all is content. Else a slot whose text never varies is template:
+    among marked ones if it stands before or after all that vary and is on TEMPLATE_FROM pages, among others unless slots of its own
+    container vary before and after it.
+    """
+    out: list[int] = []
+    for marked in (True, False):
+        own = [f for f in found if f[4] == marked]
+        varying = [(s, c) for s, c, _, varies, _ in own if varies]
+        for s, container, n, varies, _ in own:
+            sides = [v < s for v, c in varying if marked or c == container]
+            between = True in sides and False in sides
+            if varies or not varying or between or (marked and n < TEMPLATE_FROM):
+                out.append(s)
+    return sorted(out)
 
 
-def main_container(wrapper: str, slots: dict[str, tuple[int, bool, bool]]) -> str:
-    """Path of the container that holds the article, or "" for none. slots: (characters, varies or lone page, within an article) by container."""
-    usable = {p: slots[p] for p in slots_of(wrapper) if p in slots}
-    best = [p for p, (_, _, within) in usable.items() if within] or [p for p, (_, varies, _) in usable.items() if varies] or list(usable)
-    if not best:
-        return ""
-    total: dict[str, int] = defaultdict(int)
-    for p in best:
-        parts = p.split("/")
-        for k in range(1, len(parts) + 1):
-            total["/".join(parts[:k])] += usable[p][0]
-    every = max(total.values())
-    # the innermost container that holds all of the usable text
-    return max((p for p, n in total.items() if n == every), key=lambda p: (p.count("/"), p))
+def usable_blocks(html: str) -> list:
+    """The blocks of a page that aren't in a container that never holds an article."""
+    return [b for b in parsed(html) if not (b[1] and b[1].never)]
 
 
-def article(blocks: list, main: str) -> str:
-    """The text of the blocks in the page's article elements; where it has none, in the main container, else of all usable blocks."""
-    usable = [(e, t) for _, e, t in blocks if not (e and e.never)]
-    under = lambda e: e is not None and (e.path == main or e.path.startswith(main + "/"))
-    chosen = [t for e, t in usable if e and e.within] or [t for e, t in usable if main and under(e)] or [t for _, t in usable]
-    return "\n".join(chosen)
+def article(blocks: list, places: list[int | None], content: set[int]) -> str:
+    """The text of the blocks in content slots; of those in article elements only, where the page has any."""
+    chosen = [(e, t) for (_, e, t), p in zip(blocks, places, strict=True) if p in content]
+    return "\n".join([t for e, t in chosen if e and e.within] or [t for _, t in chosen])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, main: the inferred expression and main container of every host. pages: url, html."""
+    """host, wrapper: the inferred expression of every host. pages: host, html."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            streams: set[tuple[str, str]] = set()
-            sums: dict[tuple[str, str, bool], list[int]] = {}
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, blocks = host_of(url), parsed(page or "")
-                blocks = [b for b in blocks if not (b[1] and b[1].never)]
-                streams.add((host, shown(stream_of(blocks))))
-                texts: dict[tuple[str, bool], list[str]] = defaultdict(list)
-                for _, e, t in blocks:
-                    texts[e.path if e else "-", bool(e and e.within)].append(t)
-                for (path, within), ts in texts.items():
-                    h = xxhash.xxh64_intdigest("\n".join(ts)) >> 1
-                    s = sums.setdefault((host, path, within), [0, 0, h, h])
-                    s[0] += 1
-                    s[1] += sum(map(len, ts))
-                    s[2], s[3] = min(s[2], h), max(s[3], h)
-            rows = [(h, s, None, None, None, None, None, None) for h, s in streams] + [(h, None, p, w, *v) for (h, p, w), v in sums.items()]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["host", "stream", "path", "within", "pages", "chars", "low", "high"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            streams = {(host, shown(stream_of(usable_blocks(page or "")))) for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)}
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(streams), strict=True)], ["host", "wrapper"])
 
         return each
 
-    facts = map_batches(pages.select("url", "html"), make, "host string, stream string, path string, within boolean, pages long, chars long, low long, high long")
-    # one row per host and layout or container; equal ones are merged before the shuffle
-    merged = facts.groupBy("host", "stream", "path", "within").agg(*(f(c).alias(c) for f, c in ((F.sum, "pages"), (F.sum, "chars"), (F.min, "low"), (F.max, "high"))))
-
     def infer(rows: pd.DataFrame) -> pd.DataFrame:
-        layouts, slots = rows[rows["stream"].notna()], rows[rows["path"].notna()]
-        wrapper = wrapper_of(layouts["stream"].tolist())
-        known = {p: (int(c), bool(n == 1 or low != high), bool(w)) for p, w, n, c, low, high in slots[["path", "within", "pages", "chars", "low", "high"]].itertuples(index=False)}
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [wrapper], "main": [main_container(wrapper, known)]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [wrapper_of(rows["wrapper"].tolist())]})
 
-    return merged.groupBy("host").applyInPandas(infer, "host string, wrapper string, main string")
+    layouts = checkpointed(map_batches(pages.select("host", "html"), make, "host string, wrapper string").distinct())
+    while True:
+        sizes = layouts.groupBy("host").count()
+        if not sizes.where(F.col("count") > FAN).limit(1).count():
+            return layouts.groupBy("host").applyInPandas(infer, "host string, wrapper string")
+        part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("count") / (FAN // 2)))
+        layouts = checkpointed(layouts.join(sizes, "host").withColumn("part", part).groupBy("host", "part").applyInPandas(infer, "host string, wrapper string").distinct())
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
+def by_host(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages with what is known of their host: broadcast if it is small, else joined by host and salt."""
+    size = known.agg(F.sum(sum([F.length(c) for c in known.columns], F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(known), "host", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), ["host", "salt"], "left").drop("salt")
 
-    Null html is empty and gives an empty text; a null url, or one without a host, belongs to the host "". Null ids and
-    repeated rows pass through; other columns aren't read. Hosts of a single page take that page's own wrapper.
-    """
+
+def slot_facts(pages: DataFrame) -> DataFrame:
+    """host, slot, container, n, low, high, marked: sums over all pages with blocks that match a slot. pages: host, html, wrapper."""
+
+    def make():
+        matchers: dict[str, Matcher] = {}
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            facts: dict[tuple[str, int], list] = {}
+            for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                blocks = usable_blocks(page or "")
+                matcher = matchers.get(wrapper) or matchers.setdefault(wrapper, Matcher(wrapper))
+                own: dict[int, list] = {}
+                for (_, e, text), slot in zip(blocks, matcher(names_of(blocks)), strict=True):
+                    if slot is not None:
+                        o = own.setdefault(slot, [e.path if e else "-", False, []])
+                        o[1] = o[1] or bool(e and e.within)
+                        o[2].append(text)
+                for slot, (container, within, texts) in own.items():  # of a repeated group all texts of a page are one
+                    h = xxhash.xxh64_intdigest("\n".join(texts)) >> 1
+                    f = facts.setdefault((host, slot), [container, 0, h, h, within])
+                    f[1], f[2], f[3], f[4] = f[1] + 1, min(f[2], h), max(f[3], h), f[4] or within
+            if not facts:
+                return None
+            columns = zip(*[(*k, *v) for k, v in facts.items()], strict=True)
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "slot", "container", "n", "low", "high", "marked"])
+
+        return each
+
+    facts = map_batches(pages.select("host", "html", "wrapper"), make, "host string, slot int, container string, n long, low long, high long, marked boolean")
+    return facts.groupBy("host", "slot").agg(F.min("container").alias("container"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("marked").alias("marked"))
+
+
+def decided(facts: DataFrame) -> DataFrame:
+    """host, content: the numbers of the slots of each host that hold article text, comma-joined. A host has as many rows here as its wrapper has slots."""
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slot")
+        found = [(int(s), c, int(n), bool(n == 1 or low != high), bool(m)) for s, c, n, low, high, m in rows[["slot", "container", "n", "low", "high", "marked"]].itertuples(index=False)]
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "content": [",".join(map(str, content_slots(found)))]})
+
+    return facts.groupBy("host").applyInPandas(judge, "host string, content string")
+
+
+def with_host(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host."""
     pages = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
-    known = checkpointed(wrappers(pages).select("host", "main"))
     host = F.when(F.instr("url", "://") > 0, ascii_lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1))).otherwise("")
-    pages = pages.withColumn("host", F.coalesce(host, F.lit("")))
-    if known.count() <= BROADCAST_HOSTS:
-        joined = pages.join(F.broadcast(known), "host", "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), ["host", "salt"], "left")
+    return pages.withColumn("host", F.coalesce(host, F.lit("")))
+
+
+def extracted_by(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page by the wrappers and content slots of hosts. pages: page_id, url, html, host; known: host, wrapper, content."""
 
     def make():
+        matchers: dict[str, Matcher] = {}
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [article(parsed(h or ""), m or "") for h, m in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True)]
+            texts = []
+            for page, wrapper, content in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "content")), strict=True):
+                blocks = usable_blocks(page or "")
+                matcher = matchers.get(wrapper or "") or matchers.setdefault(wrapper or "", Matcher(wrapper or ""))
+                texts.append(article(blocks, matcher(names_of(blocks)), set(map(int, filter(None, (content or "").split(","))))))
             return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return each
 
-    return map_batches(joined.select("page_id", "url", "html", "main"), make, SCHEMA)
+    return map_batches(by_host(pages, known).select("page_id", "url", "html", "wrapper", "content"), make, SCHEMA)
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Null html is empty and gives an empty text; a null url, or one without a host, belongs to the host "". Null ids and
+    repeated rows pass through; other columns aren't read. On a host of a single page all usable blocks are content,
+    or those in article elements.
+    """
+    pages = with_host(pages)
+    inferred = checkpointed(wrappers(pages))
+    content = decided(slot_facts(by_host(pages, inferred)))
+    return extracted_by(pages, checkpointed(inferred.join(content, "host", "left")))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

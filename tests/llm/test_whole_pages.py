@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from cloakspark.llm import html_text
 
 
@@ -18,3 +21,60 @@ def test_no_article_text_is_dropped(spark):
     got = texts(spark, [*pages, other])
     assert all(t.startswith(f"Head {i}\nintro {i}\na long item") and t.endswith("many words") and "menu" not in t for i, t in got.items() if i < 4)
     assert got[4] == "other layout"
+
+
+def plain(k, head="Site of news"):
+    return f"<body><div>{head}</div><div><p>intro {k}</p><p>Summary</p><p>end {k}</p></div><div>all about {'us' if k % 2 else 'us'}</div></body>"
+
+
+def test_wrapper_tells_template_from_content_without_marks(spark):
+    got = texts(spark, [plain(k) for k in range(5)])
+    assert got == {k: f"intro {k}\nSummary\nend {k}" for k in range(5)}
+
+
+def test_template_at_the_rim_of_an_article(spark):
+    pages = [f"<body><article><div>Read this in our app</div><h1>Head {k}</h1><p>text {k}</p></article></body>" for k in range(9)]
+    assert texts(spark, pages) == {k: f"Head {k}\ntext {k}" for k in range(9)}
+    assert texts(spark, pages[:4])[0] == "Read this in our app\nHead 0\ntext 0"
+    assert texts(spark, [pages[0]] * 20)[0] == "Read this in our app\nHead 0\ntext 0"
+
+
+def test_another_wrapper_gives_another_text(spark):
+    rows = [(k, f"http://a.example/{k}", plain(k)) for k in range(5)]
+    pages = html_text.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    own = html_text.wrappers(pages).first()["wrapper"]
+    content = html_text.decided(html_text.slot_facts(html_text.by_host(pages, html_text.wrappers(pages)))).first()["content"]
+
+    def by(wrapper):
+        return html_text.extracted_by(pages, spark.createDataFrame([("a.example", wrapper, content)], "host string, wrapper string, content string")).first()["text"]
+
+    assert by(own) == "intro 0\nSummary\nend 0"
+    assert by(" ".join(dict.fromkeys(html_text.slots(html_text.read(own))))) != by(own)
+
+
+def test_hosts_of_many_layouts_are_aligned_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "FAN", 4)
+    page = lambda k: "<body><article>" + "".join(f"<{t}>{t} {k}</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "p") if k >> ord(t[-1]) % 6 & 1) + "</article></body>"
+    got = texts(spark, [page(k) for k in range(64)])
+    assert all(sorted(t.split("\n")) == sorted(f"{t} {k}" for t in ("h1", "h2", "h3", "h4", "h5", "p") if k >> ord(t[-1]) % 6 & 1) for k, t in got.items() if t)
+    assert sum(1 for t in got.values() if not t) == 2
+
+
+def test_very_long_pages(spark):
+    rng = random.Random(3)
+    tags = [rng.choice(["p", "h2", "pre"]) for _ in range(30_000)]
+    long = "<body><article>" + "".join(f"<{t}>w{k}</{t}>" for k, t in enumerate(tags)) + "</article></body>"
+    wide = "<body><article>" + "".join(f"<div><section class='c{chr(97 + k % 26)}{chr(97 + k // 26)}'><p>w{k}</p></section></div>" for k in range(600)) + "</article></body>"
+    got = texts(spark, [long, wide])
+    assert got[0] == "\n".join(f"w{k}" for k in range(30_000)) and got[1] == "\n".join(f"w{k}" for k in range(600))
+
+
+def test_matching_by_brute_force():
+    rng = random.Random(1)
+    plain_ = lambda nodes: "".join([n if isinstance(n, str) else f"(?:{plain_(n[1])}){n[0]}" for n in nodes])
+    for _ in range(500):
+        streams = [[rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(rng.randrange(1, 6))]
+        wrapper = html_text.wrapper_of([html_text.shown(html_text.folded(s)) for s in streams])
+        own, matcher = list(html_text.slots(html_text.read(wrapper))), html_text.Matcher(wrapper)
+        for s in streams:
+            assert re.fullmatch(plain_(html_text.read(wrapper)), "".join(s)) and [own[i] for i in matcher(s)] == s
