@@ -187,15 +187,17 @@ def vectors(n, seed, spread):
     return (centres[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, 24))) * rng.uniform(0.5, 2, (n, 1))
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 64)
-    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
-    x = vectors(3000, 1, 0.3).astype("f4").astype(float)
+@pytest.mark.parametrize(("spread", "boxes"), [(0.1, 100), (5.0, 100), (5.0, 0)])
+def test_neighbours_against_brute_force(spark, monkeypatch, spread, boxes):
+    for name, small in (("BLOCK", 64), ("WINDOW", 100), ("GROUP", 500), ("PACK", 16), ("SAMPLE", 1000), ("CALIBRATION", 20)):
+        monkeypatch.setattr(neighbours, name, small)
+    monkeypatch.setattr(neighbours, "BOXES", boxes)
+    x = vectors(3000, 1, spread).astype("f4").astype(float)
     x[1000:1400] = x[1000]
     rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(5)
-    got = {}
-    for r in neighbours.searched(df).collect():
+    got, report = {}, {}
+    for r in neighbours.searched(df, report).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q in range(0, 3000, 20):
@@ -206,15 +208,17 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
         assert all(abs(r[2] - s[r[1]]) < 1e-9 for r in found) and [r[2] for r in found] == sorted([r[2] for r in found], reverse=True)
         hits += len({r[1] for r in found} & set(best))
     assert hits / (150 * 20) >= 0.9
+    assert (report["searched_on"] > report["queries"] / 2) == (spread > 1)  # most queries of clusters need the windows alone
     assert [r[1] for r in sorted(got[1020])] == [i for i in range(1000, 1021) if i != 1020] or abs(sorted(got[1020])[0][2] - x[1000] @ x[1000]) > 1e-9
 
 
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (1, [2.0, 1.0]), (40, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (1, [2.0, 1.0]), (40, [0.0, 0.0]), (60, [None, 1.0]), (80, [nan, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.searched(df).collect()}
-    assert got == {(0, 1, 1, 2.0), (0, 2, 20, 0.5), (20, 1, 1, 1.5), (20, 2, 0, 0.5)}
+    # a shorter vector is zero where it ends; queries with a null or zero vector take no part
+    assert got == {(0, 1, 1, 2.0), (0, 2, 7, 1.0), (0, 3, 20, 0.5), (20, 1, 1, 1.5), (20, 2, 0, 0.5), (20, 3, 7, 0.5)}
     assert neighbours.searched(df.limit(0)).count() == 0
     assert neighbours.searched(df.where("vec_id = 0")).count() == 0
 
