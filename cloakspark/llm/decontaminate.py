@@ -6,11 +6,14 @@ WINDOW template words are hashed; documents and benchmark items meet by a hash j
 item if at least SIMILARITY of the item's distinct windows stand in it and the slots agree: the values behind the
 placeholders must map one to one, by majority, for at least CONSISTENCY of the slot pairs. All of it is DataFrame
 functions.
+
+Before all windows of a document are built, those that can't hold any item are told by a few words and the windows
+around them: see `anchors`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakspark.llm._common import checkpointed, table
@@ -20,9 +23,15 @@ SIMILARITY = 0.8
 CONSISTENCY = 0.8
 #: The windows of the benchmark are broadcast up to this many rows (about 100 bytes each), else shuffled.
 BROADCAST_WINDOWS = 200_000
+#: Anchor words up to this many are a constant of the scan; more are joined with the documents' words.
+CONSTANT_ANCHORS = 5_000
+#: Ids of candidate documents up to this many (8 bytes each) are broadcast, else shuffled.
+BROADCAST_IDS = 1_000_000
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s min h hour hours minute minutes second seconds day days week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents degree degrees mph kmh kg w kw v".split()
 _WORD = r"\d+(?:[.,]\d+)*|[\p{L}\p{N}]+|[.!?\n]+"
 _NAME = r"^\p{Lu}\p{Ll}+$"
+#: A word with the sentence end before it, if there is one: as many as there are template words.
+_MARKED = r"(?:[.!?\n][^\p{L}\p{N}]*)?(?:\d+(?:[.,]\d+)*|[\p{L}\p{N}]+)"
 
 
 def _canonical(words: Column) -> Column:
@@ -46,6 +55,100 @@ def _canonical(words: Column) -> Column:
     return F.filter(F.transform(words, one), lambda p: p["c"] != ".")
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), 0)
+
+
+def read(df: DataFrame, key: str) -> DataFrame:
+    """key, t, c, d, o, n: template words in both readings, original words and their number. df: key, text."""
+    words = df.select(key, F.xxhash64("text").alias("t"), _words("text").alias("words")).select(key, "t", _canonical(F.col("words")).alias("pairs"))
+    words = words.select(key, "t", F.transform("pairs", lambda p: p["c"]).alias("c"), F.transform("pairs", lambda p: p["o"]).alias("o"), F.size("pairs").alias("n"))
+
+    def capital(x: Column, i: Column) -> Column:
+        own = F.get(F.col("o"), i)
+        return F.when((x != own) & ~x.startswith("<") & own.rlike(_NAME), F.lit("<name>")).otherwise(x)
+
+    return words.select(key, "t", "c", F.transform("c", capital).alias("d"), "o", "n")
+
+
+def _hash(words: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(words, i + k) for k in range(size)])
+
+
+def near_hashes(marked: Column, place: Column, sizes: tuple[int, ...]) -> Column:
+    """Hashes, in both readings, of the windows around a place of a text, read from those few words. marked: the words by _MARKED."""
+    bare = lambda x: F.regexp_extract(x, r"(?s)[\p{L}\p{N}].*$", 0)
+    number = lambda x: (x >= "0") & (x < ":")
+
+    def template(i: Column) -> Column:
+        own, before = F.get(marked, i), F.when(i > 0, F.get(marked, i - 1))
+        x = bare(own)
+        low, inside = F.lower(x), (own == x) & before.isNotNull()
+        name = (low != x) & x.rlike(_NAME)
+        first = F.when(number(x), F.lit("<number>")).when(inside & number(bare(before)) & low.isin(UNITS), F.lit("<unit>")).when(name & inside, F.lit("<name>")).otherwise(low)
+        return F.struct(first.alias("c"), F.when(~first.startswith("<") & name, F.lit("<name>")).otherwise(first).alias("d"))
+
+    # a one-element array binds the words of the place, so that they are worked out once
+    bound = F.array(F.transform(F.sequence(F.greatest(place - WINDOW + 1, F.lit(0)), F.least(place + WINDOW - 1, F.size(marked) - 1)), template))
+
+    def hashes(words: Column) -> Column:
+        c, d = F.transform(words, lambda x: x["c"]), F.transform(words, lambda x: x["d"])
+
+        def of(w: Column, size: int) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: _hash(w, i, size))
+
+        return F.concat(*[of(w, size) for size in sizes for w in (c, d)])
+
+    return F.flatten(F.transform(bound, hashes))
+
+
+def anchors(benchmark: DataFrame) -> DataFrame | None:
+    """item_id, w, word: windows of which a document must share one to hold the item, each with a plain word of it; None if an item has no such words.
+
+    An item is held if SIMILARITY of its windows are shared, so of any more windows than may be missing one is shared,
+    with all its words. Of each item those windows are taken whose longest plain word (in both readings) is longest, as
+    long words are in few documents. benchmark: item_id, text.
+    """
+    words = read(benchmark, "item_id")
+    plain = F.zip_with("c", "d", lambda c, d: F.when((c == d) & ~c.startswith("<"), F.struct(F.length(c).alias("size"), c.alias("word"))))
+    words = words.where("n > 0").select("item_id", "c", plain.alias("plain"), "n")
+    every = F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))
+    best = F.transform(every, lambda i: F.struct(_hash(F.col("c"), i, WINDOW).alias("w"), F.array_max(F.filter(F.slice("plain", i + 1, WINDOW), lambda x: x.isNotNull())).alias("best")))
+    each = words.select("item_id", F.explode(best).alias("x")).select("item_id", "x.w", "x.best").groupBy("item_id", "w").agg(F.max("best").alias("best"))
+    n = F.count("*").over(Window.partitionBy("item_id"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc_nulls_last("best"), "w"))
+    chosen = each.select("item_id", "w", "best", n.alias("n"), rank.alias("rank")).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    chosen = checkpointed(chosen.select("item_id", "w", "best.word"))
+    return None if chosen.where("word is null").limit(1).count() else chosen
+
+
+def candidates(docs: DataFrame, each: DataFrame, chosen: DataFrame | None, short: tuple[int, ...]) -> DataFrame:
+    """The rows of documents that share a chosen window in any row of their id. docs: doc_id, text; each: the windows of the items.
+
+    Words are looked for first, and windows are built around the words found only.
+    """
+    if chosen is None:
+        return docs
+    words, hashes = chosen.select("word").distinct(), each.join(chosen, ["item_id", "w"]).select("h").distinct()
+    own = F.transform(_words("text"), F.lower)
+    if words.limit(CONSTANT_ANCHORS + 1).count() <= CONSTANT_ANCHORS:
+        known = F.array(*[F.lit(r["word"]) for r in words.orderBy("word").collect()]) if not words.isEmpty() else F.array().cast("array<string>")
+        having = docs.where(F.arrays_overlap(own, known)).select("doc_id", "text", F.array_intersect(own, known).alias("hits"))
+    else:
+        found = docs.select("doc_id", F.explode(F.array_distinct(own)).alias("word")).join(words, "word", "left_semi").groupBy("doc_id").agg(F.collect_list("word").alias("hits"))
+        having = docs.join(found, "doc_id")
+    having = having.select("doc_id", "hits", F.regexp_extract_all("text", F.lit(_MARKED), 0).alias("marked"))
+    hit = lambda x: F.array_contains("hits", F.lower(x)) | ((x < "0") | x.startswith("?")) & F.array_contains("hits", F.lower(F.regexp_extract(x, r"(?s)[\p{L}\p{N}].*$", 0)))
+    places = F.filter(F.transform("marked", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
+    having = having.select("doc_id", "marked", places.alias("places"))
+    # an outer explode, so that no predicate goes below it (see `windows`)
+    around = F.transform("places", lambda p: near_hashes(F.col("marked"), p, (WINDOW, *short)))
+    shared = having.select("doc_id", F.explode_outer(F.array_distinct(F.flatten(around))).alias("h"))
+    few = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    ids = checkpointed(shared.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def windows(df: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
     """key, t, i, m, w, h, b, slots: every window of template words, from word i on, of m words.
 
@@ -55,14 +158,7 @@ def windows(df: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
     window; texts without words have none. `short` has lengths below WINDOW at which longer texts are windowed too.
     df: key, text.
     """
-    words = df.select(key, F.xxhash64("text").alias("t"), F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), 0).alias("words")).select(key, "t", _canonical(F.col("words")).alias("pairs"))
-    words = words.select(key, "t", F.transform("pairs", lambda p: p["c"]).alias("c"), F.transform("pairs", lambda p: p["o"]).alias("o"), F.size("pairs").alias("n"))
-
-    def capital(x: Column, i: Column) -> Column:
-        own = F.get(F.col("o"), i)
-        return F.when((x != own) & ~x.startswith("<") & own.rlike(_NAME), F.lit("<name>")).otherwise(x)
-
-    words = words.select(key, "t", "c", "o", "n", F.transform("c", capital).alias("d"))
+    words = read(df, key)
     every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))
     words = words.select(key, "t", "c", "d", "o", "n", F.filter(every, lambda i: F.get(F.col("c"), i) != F.get(F.col("d"), i)).alias("starts"))
 
@@ -128,12 +224,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item without placeholders has consistency 1.
     """
     keys = ["doc_id", "item_id"]
-    each = checkpointed(windows(benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null"), "item_id"))
+    benchmark = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null")
+    each = checkpointed(windows(benchmark, "item_id"))
     short = tuple(sorted(r["m"] for r in each.where(F.col("m") < WINDOW).select("m").distinct().collect()))
     # one row per item and window: the windows' own places and slots are kept in an array, as a window may stand twice
     items = each.groupBy("item_id", "h").agg(F.collect_set(F.struct(F.col("i").alias("their_i"), "w", "b", F.col("slots").alias("theirs"))).alias("item_windows"))
     sizes = each.where("not b").groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    own = windows(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), "doc_id", short).drop("m", "w")
+    docs = candidates(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), each, anchors(benchmark), short)
+    own = windows(docs, "doc_id", short).drop("m", "w")
     found = own.join(F.broadcast(items) if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "h")
     found = checkpointed(found)  # few rows, read again below; the windows of the documents are worked out once
     first = found.withColumn("item_windows", F.filter("item_windows", lambda x: ~x["b"])).where("not b and size(item_windows) > 0")
