@@ -19,8 +19,8 @@ def first_seen(found: DataFrame) -> DataFrame:
     return found.groupBy("placeholder").agg(F.min_by("raw", F.struct("ord", "raw")).alias("original_value"))
 
 
-def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str) -> DataFrame:
-    """placeholder, label, raw, ord of every match of the patterns, each in the text that the patterns before it left."""
+def traced(df: DataFrame, id_col: str, text_col: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
+    """id, text (masked), found: what each pattern matched, coded, in the text that the patterns before it left."""
     from cloakspark.operators.masking import masked_text
 
     # matches travel as text: the optimiser would read fields of structs by working out the whole chain for each field
@@ -28,25 +28,48 @@ def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str) -> DataFram
         return lambda m, i: F.concat_ws("\x01", F.lit(label), F.lit(str(rule)), i.cast("string"), m)
 
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<string>").alias("found"))
-    df = df.where(F.col("text").rlike(P.java(P.TEXT_NEEDS)))
-    for k, (label, pattern) in enumerate(P.TEXT_PATTERNS):  # one projection per pattern, as each reads what the one before left
-        matches = F.transform(F.regexp_extract_all("text", F.lit(P.java(pattern)), 0), coded(label, k))
-        df = df.select("id", masked_text(F.col("text"), run_id, label, pattern).alias("text"), F.concat("found", matches).alias("found"))
-    rows = df.select("id", F.explode_outer("found").alias("m")).where("m is not null").select("id", F.split("m", "\x01", 4).alias("m"))
+    needs = F.col("text").rlike(P.java(P.TEXT_NEEDS)) if rules is P.TEXT_PATTERNS else F.col("text").isNotNull()
+    df = df.withColumn("any", needs)
+    for k, (label, pattern) in enumerate(rules):  # one projection per pattern, as each reads what the one before left
+        matches = F.when(F.col("any"), F.transform(F.regexp_extract_all("text", F.lit(P.java(pattern)), 0), coded(label, k)))
+        text = F.when(F.col("any"), masked_text(F.col("text"), run_id, label, pattern)).otherwise(F.col("text"))
+        df = df.select("id", text.alias("text"), F.when(F.col("any"), F.concat("found", matches)).otherwise(F.col("found")).alias("found"), "any")
+    return df.drop("any")
+
+
+def found_of(trace: DataFrame, run_id: str) -> DataFrame:
+    """placeholder, label, raw, ord of all that `traced` found."""
+    rows = trace.select("id", F.explode_outer("found").alias("m")).where("m is not null").select("id", F.split("m", "\x01", 4).alias("m"))
     label, raw = F.col("m")[0], F.col("m")[3]
     return rows.select(T.placeholder(run_id, label, raw).alias("placeholder"), label.alias("label"), raw.alias("raw"), F.struct("id", F.col("m")[1].cast("int").alias("rule"), F.col("m")[2].cast("int").alias("at")).alias("ord"))
 
 
+def found_in(df: DataFrame, id_col: str, text_col: str, run_id: str) -> DataFrame:
+    """placeholder, label, raw, ord of every match of the patterns, each in the text that the patterns before it left."""
+    return found_of(traced(df.where(F.col(text_col).rlike(P.java(P.TEXT_NEEDS))), id_col, text_col, run_id), run_id)
+
+
 def resolved_collisions(found: DataFrame, run_id: str, digits: int = 10) -> DataFrame:
     """label, norm, placeholder: one placeholder per (label, normalised value), also where hashes collide.
 
-    The first value keeps the plain hash; later ones are hashed anew with their number. found: label, raw, ord.
+    As if values were given tokens in order of `ord`, each the first free one of the plain hash and the hashes with 1, 2, ...
+    In every round the earliest value of a shared token keeps it and the others try their next one, until no token is
+    shared; as every token prefers the earliest, the result is that of the sequence. Only shared tokens travel in a
+    round. An error if a label has more values than there are tokens. found: label, raw, ord.
     """
-    keys = found.groupBy(T.label_norm(F.col("label")).alias("label"), T.value_norm(F.col("raw")).alias("norm")).agg(F.min("ord").alias("ord"))
-    keys = keys.withColumn("plain", T.placeholder(run_id, F.col("label"), F.col("norm"), digits=digits))
-    shared = keys.groupBy("plain").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "norm"))).alias("order")).where("n > 1")
-    again = keys.join(shared, "plain", "left").withColumn("k", F.coalesce(F.array_position(F.transform("order", lambda o: o["norm"]), F.col("norm")), F.lit(1)) - 1)
-    return again.select("label", "norm", F.when(F.col("k") == 0, F.col("plain")).otherwise(T.placeholder(run_id, F.col("label"), F.col("norm"), F.col("k").cast("string"), digits)).alias("placeholder"))
+    keys = found.groupBy(T.label_norm(F.col("label")).alias("label"), T.value_norm(F.col("raw")).alias("norm")).agg(F.min("ord").alias("ord")).withColumn("k", F.lit(0))
+    keys = checkpointed(keys)
+    if keys.groupBy("label").count().where(F.col("count") > 16**digits).limit(1).count():
+        raise ValueError(f"more values of a label than tokens of {digits} digits")
+    own = F.struct("ord", "label", "norm")
+    while True:
+        extra = F.when(F.col("k") > 0, F.col("k").cast("string"))
+        keys = keys.select("label", "norm", "ord", "k", T.placeholder(run_id, F.col("label"), F.col("norm"), extra, digits).alias("placeholder"))
+        shared = checkpointed(keys.groupBy("placeholder").agg(F.count("*").alias("n"), F.min(own).alias("owner")).where("n > 1").drop("n"))
+        if shared.isEmpty():
+            return keys.select("label", "norm", "placeholder")
+        loses = (F.col("owner").isNotNull() & (F.col("owner") != own)).cast("int")
+        keys = checkpointed(keys.join(shared, "placeholder", "left").select("label", "norm", "ord", (F.col("k") + loses).alias("k")))
 
 
 def upserted(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,14 +97,19 @@ def integrity(expected: DataFrame, returned: DataFrame) -> DataFrame:
 
 
 def integrity_summary(report: DataFrame) -> DataFrame:
-    """One row: sums, distinct missing and unexpected tokens, and whether restoration may go on (fewer is allowed, more is not)."""
+    """One row: distinct tokens expected, returned, missing and unexpected, and whether restoration may go on (fewer is allowed, more is not)."""
     unexpected = F.count_if(F.col("status") == "unexpected")
     return report.agg(
-        F.coalesce(F.sum("expected"), F.lit(0)).alias("expected_count"), F.coalesce(F.sum("returned"), F.lit(0)).alias("returned_count"), F.count_if(F.col("status") == "missing").alias("missing_count"),
+        F.count_if(F.col("expected") > 0).alias("expected_count"), F.count_if(F.col("returned") > 0).alias("returned_count"), F.count_if(F.col("status") == "missing").alias("missing_count"),
         unexpected.alias("unexpected_count"), F.when(unexpected > 0, "failed").otherwise("passed").alias("status"),
     )
 
 
+def integrity_lists(report: DataFrame) -> DataFrame:
+    """status, placeholder of the missing and unexpected tokens, in order: rows, as there may be very many."""
+    return report.where("status <> 'ok'").select("status", "placeholder").orderBy("status", "placeholder")
+
+
 def check_integrity(report: DataFrame) -> None:
     """Raise IntegrityError if any token came back more often than it went out."""
     if n := integrity_summary(report).first()["unexpected_count"]:
@@ -103,11 +131,15 @@ def restored_once(df: DataFrame, id_col: str, text_col: str, mapping: DataFrame)
 
 
 def restored(df: DataFrame, id_col: str, text_col: str, mapping: DataFrame, max_passes: int = 5) -> DataFrame:
-    """id, text, passes: passes are repeated up to max_passes; one counts for a row only if its text changed."""
+    """id, text, passes: passes are repeated up to max_passes, or until one changes nothing; one counts for a row only if its text changed."""
     df = df.select(id_col, text_col).withColumn("passes", F.lit(0))
     for _ in range(max(1, max_passes)):
         once = restored_once(df, id_col, text_col, mapping)
-        df = df.select(id_col, "passes").join(once, id_col).select(id_col, text_col, (F.col("passes") + F.col("changed").cast("int")).alias("passes"))
+        df = checkpointed(df.select(id_col, "passes").join(once, id_col).select(id_col, text_col, (F.col("passes") + F.col("changed").cast("int")).alias("passes"), "changed"))
+        done = df.where("changed").limit(1).count() == 0
+        df = df.drop("changed")
+        if done:
+            break
     return df
 
 
@@ -146,6 +178,13 @@ def cycles(mapping: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     else:
         raise ValueError(f"values are nested deeper than {depth}")
     near = checkpointed(edges.join(seen, edges["source"] == seen["node"], "left_semi"))
+    for _ in range(depth):  # a token that nothing leads to, or that leads nowhere, is on no cycle: what remains is small
+        size = near.count()
+        inner = near.join(near.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(near.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        inner = checkpointed(inner.select("source", "target"))
+        near = inner
+        if inner.count() == size or not size:
+            break
     known, before, n = near, -1, near.count()
     while n > before:
         on = known.select(F.col("source").alias("s"), F.col("target").alias("t"))
@@ -166,11 +205,27 @@ def plain_restored(text: Column, entries: Column) -> Column:
     return F.aggregate(ordered, text, one)
 
 
-def encrypted(mapping: DataFrame, key: Column) -> DataFrame:
-    """original_value as AES-GCM ciphertext in base64; every row has its own random nonce."""
-    return mapping.withColumn("ciphertext", F.base64(F.aes_encrypt(F.col("original_value"), key, F.lit("GCM")))).drop("original_value")
+def encrypted(mapping: DataFrame, key: Column, key_id: str = "") -> DataFrame:
+    """original_value as ciphertext, wrapped_key and key_id: a data key of its own for every value, itself encrypted with `key`.
+
+    AES-GCM with a random nonce for both, in base64. Equal values have different ciphertexts.
+    """
+    # the data key is random: a projection of its own, so that both columns below read the same one
+    keyed = mapping.withColumn("__data_key", F.unhex(F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))))
+    sealed = lambda value, with_: F.base64(F.aes_encrypt(value, with_, F.lit("GCM")))
+    both = keyed.withColumns({"ciphertext": sealed(F.col("original_value").cast("binary"), F.col("__data_key")), "wrapped_key": sealed(F.col("__data_key"), key), "key_id": F.lit(key_id)})
+    return both.drop("original_value", "__data_key")
 
 
 def decrypted(mapping: DataFrame, key: Column) -> DataFrame:
-    """The inverse of `encrypted`; a ciphertext that doesn't fit the key is an error."""
-    return mapping.withColumn("original_value", F.aes_decrypt(F.unbase64("ciphertext"), key, F.lit("GCM")).cast("string")).drop("ciphertext")
+    """The inverse of `encrypted`. A ciphertext that isn't one (no base64, or null) and one that doesn't fit its key are two different errors."""
+    whole = F.when(F.col("ciphertext").isNotNull() & F.col("wrapped_key").isNotNull() & F.col("ciphertext").rlike("^[A-Za-z0-9+/\\r\\n]+=*$"), F.col("ciphertext"))
+    text = F.coalesce(whole, F.raise_error(F.concat(F.lit("no ciphertext for "), F.col("placeholder"))).cast("string"))
+    data_key = F.aes_decrypt(F.unbase64("wrapped_key"), key, F.lit("GCM"))
+    return mapping.withColumn("original_value", F.aes_decrypt(F.unbase64(text), data_key, F.lit("GCM")).cast("string")).drop("ciphertext", "wrapped_key", "key_id")
+
+
+def key_works(spark, key: Column) -> bool:
+    """Whether a key encrypts and decrypts a probe."""
+    probe = spark.createDataFrame([("<PROBE_0>", "probe")], "placeholder string, original_value string")
+    return decrypted(encrypted(probe, key), key).first()["original_value"] == "probe"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
+from cloakspark.sources.policy import Policy
 
 
 def static_columns(df: DataFrame, run_id: str, fields=P.STATIC_FIELDS) -> DataFrame:
@@ -35,13 +36,13 @@ def masked_text(text: Column, run_id: str, label: str, pattern: str) -> Column:
     return T.stitched(text, P.java(pattern), lambda m: F.when(T.is_token(m), m).otherwise(T.placeholder(run_id, label, m)))
 
 
-def masked_in_steps(df: DataFrame, column: str, run_id: str) -> DataFrame:
-    """The ordered patterns, one projection each: nested in one expression, each step would repeat all before it several times.
+def masked_in_steps(df: DataFrame, column: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
+    """The ordered patterns (label, pattern), one projection each: nested in one expression, each step would repeat all before it several times.
 
-    A text without a character that every pattern needs is read once and skips all steps.
+    With the fixed patterns a text without a character that every pattern needs is read once and skips all steps.
     """
-    df = df.withColumn("__any", F.col(column).rlike(P.java(P.TEXT_NEEDS)))
-    for label, pattern in P.TEXT_PATTERNS:
+    df = df.withColumn("__any", F.col(column).rlike(P.java(P.TEXT_NEEDS)) if rules is P.TEXT_PATTERNS else F.col(column).isNotNull())
+    for label, pattern in rules:
         df = df.withColumn(column, F.when(F.col("__any"), masked_text(F.col(column), run_id, label, pattern)).otherwise(F.col(column)))
     return df.drop("__any")
 
@@ -57,16 +58,16 @@ def _found(text: Column, before: str, value: str, after: str, ignore_case: bool)
     return F.transform(F.regexp_extract_all(text, F.lit(P.java(f"({before})({value})({after})", ignore_case)), 2), F.btrim)
 
 
-def masked_names(df: DataFrame, column: str, run_id: str) -> DataFrame:
+def masked_names(df: DataFrame, column: str, run_id: str, rules=P.NAME_CONTEXTS) -> DataFrame:
     """Names found by their context anywhere in a text are replaced everywhere in it."""
-    found = F.array_distinct(F.concat(*[_found(F.col(column), b, v, a, i) for b, v, a, i in P.NAME_CONTEXTS]))
+    found = F.array_distinct(F.concat(*[_found(F.col(column), b, v, a, i) for b, v, a, i in rules], F.array().cast("array<string>")))
     return df.withColumn("__names", found).withColumn(column, T.replaced_candidates(F.col(column), F.col("__names"), lambda m: T.placeholder(run_id, "NAME", m))).drop("__names")
 
 
-def masked_entities(df: DataFrame, column: str, run_id: str) -> DataFrame:
+def masked_entities(df: DataFrame, column: str, run_id: str, rules=P.ENTITY_CONTEXTS) -> DataFrame:
     """Places, organisations and workplaces found by their context are replaced everywhere in the text, label by label."""
     by_label: dict[str, list[Column]] = {}
-    for label, b, v, a, i in P.ENTITY_CONTEXTS:
+    for label, b, v, a, i in rules:
         by_label.setdefault(label, []).append(_found(F.col(column), b, v, a, i))
     df = df.withColumns({f"__{label}": F.array_distinct(F.concat(*found)) for label, found in by_label.items()})
     for label in by_label:
@@ -74,9 +75,37 @@ def masked_entities(df: DataFrame, column: str, run_id: str) -> DataFrame:
     return df.drop(*[f"__{label}" for label in by_label])
 
 
-def masked_document(df: DataFrame, column: str, run_id: str) -> DataFrame:
-    """The whole static phase of plain text."""
-    return masked_entities(masked_names(masked_supplemental(masked_in_steps(df, column, run_id), column, run_id), column, run_id), column, run_id)
+def masked_document(df: DataFrame, column: str, run_id: str, policy: Policy | None = None) -> DataFrame:
+    """The whole static phase of plain text, by the fixed patterns or by those of a policy."""
+    steps, names, entities = (P.TEXT_PATTERNS, P.NAME_CONTEXTS, P.ENTITY_CONTEXTS) if policy is None else (policy.text_patterns, policy.name_contexts, policy.entity_contexts)
+    df = masked_supplemental(masked_in_steps(df, column, run_id, steps), column, run_id)
+    return masked_entities(masked_names(df, column, run_id, names), column, run_id, entities)
+
+
+def masked_rows(df: DataFrame, run_id: str, policy: Policy, known: Column | None = None) -> DataFrame:
+    """The whole static phase of a table by a policy: a row's known values and the note patterns in its note fields, then its static fields."""
+    notes = [c for c in policy.note_fields if c in df.columns]
+    if known is not None:
+        df = masked_known(df, notes, known, run_id)
+    return static_columns(masked_notes(df, notes, run_id, policy.note_patterns), run_id, policy.static_fields)
+
+
+def replaced_plainly(df: DataFrame, column: str, run_id: str, rules=P.TEXT_PATTERNS) -> DataFrame:
+    """Patterns in order: the distinct matches of each, the longest first, are replaced as plain substrings, wherever they stand."""
+    for label, pattern in rules:
+        found = F.array_distinct(F.regexp_extract_all(column, F.lit(P.java(pattern)), 0))
+        ordered = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+        df = df.withColumn(column, F.aggregate(ordered, F.col(column), _plain(run_id, label)))
+    return df
+
+
+def _plain(run_id: str, label: str):
+    return lambda t, v: F.replace(t, v, T.placeholder(run_id, label, v, digits=8))
+
+
+def pseudonymised_text(df: DataFrame, column: str, run_id: str) -> DataFrame:
+    """Names in context first, then the patterns as plain substrings."""
+    return replaced_plainly(pseudonymised_names(df, column, run_id), column, run_id)
 
 
 def known_values(first: str, last: str, email: str, phone: str, address: str) -> Column:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
+from cloakspark.sources.session import with_package
 
 MAX_CHARACTERS = 12_000
 
@@ -17,16 +21,30 @@ MAX_CHARACTERS = 12_000
 def split_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, pos, number, text: a text cut at lines that start with a number and a point; each record keeps its marker.
 
-    Position 0 is what stands before the first marker, with no number. A text without markers is one record, number 1.
+    Position 0 is what stands before the first marker, with no number. A text without markers is one record, number 1; a
+    blank one is no record, only such a position 0.
     """
     starts = F.col(text_col).rlike(P.java(r"^\d+\.\s"))
     parts = F.split(text_col, P.java(r"(?m)(?=^\d+\.\s)"), -1)
-    rows = df.select(id_col, F.posexplode(parts).alias("i", "text"), starts.alias("starts"), (F.size(parts) == 1).alias("alone"))
+    blank = F.btrim(F.col(text_col), F.lit(" \t\r\n")) == ""
+    rows = df.select(id_col, F.posexplode(parts).alias("i", "text"), starts.alias("starts"), ((F.size(parts) == 1) & ~blank).alias("alone"))
     pos = F.when(F.col("starts") | F.col("alone"), F.col("i") + 1).otherwise(F.col("i"))
     number = F.when(F.col("alone") & ~F.col("starts"), 1).otherwise(F.nullif(F.regexp_extract("text", P.java(r"^(\d+)\.\s"), 1), F.lit("")).try_cast("int"))
     return rows.select(id_col, pos.alias("pos"), number.alias("number"), "text")
 
 
+def bare_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, number, text of the records without their markers, trimmed; white space may stand before a marker, what stands before the first is left out."""
+    marked = split_records(df.withColumn(text_col, F.regexp_replace(text_col, P.java(r"(?m)^\s*(\d+\.)(\s|$)"), "$1$2")), id_col, text_col).where("number is not null")
+    return marked.withColumn("text", F.btrim(F.regexp_replace("text", P.java(r"^\d+\.\s"), ""), F.lit(" \t\r\n")))
+
+
+def record_count(text: Column) -> Column:
+    """Number of records of a text: its markers, or one for a text without any that isn't blank."""
+    marks = F.regexp_count(text, F.lit(P.java(r"(?m)^\d+\.\s")))
+    return F.when(marks > 0, marks).otherwise((F.btrim(text, F.lit(" \t\r\n")) != "").cast("int"))
+
+
 def joined_records(records: DataFrame, id_col: str) -> DataFrame:
     """The texts that split_records cut."""
     return records.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "").alias("text"))
@@ -38,17 +56,29 @@ def fixed_batches(df: DataFrame, row_id: str, size: int) -> DataFrame:
 
 
 def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records: int, max_characters: int = MAX_CHARACTERS) -> DataFrame:
-    """group, order, batch: in each group records are packed in order; a batch closes when it is full or would grow too long."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= max_records) | (a["chars"] + r["s"] > max_characters))
-        batch = a["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, r["s"]).otherwise(a["chars"] + r["s"]).alias("chars"), F.concat(a["out"], F.array(batch)).alias("out"))
+    """group, order, batch: in each group records are packed in order; a batch closes when it is full or would grow too long.
 
-    packed = rows.select(group, "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    return packed.select(group, F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("out").alias("b"))).alias("x")).select(group, F.col("x.r.o").alias(order), F.col("x.b").alias("batch"))
+    Packing is a walk in order: groups are brought together and sorted, and a task walks along its rows, holding a batch
+    number and two sums. Rows are three small columns; a null size counts as 0.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+    kinds = dict(rows.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, batch, n, chars = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, s in zip(b.column("g").to_pylist(), b.column("s").to_pylist(), strict=True):
+                if g != here:
+                    here, batch, n, chars = g, 0, 0, 0
+                elif n >= max_records or chars + s > max_characters:
+                    batch, n, chars = batch + 1, 0, 0
+                n, chars = n + 1, chars + s
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("o"), pa.array(out, pa.int32())], ["g", "o", "batch"])
+
+    ordered = rows.repartition("g").sortWithinPartitions("g", "o")
+    return ordered.mapInArrow(walk, f"g {kinds['g']}, o {kinds['o']}, batch int").select(F.col("g").alias(group), F.col("o").alias(order), "batch")
 
 
 def merged_detections(df: DataFrame, key: str, ord_: str, category: str, value: str) -> DataFrame:
@@ -69,12 +99,12 @@ def canonical(category: Column, aliases: dict[str, str] = P.NOTE_ALIASES) -> Col
     return F.coalesce(F.element_at(known, category), category)
 
 
-def applied_detections(rows: DataFrame, detections: DataFrame, batch: str, text_col: str, run_id: str) -> DataFrame:
+def applied_detections(rows: DataFrame, detections: DataFrame, batch: str, text_col: str, run_id: str, aliases: dict[str, str] = P.NOTE_ALIASES) -> DataFrame:
     """Rows with every accepted detection of their batch replaced in the text, outside placeholders; by category, the longest first.
 
     detections: batch, category, value. They are gathered per batch, which is bounded by the batch size.
     """
-    keyed = accepted(detections.withColumn("category", canonical(T.category_key(F.col("category")))).withColumn("value", F.btrim("value")), "category", "value").distinct()
+    keyed = accepted(detections.withColumn("category", canonical(T.category_key(F.col("category")), aliases)).withColumn("value", F.btrim("value")), "category", "value").select(batch, "category", "value").distinct()
     values = keyed.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("category", (-F.length("value")).alias("k"), "value"))).alias("found"))
     text = F.aggregate("found", F.col(text_col), lambda t, d: T.stitched_outside(t, T.value_pattern(d["value"]), lambda m: T.placeholder(run_id, T.shaped_category(d["category"], d["value"]), m)))
     return rows.join(values, batch, "left").withColumn(text_col, F.when(F.col("found").isNull(), F.col(text_col)).otherwise(text)).drop("found")
@@ -86,40 +116,53 @@ def scattered(rows: DataFrame, recovered: DataFrame, key: str, column: str) -> D
     return rows.join(new, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
-def parse_objects(raw: str) -> dict[str, list[str]]:
-    """Values by key of all JSON objects in a reply, junk between them ignored, each value once; an error if there is none."""
-    text, at, found = raw.strip(), 0, []
-    if text.startswith("```"):
-        text = text.split("\n", 1)[-1].rstrip("`").strip()
-    decoder = json.JSONDecoder()
-    while (at := text.find("{", at)) >= 0:
-        try:
-            value, at = decoder.raw_decode(text, at)
-            found.append(value)
-        except json.JSONDecodeError:
-            at += 1
-    if not found:
+_BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
+def objects_in(reply: str) -> list[str]:
+    """The JSON objects of a reply as texts, whatever stands around them (words, code fences); ValueError if there is none.
+
+    Braces are paired off outside of strings; a pair that isn't JSON is looked into.
+    """
+    out, at = [], 0
+    while (start := reply.find("{", at)) >= 0:
+        depth, at = 0, start + 1
+        for m in _BRACES.finditer(reply, start):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if not depth:
+                try:
+                    json.loads(reply[start : m.end()])
+                except ValueError:
+                    break
+                out.append(reply[start : m.end()])
+                at = m.end()
+                break
+    if not out:
         raise ValueError("no JSON object in the reply")
-    out: dict[str, list[str]] = {}
-    for key, values in (kv for o in found for kv in o.items()):
-        target = out.setdefault(str(key), [])
-        for v in values if isinstance(values, list) else [values]:
-            if v is not None and str(v) not in target:
-                target.append(str(v))
     return out
 
 
+def values_of_objects(df: DataFrame, keys: list[str], objects: str) -> DataFrame:
+    """keys, ord, category, value of all that the objects of a row hold, in order: items of arrays, or single values; nulls dropped."""
+    each = df.select(*keys, F.posexplode(objects).alias("i", "o"))
+    fields = each.select(*keys, "i", F.posexplode(F.map_entries(F.from_json("o", "map<string,string>"))).alias("j", "e"))
+    items = F.when(F.col("e.value").startswith("["), F.from_json("e.value", "array<string>")).otherwise(F.array("e.value"))
+    values = fields.select(*keys, "i", "j", F.col("e.key").alias("category"), F.posexplode(items).alias("k", "value"))
+    return values.where("value is not null").select(*keys, F.struct("i", "j", "k").alias("ord"), "category", "value")
+
+
 def parsed_replies(df: DataFrame, column: str) -> DataFrame:
-    """The frame with `detections` map<string, array<string>>, null for a reply without an object."""
+    """The frame with `objects`, the JSON objects of a reply as texts; null for a reply without one."""
 
-    @F.pandas_udf("map<string,array<string>>")
+    @F.pandas_udf("array<string>")
     def parse(replies: pd.Series) -> pd.Series:
         def one(r):
             try:
-                return parse_objects(r or "")
+                return objects_in(r or "")
             except ValueError:
                 return None
 
         return replies.map(one)
 
-    return df.withColumn("detections", parse(column))
+    with_package(df.sparkSession)
+    return df.withColumn("objects", parse(column))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,38 @@ from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
 
 
-def text_findings(text: Column) -> dict[str, Column]:
-    """Counts by detector of what is left in a plain text; placeholders are removed first, malformed ones counted."""
-    clean = F.regexp_replace(text, P.PLACEHOLDER, "")
-    counts = {name: F.regexp_count(clean, F.lit(P.java(p, i))).cast("long") for name, p, i in P.TEXT_RESIDUALS}
-    odd = F.size(F.filter(F.regexp_extract_all(text, F.lit(r"<[^>\r\n]+>"), 0), lambda t: ~t.rlike(f"^{P.PLACEHOLDER}$")))
-    return counts | {"malformed_placeholder": odd.cast("long")}
+def _counted(clean: Column, low: Column, name: str, pattern: str, ignore_case: bool) -> Column:
+    """Matches of a detector; a text without any of the words that every match holds isn't searched."""
+    n = F.regexp_count(clean, F.lit(P.java(pattern, ignore_case))).cast("long")
+    needs = [low.contains(w) for w in P.RESIDUAL_NEEDS.get(name, ())]
+    return F.when(reduce(lambda a, b: a | b, needs), n).otherwise(F.lit(0).cast("long")) if needs else n
+
+
+def with_findings(df: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with helper columns, and counts by detector of what is left in a plain text; placeholders are removed first, malformed ones counted."""
+    df = df.withColumn("__text", F.coalesce(text, F.lit(""))).withColumn("__clean", F.regexp_replace("__text", P.PLACEHOLDER, ""))
+    # letters that match i, s and k when case is ignored, in Unicode
+    df = df.withColumn("__low", F.lower(F.translate("__clean", "\u0130\u017f\u212a", "isk")))
+    counts = {name: _counted(F.col("__clean"), F.col("__low"), name, p, i) for name, p, i in P.TEXT_RESIDUALS}
+    odd = F.size(F.filter(F.regexp_extract_all("__text", F.lit(r"<[^>\r\n]+>"), 0), lambda t: ~t.rlike(f"^{P.PLACEHOLDER}$")))
+    return df, counts | {"malformed_placeholder": odd.cast("long")}
 
 
 def residual_counts(df: DataFrame, text_col: str) -> DataFrame:
     """name, n: sums of all detectors over all rows."""
-    found = text_findings(F.coalesce(F.col(text_col), F.lit("")))
+    df, found = with_findings(df.select(text_col), F.col(text_col))
     sums = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in found.items()])
     return sums.unpivot([], list(found), "name", "n")
 
 
 def residual_records(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """Records that still hold something, malformed placeholders aside."""
-    found = text_findings(F.coalesce(F.col(text_col), F.lit("")))
+    df, found = with_findings(df.select(*id_cols, text_col), F.col(text_col))
     total = sum((c for n, c in found.items() if n != "malformed_placeholder"), F.lit(0).cast("long"))
     return df.select(*id_cols, total.alias("findings")).where("findings > 0")
 
 
-def note_findings(notes: Column, known: Column | None = None) -> dict[str, Column]:
+def note_findings(notes: Column, known: Column | None = None, rules=P.NOTE_RESIDUALS) -> dict[str, Column]:
     """Counts by detector of what is left in the notes of a row, well-formed tokens removed first."""
     clean = T.without_known(notes, known)
     out: dict[str, Column] = {
@@ -39,18 +50,50 @@ def note_findings(notes: Column, known: Column | None = None) -> dict[str, Colum
         "phone": F.regexp_count(clean, F.lit(P.java(P.TEXT_RESIDUALS[1][1]))).cast("long"),
         "malformed_placeholder": T.unknown_tokens(notes, known).cast("long"),
     }
-    for name, p, i in P.NOTE_RESIDUALS:
+    for name, p, i in rules:
         n = F.size(F.filter(F.regexp_extract_all(clean, F.lit(P.java(p, i)), 1), lambda v: F.btrim(v) != "")).cast("long")
         out[name] = out[name] + n if name in out else n
     return out
 
 
-def contextual_rows(df: DataFrame, row_id: str, columns: list[str], known: Column | None = None) -> DataFrame:
+def note_counts(df: DataFrame, row_id: str, columns: list[str], first: str, last: str, address: str, known: Column | None = None, rules=P.NOTE_RESIDUALS) -> DataFrame:
+    """row_id and a count per detector for every row: what its notes (columns) still hold, and how often they hold its own full name and address, in any case.
+
+    first, last, address: the row's original values; null ones are empty, and empty ones are never found.
+    """
+    c = lambda n: F.btrim(F.coalesce(F.col(n), F.lit("")))
+    name = F.btrim(F.concat_ws(" ", F.nullif(c(first), F.lit("")), F.nullif(c(last), F.lit(""))))
+    text = lambda n: F.coalesce(F.col(n), F.lit(""))
+    own = {label: sum([occurrences(text(n), value) for n in columns], F.lit(0).cast("long")) for label, value in (("known_name", name), ("known_address", c(address)))}
+    found = note_findings(F.concat_ws("\n", *[text(n) for n in columns]), known, rules) | own
+    return df.select(row_id, *[n.alias(label) for label, n in found.items()])
+
+
+def note_report(counts: DataFrame, row_id: str) -> DataFrame:
+    """name, n: sums of `note_counts` over all rows."""
+    labels = [c for c in counts.columns if c != row_id]
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in labels]).unpivot([], labels, "name", "n")
+
+
+def affected_rows(counts: DataFrame, row_id: str) -> DataFrame:
+    """row: numbers, from 1, of the rows that still hold something. row_id is dense from 0."""
+    some = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in counts.columns if c != row_id])
+    return counts.where(some).select((F.col(row_id) + 1).alias("row"))
+
+
+def report_status(counts: DataFrame, row_id: str) -> DataFrame:
+    """One row: status, residual_count, affected_row_count."""
+    total = sum([F.col(c) for c in counts.columns if c != row_id], F.lit(0).cast("long"))
+    sums = counts.agg(F.coalesce(F.sum(total), F.lit(0)).alias("residual_count"), F.count_if(total > 0).alias("affected_row_count"))
+    return sums.select(F.when(F.col("residual_count") == 0, "passed").otherwise("completed_with_warnings").alias("status"), "residual_count", "affected_row_count")
+
+
+def contextual_rows(df: DataFrame, row_id: str, columns: list[str], known: Column | None = None, rules=P.NOTE_RESIDUALS) -> DataFrame:
     """Rows whose notes still match a contextual detector."""
     notes = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
     clean = df.select(row_id, T.without_known(notes, known).alias("clean"))
     hits = F.lit(False)
-    for _, p, i in P.NOTE_RESIDUALS:
+    for _, p, i in rules:
         hits = hits | F.exists(F.regexp_extract_all("clean", F.lit(P.java(p, i)), 1), lambda v: F.btrim(v) != "")
     return clean.where(hits).select(row_id)
 
@@ -118,6 +161,25 @@ def credit_profiles(df: DataFrame) -> DataFrame:
     return df.select("customer_id", "name", F.struct(F.col("segment").alias("type"), limit.alias("limit"), balance.alias("balance")).alias("card"), u.alias("utilisation"), (u >= 0.8).alias("high"))
 
 
+#: Structs of a customer's profile: field, column of the table, whether it is a number.
+PROFILE = {
+    "account": (("type", "Account Type", False), ("balance", "Account Balance", True), ("opened", "Date Of Account Opening", False)),
+    "loan": (("loan_id", "Loan ID", False), ("amount", "Loan Amount", True), ("type", "Loan Type", False), ("status", "Loan Status", False)),
+    "card": (("card_id", "CardID", False), ("type", "Card Type", False), ("credit_limit", "Credit Limit", True), ("balance", "Credit Card Balance", True)),
+    "feedback": (("type", "Feedback Type", False), ("resolution", "Resolution Status", False)),
+}
+
+
+def customer_profiles(df: DataFrame) -> DataFrame:
+    """Nested profiles of a customer table, with utilisation and flag. Missing columns and null cells are empty, or 0 for numbers."""
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    name = F.btrim(F.concat(F.btrim(cell("First Name")), F.lit(" "), F.btrim(cell("Last Name"))))
+    parts = [F.struct(*[(number(cell(c)) if numeric else cell(c)).alias(f) for f, c, numeric in entries]).alias(part) for part, entries in PROFILE.items()]
+    u = utilisation(number(cell("Credit Card Balance")), number(cell("Credit Limit")))
+    plain = [cell("Customer ID").alias("customer_id"), name.alias("name"), number(cell("Age")).cast("int").alias("age"), *[cell(c).alias(c.lower()) for c in ("Gender", "City", "Email")]]
+    return df.select(*plain, *parts, u.alias("utilisation"), (u >= 0.8).alias("high"))
+
+
 def credit_stats(profiles: DataFrame) -> DataFrame:
     """One row: customers, flagged ones, mean utilisation."""
     return profiles.agg(F.count("*").alias("total"), F.count_if("high").alias("flagged"), F.coalesce(F.avg("utilisation"), F.lit(0.0)).alias("mean_utilisation"))

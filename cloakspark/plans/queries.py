@@ -11,9 +11,13 @@ from cloakspark.operators import mapping as M
 from cloakspark.operators import masking as K
 from cloakspark.operators import records as R
 from cloakspark.operators import reports as S
+from cloakspark.operators import trees as J
 from cloakspark.plans import fixtures as X
 from cloakspark.plans.fixtures import RUN, fixture
+from cloakspark.sources import exchange as E
 from cloakspark.sources import handoff as H
+from cloakspark.sources.policy import Policy
+from cloakspark.sources.session import checkpointed
 
 NOTES = ["customer_notes", "transaction_description"]
 INDEXED = (("first_name", "FIRSTNAME"), ("last_name", "LASTNAME"))
@@ -41,7 +45,8 @@ def mapping_first_seen(spark, d):
 
 
 def mapping_collisions(spark, d):
-    return M.resolved_collisions(M.found_in(_documents(spark, d), "doc_id", "text", RUN).withColumn("ord", F.col("ord.id")).groupBy("label", "raw").agg(F.min("ord").alias("ord")).withColumn("ord", F.struct("ord", "raw")), RUN, 1)
+    """With tokens of two digits, so that values collide."""
+    return M.resolved_collisions(M.found_in(_documents(spark, d), "doc_id", "text", RUN).withColumn("ord", F.struct(F.col("ord.id").alias("id"), "raw")), RUN, 2)
 
 
 def placeholder_counts(spark, d):
@@ -49,7 +54,26 @@ def placeholder_counts(spark, d):
 
 
 def rehydrate_single(spark, d):
-    return M.restored_once(_masked(spark, d), "doc_id", "text", _mapping(spark, d)).select("doc_id", "text", "changed")
+    trace = checkpointed(M.traced(_documents(spark, d), "doc_id", "text", RUN))  # the chain of patterns runs once for text and mapping
+    mapping = M.first_seen(M.found_of(trace, RUN))
+    return M.restored_once(trace.select(F.col("id").alias("doc_id"), "text"), "doc_id", "text", mapping).select("doc_id", "text", "changed")
+
+
+_PAYLOAD = ('{"status":"ok","<T_', '>":"a key","records":[{"id":', ',"note":"see <T_', '> and <X_1>"}]}')
+
+
+def _payloads(spark, d):
+    k = F.col("c_custkey").cast("string")
+    json = F.concat(*[x for part in _PAYLOAD[:-1] for x in (F.lit(part), k)], F.lit(_PAYLOAD[-1]))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", json.alias("payload"))
+
+
+def restore_json(spark, d):
+    return J.restored(_payloads(spark, d), "c_custkey", "payload", _edges(spark, d))
+
+
+def json_token_counts(spark, d):
+    return J.token_counts(_payloads(spark, d), "payload")
 
 
 def _edges(spark, d):
@@ -84,6 +108,10 @@ def integrity_summary(spark, d):
     return M.integrity_summary(_returned(spark, d))
 
 
+def integrity_lists(spark, d):
+    return M.integrity_lists(_returned(spark, d))
+
+
 def mask_static_columns(spark, d):
     return K.static_columns(fixture(spark, d, X.BANK).select("row_id", *[c for c, _ in P.STATIC_FIELDS]), RUN)
 
@@ -121,6 +149,36 @@ def mask_document(spark, d):
     return K.masked_document(fixture(spark, d, X.NUMBERED), "text", RUN)
 
 
+#: The fixed patterns as a policy of its own file format.
+POLICY = Policy(
+    {
+        "structured": {
+            "static_fields": [{"field": f, "label": label} for f, label in P.STATIC_FIELDS], "dynamic_fields": [{"field": f, "label": f.upper()} for f in NOTES],
+            "deterministic_free_text_patterns": [{"label": label, "pattern": p} for label, p in P.NOTE_PATTERNS],
+        },
+        "unstructured": {
+            "regex_patterns": dict(P.TEXT_PATTERNS),
+            "name_context_patterns": [{"pattern": f"(?P<prefix>{b})(?P<name>{v})(?P<suffix>{a})", "flags": ["IGNORECASE"] if i else []} for b, v, a, i in P.NAME_CONTEXTS],
+            "contextual_entity_patterns": [{"label": label, "group": "value", "pattern": f"(?P<prefix>{b})(?P<value>{v})(?P<suffix>{a})", "flags": ["IGNORECASE"] if i else []} for label, b, v, a, i in P.ENTITY_CONTEXTS],
+        },
+    },
+    {"policy_id": "p", "version": "1", "status": "active", "runtime_flags": {}, "mapping_storage": {"mode": "local"}},
+)
+
+
+def mask_document_policy(spark, d):
+    return K.masked_document(fixture(spark, d, X.NUMBERED), "text", RUN, POLICY)
+
+
+def mask_rows_policy(spark, d):
+    known = K.known_values("first_name", "last_name", "email", "phone", "address")
+    return K.masked_rows(fixture(spark, d, X.BANK), RUN, POLICY, known)
+
+
+def pseudonym_text(spark, d):
+    return K.pseudonymised_text(fixture(spark, d, X.NUMBERED), "text", RUN)
+
+
 def pseudonym_names(spark, d):
     return K.pseudonymised_names(fixture(spark, d, X.NUMBERED), "text", RUN)
 
@@ -133,6 +191,14 @@ def split_records(spark, d):
     return _records(spark, d)
 
 
+def strip_records(spark, d):
+    return R.bare_records(fixture(spark, d, X.NUMBERED), "doc_id", "text").select("doc_id", "number", "text")
+
+
+def record_counts(spark, d):
+    return fixture(spark, d, X.NUMBERED).select("doc_id", R.record_count(F.col("text")).alias("n"))
+
+
 def join_records(spark, d):
     return R.joined_records(_records(spark, d), "doc_id")
 
@@ -146,10 +212,6 @@ def batch_greedy(spark, d):
 
 
 def residual_counts(spark, d):
-    return S.residual_counts(_documents(spark, d), "text").where(~F.col("name").isin("phone", "card_or_account", "contextual_identifier", "currency_amount"))
-
-
-def residual_counts_all(spark, d):
     """All counters, over documents and pages."""
     pages = spark.read.parquet(f"{d}/pages.parquet").select("html")
     return S.residual_counts(_documents(spark, d).select("text").union(pages), "text")
@@ -167,6 +229,22 @@ def residual_rows(spark, d):
     return S.contextual_rows(_known(spark, d), "row_id", NOTES)
 
 
+def _note_counts(spark, d):
+    return S.note_counts(_known(spark, d), "row_id", NOTES, "first_name", "last_name", "address")
+
+
+def residual_note_report(spark, d):
+    return S.note_report(_note_counts(spark, d), "row_id")
+
+
+def residual_note_rows(spark, d):
+    return S.affected_rows(_note_counts(spark, d), "row_id")
+
+
+def residual_note_status(spark, d):
+    return S.report_status(_note_counts(spark, d), "row_id")
+
+
 def merge_detections(spark, d):
     return R.merged_detections(fixture(spark, d, X.DETECTIONS), "batch_id", "ord", "category", "value")
 
@@ -176,6 +254,10 @@ def accept_detections(spark, d):
     return R.accepted(found, "category", "value").withColumn("shaped", T.shaped_category(F.col("category"), F.col("value")))
 
 
+def canonical_text(spark, d):
+    return fixture(spark, d, X.DETECTIONS).select("batch_id", "ord", R.canonical(T.category_key(F.col("category")), P.TEXT_ALIASES).alias("category"), T.only_tokens(F.col("value")).alias("only_tokens"))
+
+
 def apply_detections(spark, d):
     rows = fixture(spark, d, X.BANK).select("row_id", F.floor(F.col("row_id") / 25).cast("long").alias("batch_id"), "transaction_description")
     return R.applied_detections(rows, fixture(spark, d, X.DETECTIONS).select("batch_id", "category", "value"), "batch_id", "transaction_description", RUN)
@@ -199,6 +281,14 @@ def credit_stats(spark, d):
     return S.credit_stats(_profiles(spark, d)).withColumn("mean_utilisation", F.round("mean_utilisation", 6))
 
 
+def customer_profile_nested(spark, d):
+    names = {"customer_id": "Customer ID", "name": "First Name", "segment": "Account Type", "credit_limit": "Credit Limit", "balance": "Credit Card Balance"}
+    rows = fixture(spark, d, X.CREDIT).withColumnsRenamed(names).withColumns({"Age": F.col("Customer ID") % 90, "Loan Amount": F.col("Credit Limit"), "Feedback Type": F.lit("praise")})
+    nested = S.customer_profiles(rows)
+    flat = ["account.type", "account.balance", "loan.amount", "loan.status", "card.credit_limit", "card.balance", "feedback.type"]
+    return nested.select("customer_id", "name", "age", *[F.col(c).alias(c.replace(".", "_")) for c in flat], "utilisation", "high")
+
+
 def privacy_risk(spark, d):
     return S.privacy_risk(_records(spark, d).where("number is not null"), "text").select("doc_id", "number", F.array_join("types", ", ").alias("types"), "calculation", "score", "risk")
 
@@ -235,6 +325,16 @@ def envelope(spark, d):
     return rows.select("c_custkey", F.col("envelope.gateway_metadata.third_party_run_id_status").alias("run_status"), status.alias("status"), S.rehydration_status(status, k % 2).alias("rehydration"))
 
 
+def unwrap_envelope(spark, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, '{"gateway_metadata":{"run_id":"r"},"third_party_payload":{"a":1}}').when(k % 4 == 1, '{"body":"{\\"a\\":2}"}').when(k % 4 == 2, '{"body":{"a":3}}').otherwise('{"a":4}')
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", E.unwrapped(text).alias("payload"))
+
+
+def mapping_fetch(spark, d):
+    return H.bare(H.fetched(_store(spark, d), "req-4", "final", "a"))
+
+
 def ledger_anchor(spark, d):
     logs = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.col("event_type"), F.lit(".log")).alias("name")).distinct().withColumn("sha256", F.sha2("name", 256))
     ledger = logs.where(F.length("name") % 2 == 0).groupBy(F.lit("old.zip").alias("zip_name")).agg(F.collect_list("name").alias("included_logs"))
@@ -346,8 +446,54 @@ def _count_sql(c: str, p: str, i: bool) -> str:
     return f"coalesce(sum(len(regexp_extract_all({c}, {_q(('(?i)' if i else '') + p)}))), 0) :: bigint"
 
 
-_SAFE = [(n, p, i) for n, p, i in P.TEXT_RESIDUALS if n not in ("phone", "card_or_account", "contextual_identifier", "currency_amount")]
-_RESIDUALS = "with c as (select text, regexp_replace(text, {ph}, '', 'g') as clean from documents) ".replace("{ph}", _PH) + " union all ".join(f"select '{n}' as name, {_count_sql('clean', p, i)} as n from c" for n, p, i in _SAFE) + r" union all select 'malformed_placeholder', coalesce(sum(len(list_filter(regexp_extract_all(text, '<[^>\r\n]+>'), lambda x: not regexp_full_match(x, '<[A-Za-z0-9_]+>')))), 0) :: bigint from c"
+#: Detectors with look-arounds, in the words of DuckDB's engine: edges of digit runs are marked in the text first; a look-behind before a sign or a word is an edge.
+_DIGITS = r"regexp_replace(regexp_replace({c}, '(^|[^0-9])([0-9])', '\1' || chr(2) || '\2', 'g'), '([0-9])([^0-9]|$)', '\1' || chr(3) || '\2', 'g')"
+_PHONE = r"\x02\d(?:[\x02\x03]{0,2}[0-9(). -]){8,17}[\x02\x03]*\d\x03"
+_AMOUNT = r"\d[\d,]*(?:\.\d{1,2})?"
+
+
+def _residual_sql(c: str, name: str, p: str, i: bool) -> str:
+    """Number of matches of a detector in a column."""
+    if name == "phone":
+        return f"len(regexp_extract_all({_DIGITS.replace('{c}', c)}, {_q(_PHONE)}))"
+    if name == "contextual_identifier":
+        return f"len(list_filter(regexp_extract_all({c}, {_q('(?i)' + p.replace('(?=[A-Z0-9-]*' + chr(92) + 'd)', ''))}), lambda x: regexp_matches(regexp_extract(x, '[A-Z0-9-]+$', 0, 'i'), '[0-9]')))"
+    if name == "currency_amount":
+        p = rf"(?:\B[$€£₹]\s?{_AMOUNT}|\b(?:INR|USD|EUR|GBP)\s+{_AMOUNT}|\b{_AMOUNT}\s+pounds?)\b"
+    return f"len(regexp_extract_all({c}, {_q(('(?i)' if i else '') + p)}))"
+
+
+_MALFORMED = r"len(list_filter(regexp_extract_all(text, '<[^>\r\n]+>'), lambda x: not regexp_full_match(x, '<[A-Za-z0-9_]+>')))"
+
+
+def _residuals(source: str) -> str:
+    counts = [(n, _residual_sql("clean", n, p, i)) for n, p, i in P.TEXT_RESIDUALS] + [("malformed_placeholder", _MALFORMED)]
+    return f"c as materialized (select coalesce(text, '') as text, regexp_replace(coalesce(text, ''), {_PH}, '', 'g') as clean from {source}) " + " union all ".join(f"select '{n}' as name, coalesce(sum({e}), 0) :: bigint as n from c" for n, e in counts)
+
+
+_RESIDUALS = "with " + _residuals("(select text from documents union all select html from pages)")
+_TOTAL = " + ".join(_residual_sql("clean", n, p, i) for n, p, i in P.TEXT_RESIDUALS)
+
+
+def _candidates(found: list[tuple[str, str, str, bool]]) -> str:
+    """The pattern of all that stands in some contexts of t, the longest first; null for nothing. No look-around is needed where values begin and end with letters."""
+    every = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(t, {_q(('(?i)' if i else '') + f'({b})({v})({a})')}, 2), lambda x: trim(x))" for b, v, a, i in found) + ")" if len(found) > 1 else "".join(f"regexp_extract_all(t, {_q(('(?i)' if i else '') + f'({b})({v})({a})')}, 2)" for b, v, a, i in found)
+    ordered = f"list_sort(list_transform(list_distinct(list_filter({every}, lambda x: x <> '' and not (x like '<%' and x like '%>'))), lambda x: {{'l': -length(x), 'v': x}}))"
+    return f"nullif('(?i)\\b(?:' || array_to_string(list_transform({ordered}, lambda z: regexp_escape(z.v)), '|') || ')\\b', '(?i)\\b(?:)\\b')"
+
+
+def _everywhere(start: str, end: str) -> str:
+    """CTEs from `start` (doc_id, t) to `end`: names, then places and organisations, by their contexts."""
+    labels = list(dict.fromkeys(label for label, *_ in P.ENTITY_CONTEXTS))
+    found = ", ".join(f"{_candidates([c for label_, *c in P.ENTITY_CONTEXTS if label_ == label])} as p{k}" for k, label in enumerate(labels))
+    steps = [f"{end}n as (select doc_id, case when p is null then t else {_stitch('t', 'p', _ph('NAME', 'z[2]'))} end as t from (select doc_id, t, {_candidates(list(P.NAME_CONTEXTS))} as p from {start}))", f"{end}0 as (select *, {found} from {end}n)"]
+    steps += [f"{end}{k + 1} as (select * replace (case when p{k} is null then t else {_stitch('t', f'p{k}', _ph(label, 'z[2]'))} end as t) from {end}{k})" for k, label in enumerate(labels)]
+    return ", ".join(steps) + f", {end} as (select doc_id, t as text from {end}{len(labels)})"
+
+
+_WHOLE = _chain(f"({_NUMBERED})", "doc_id", [*_TEXT_STEPS, *[_parts(b, v, a, "(?i)", _ph(label, "z[3]")) for label, b, v, a in P.SUPPLEMENTAL_PATTERNS]])
+_DOCUMENT = f"{_WHOLE}, {_everywhere(f's{len(_TEXT_STEPS) + len(P.SUPPLEMENTAL_PATTERNS)}', 'whole')}"
+_DETERMINISTIC = [_stitch("t", _q("(?i)" + P.NOTE_PATTERNS[0][1]), _ph("EMAIL", "z[2]")), _stitch("t", _q(r"\b\d[\d(). -]{8,17}\d\b"), _ph("PHONE_NUMBER", "z[2]")), _stitch("t", _q("(?i)" + P.NOTE_PATTERNS[2][1]), _ph("ADDRESS", "z[2]"))]
 _CANON = "case k " + " ".join(f"when '{a}' then '{b}'" for a, b in P.NOTE_ALIASES.items()) + " else k end"
 _SHAPED = "case " + " ".join(f"when regexp_matches(value, {_q('(?i)' + p)}) then '{n}'" for n, p in P.CATEGORY_SHAPES) + " when category = 'MEDICAL_REFERENCE' then 'HEALTH_CONTEXT' else category end"
 _CREDIT = f"select customer_id, name, segment as card_type, coalesce(try_cast(credit_limit as double), 0.0) as card_limit, coalesce(try_cast(balance as double), 0.0) as card_balance from ({X.duck(X.CREDIT)})"
@@ -368,6 +514,31 @@ def _route_sql(text: bool) -> str:
 
 _STORE = "select 'req-' || (o_orderkey % 20) as request_id, case when o_orderkey % 3 = 0 then 'static' else 'final' end as stage, case when o_orderkey % 2 = 0 then 'a' else 'b' end as table_name, '<P_' || o_orderkey || '>' as placeholder, o_orderkey as created_at from orders"
 
+_FREE = " join ".join(f"(with {_chain(f'({_known_query(c)})', 'row_id', _DETERMINISTIC, c)} select row_id, t as {c} from s3)" for c in NOTES)
+_STRICT_GONE = f"case when {_STRICT.replace('x,', 'z[2],')} then '' else z[2] end"
+_NOTES_SQL = f"notes as (select row_id, first_name, last_name, address, customer_notes, transaction_description, customer_notes || chr(10) || transaction_description as t from ({_KNOWN}) join (select row_id, first_name, last_name, address from ({_BANK})) using (row_id)), clean as materialized (select *, {_stitch('t', _q(P.ANGLE_TOKEN), _STRICT_GONE)} as clean from notes)"
+_AHEAD = lambda p: p.replace("(?=", "(?:")  # noqa: E731  a look-ahead at the end of a pattern may as well be matched
+_OWN = lambda v: " + ".join(f"(length({c}) - length(replace(lower({c}), lower({v}), ''))) // length({v})" for c in NOTES)
+_NOTE_COUNTS = [
+    ("email", _residual_sql("clean", "email", P.TEXT_RESIDUALS[0][1], False)), ("phone", _residual_sql("clean", "phone", "", False)), ("malformed_placeholder", f"len(list_filter(regexp_extract_all(t, {_q(P.ANGLE_TOKEN)}), lambda x: not {_STRICT}))"),
+    *((n, " + ".join(f"len(regexp_extract_all(clean, {_q(('(?i)' if i else '') + _AHEAD(p))}))" for m, p, i in P.NOTE_RESIDUALS if m == n)) for n in dict.fromkeys(n for n, _, _ in P.NOTE_RESIDUALS)),
+    ("known_name", _OWN("first_name || ' ' || last_name")), ("known_address", _OWN("address")),
+]
+_NOTE_TOTAL = " + ".join(f"({e})" for _, e in _NOTE_COUNTS)
+_ACCEPTED = f"select batch_id, ord, category, value from (select batch_id, ord, {_CANON} as category, trim(value) as value from (select *, trim(regexp_replace(upper(trim(category)), '\\W+', '_', 'g'), '_') as k from ({X.duck(X.DETECTIONS)}))) where not (value like '<%' and value like '%>') and (length(value) >= 2 or regexp_full_match(value, '\\d+')) and not (regexp_full_match(value, '\\d+') and length(value) < 4 and category not in ({', '.join(f"'{c}'" for c in P.ID_CATEGORIES)}))"
+#: Of the derived detections those that stand in a description, in order of their categories.
+_SAID = (("EMPLOYEE_ID", "EMP-77AB"), ("HEALTHCARE_ORGANIZATION", "Acme Works"), ("NAME", "Jordan"))
+_APPLIED = "transaction_description"
+for _label, _value in _SAID:
+    _APPLIED = f"case when list_contains(found, '{_value}') then replace({_APPLIED}, '{_value}', {_ph(_label, _q(_value))}) else {_APPLIED} end"
+_TEXT_CANON = "case k " + " ".join(f"when '{a}' then '{b}'" for a, b in P.TEXT_ALIASES.items()) + " else k end"
+_TOKEN2 = f"'<' || label || '_' || substr(sha256('{RUN}|' || label || '|' || norm || case when i = 0 then '' else '|' || i end), 1, 2) || '>'"
+_PLAINLY = "list_reduce(list_prepend(t, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(t, {p})), lambda x: {'l': -length(x), 'v': x})), lambda z: z.v)), lambda acc, v: replace(acc, v, {ph}))"
+_PSEUDONYMS = [_parts(b, v, a, "(?i)" if i else "", f"({_ph('FIRSTNAME', chr(39).join(['regexp_extract(z[3], ', r'^\S+', ')']), 8)} || case when regexp_matches(z[3], '\\s') then ' ' || {_ph('LASTNAME', chr(39).join(['regexp_replace(z[3], ', r'^\S+\s+', ', ', '', ')']), 8)} else '' end)") for b, v, a, i in P.NAME_CONTEXTS]
+_PSEUDONYM_STEPS = _PSEUDONYMS + [_PLAINLY.replace("{p}", _q(p)).replace("{ph}", _ph(label, "v", 8)) for label, p in P.TEXT_PATTERNS]
+_STATIC = ", ".join(f"{_ph(label, c)} as {c}" for c, label in P.STATIC_FIELDS)
+_JSON = " || c_custkey || ".join(_q(x) for x in _PAYLOAD[:-1])
+
 _PASSES = "p0 as (select c_custkey, 'see <T_' || c_custkey || '> and <X_1>' as t, 0 as passes from customer), " + ", ".join(f"p{k + 1} as (select c_custkey, n as t, passes + case when n <> t then 1 else 0 end as passes from (select c_custkey, t, passes, {_BACK} as n from p{k}, m))" for k in range(5))
 
 ORACLES = {
@@ -382,13 +553,39 @@ ORACLES = {
         select distinct s as placeholder from path where s = x""",
     "unresolved_count": f"with {_MASKED} select coalesce(sum(len(regexp_extract_all(text, {_PH}))), 0) :: bigint as n from masked",
     "integrity_full_outer": f"with {_MASKED}, {_COUNTED} select * from report",
-    "integrity_summary": f"with {_MASKED}, {_COUNTED} select sum(expected) :: bigint as expected_count, sum(returned) :: bigint as returned_count, count(*) filter (status = 'missing') as missing_count, count(*) filter (status = 'unexpected') as unexpected_count, case when count(*) filter (status = 'unexpected') > 0 then 'failed' else 'passed' end as status from report",
+    "integrity_summary": f"with {_MASKED}, {_COUNTED} select count(*) filter (expected > 0) as expected_count, count(*) filter (returned > 0) as returned_count, count(*) filter (status = 'missing') as missing_count, count(*) filter (status = 'unexpected') as unexpected_count, case when count(*) filter (status = 'unexpected') > 0 then 'failed' else 'passed' end as status from report",
     "mask_static_columns": f"select row_id, {', '.join(f'{_ph(label, c)} as {c}' for c, label in P.STATIC_FIELDS)} from ({_BANK})",
     "mask_index": f"select row_id, {', '.join(f"'<{label}_' || row_id || '>' as {c}" for c, label in INDEXED)} from ({_BANK})",
     "mask_cell_md5": f"select row_id, {', '.join(f"case when {c} = '' or {c} like '<%' then {c} else '<LLM_{label}_' || substr(md5('{label}|' || {c}), 1, 6) || '>' end as {c}" for c, label in HASHED)} from ({_BANK})",
     "mask_known_values": _KNOWN,
     "mask_supplemental": f"with {_SUPPLEMENTAL} select doc_id, t as text from s{len(P.SUPPLEMENTAL_PATTERNS)}",
-    "pseudonym_names": "with " + _chain(f"({_NUMBERED})", "doc_id", [_parts(b, v, a, "(?i)" if i else "", f"({_ph('FIRSTNAME', chr(39).join(['regexp_extract(z[3], ', r'^\S+', ')']), 8)} || case when regexp_matches(z[3], '\\s') then ' ' || {_ph('LASTNAME', chr(39).join(['regexp_replace(z[3], ', r'^\S+\s+', ', ', '', ')']), 8)} else '' end)") for b, v, a, i in P.NAME_CONTEXTS]) + f" select doc_id, t as text from s{len(P.NAME_CONTEXTS)}",
+    "pseudonym_names": f"with {_chain(f'({_NUMBERED})', 'doc_id', _PSEUDONYMS)} select doc_id, t as text from s{len(_PSEUDONYMS)}",
+    "pseudonym_text": f"with {_chain(f'({_NUMBERED})', 'doc_id', _PSEUDONYM_STEPS)} select doc_id, t as text from s{len(_PSEUDONYM_STEPS)}",
+    "mapping_collisions": f"""with recursive {_MASKED}, {_FOUND}, keys as (select label, norm, row_number() over (order by ord, label, norm) as k from (select label, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as norm, min((doc_id, raw)) as ord from found group by all)),
+        seq as (select 0 :: bigint as k, [] :: varchar[] as used, '' as label, '' as norm, '' as placeholder
+                union all select k + 1, list_append(used, p), label, norm, p from (select seq.k, used, keys.label, keys.norm, list_filter(list_transform(range(0, 300), lambda i: {_TOKEN2.replace('label', 'keys.label').replace('norm', 'keys.norm')}), lambda x: not list_contains(used, x))[1] as p from seq join keys on keys.k = seq.k + 1))
+        select label, norm, placeholder from seq where k > 0""",
+    "integrity_lists": f"with {_MASKED}, {_COUNTED} select status, placeholder from report where status <> 'ok'",
+    "restore_json": f"with m as (select map_from_entries(list((placeholder, original_value))) as m from ({X.duck(X.EDGES)})), {_PASSES} select c_custkey, {_q(_PAYLOAD[0])} || c_custkey || {_q(_PAYLOAD[1])} || c_custkey || ',\"note\":\"' || t || '\"}}]}}' as payload, passes from p5",
+    "json_token_counts": "select '<T_' || c_custkey || '>' as placeholder, 1 :: bigint as n from customer union all select '<X_1>', count(*) from customer",
+    "candidates_propagate": f"with s0 as (select doc_id, text as t from ({_NUMBERED})), {_everywhere('s0', 'e')} select doc_id, text from e",
+    "mask_document": f"with {_DOCUMENT} select doc_id, text from whole",
+    "mask_document_policy": f"with {_DOCUMENT} select doc_id, text from whole",
+    "mask_rows_policy": f"select * from (select row_id, {_STATIC} from ({_BANK})) join ({'select * from ' + _FREE + ' using (row_id)'}) using (row_id)",
+    "mask_free_text_det": f"select * from {_FREE} using (row_id)",
+    "strip_records": f"with {_RECORDS} select doc_id, number, trim(regexp_replace(text, '^\\d+\\.\\s', ''), ' ' || chr(9) || chr(13) || chr(10)) as text from recs where number is not null",
+    "record_counts": f"with {_RECORDS} select doc_id, count(number) :: int as n from recs group by doc_id",
+    "residual_after_mask": f"with {_DOCUMENT}, {_residuals('whole')}",
+    "residual_records": f"with {_RECORDS}, c as materialized (select doc_id, number, regexp_replace(text, {_PH}, '', 'g') as clean from recs where number is not null), f as (select doc_id, number, ({_TOTAL}) :: bigint as findings from c) select * from f where findings > 0",
+    "residual_rows": f"with {_NOTES_SQL} select row_id from clean where " + " or ".join(f"regexp_matches(clean, {_q(('(?i)' if i else '') + _AHEAD(p))})" for _, p, i in P.NOTE_RESIDUALS),
+    "residual_note_report": f"with {_NOTES_SQL} " + " union all ".join(f"select '{n}' as name, coalesce(sum({e}), 0) :: bigint as n from clean" for n, e in _NOTE_COUNTS),
+    "residual_note_rows": f"with {_NOTES_SQL} select row_id + 1 as row from clean where {_NOTE_TOTAL} > 0",
+    "residual_note_status": f"with {_NOTES_SQL}, t as (select ({_NOTE_TOTAL}) :: bigint as n from clean) select case when sum(n) = 0 then 'passed' else 'completed_with_warnings' end as status, sum(n) :: bigint as residual_count, count(*) filter (n > 0) as affected_row_count from t",
+    "canonical_text": f"select batch_id, ord, {_TEXT_CANON} as category, regexp_full_match(value, '<[A-Za-z0-9_]+>') or trim(regexp_replace(value, '<[A-Za-z0-9_]+>', '', 'g'), ' <>' || chr(9) || chr(13) || chr(10)) = '' as only_tokens from (select *, trim(regexp_replace(upper(trim(category)), '\\W+', '_', 'g'), '_') as k from ({X.duck(X.DETECTIONS)}))",
+    "apply_detections": f"with a as (select batch_id, list(distinct value) as found from ({_ACCEPTED}) group by batch_id) select row_id, batch_id, {_APPLIED} as transaction_description from (select row_id, cast(floor(row_id / 25) as bigint) as batch_id, transaction_description from ({_BANK})) left join a using (batch_id)",
+    "customer_profile_nested": f"select cast(customer_id as varchar) as customer_id, trim(name) as name, cast(customer_id % 90 as int) as age, segment as account_type, 0.0 :: double as account_balance, coalesce(try_cast(credit_limit as double), 0.0) as loan_amount, '' as loan_status, coalesce(try_cast(credit_limit as double), 0.0) as card_credit_limit, coalesce(try_cast(balance as double), 0.0) as card_balance, 'praise' as feedback_type, case when try_cast(credit_limit as double) > 0 then try_cast(balance as double) / try_cast(credit_limit as double) else 0.0 end as utilisation, coalesce(case when try_cast(credit_limit as double) > 0 then try_cast(balance as double) / try_cast(credit_limit as double) else 0.0 end, 0.0) >= 0.8 as high from ({X.duck(X.CREDIT)})",
+    "unwrap_envelope": """select c_custkey, ['{"a":1}', '{"a":2}', '{"a":3}', '{"a":4}'][c_custkey % 4 + 1] as payload from customer""",
+    "mapping_fetch": f"select request_id, stage, table_name, trim(placeholder, '<>') as placeholder, created_at from ({_STORE}) where request_id = 'req-4' and stage = 'final' and table_name = 'a'",
     "split_records": f"with {_RECORDS} select * from recs",
     "join_records": f"with numbered as ({_NUMBERED}) select doc_id, text from numbered",
     "batch_fixed": "select doc_id, doc_id // 25 as batch_id, (doc_id % 25 + 1) :: int as position from documents",
@@ -421,7 +618,8 @@ QUERIES = {
     for f in (
         mask_text_patterns, mapping_first_seen, mapping_collisions, placeholder_counts, rehydrate_single, rehydrate_multipass, mapping_cycles, unresolved_count, integrity_full_outer, integrity_summary,
         mask_static_columns, mask_index, mask_cell_md5, mask_known_values, mask_free_text_det, mask_supplemental, candidates_propagate, mask_document, pseudonym_names, split_records, join_records,
-        batch_fixed, batch_greedy, residual_counts, residual_counts_all, residual_after_mask, residual_records, residual_rows, merge_detections, accept_detections, apply_detections, fidelity, credit_profile, credit_stats,
-        privacy_risk, extract_fields, token_integrity_strict, route_external, manifest_check, envelope, ledger_anchor, recover_scatter, mapping_upsert, latest_request, restore_plain,
+        batch_fixed, batch_greedy, residual_counts, residual_after_mask, residual_records, residual_rows, merge_detections, accept_detections, apply_detections, fidelity, credit_profile, credit_stats,
+        privacy_risk, extract_fields, token_integrity_strict, restore_json, json_token_counts, integrity_lists, mask_document_policy, mask_rows_policy, pseudonym_text, strip_records, record_counts, residual_note_report, residual_note_rows, residual_note_status,
+        canonical_text, customer_profile_nested, unwrap_envelope, mapping_fetch, route_external, manifest_check, envelope, ledger_anchor, recover_scatter, mapping_upsert, latest_request, restore_plain,
     )
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakspark.functions import text as T
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header, all cells strings, blank ones as empty strings."""
@@ -20,7 +24,7 @@ def read_table_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path), text: one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
 def newest_file(spark: SparkSession, path: str) -> str | None:
@@ -49,6 +53,43 @@ def read_stage(spark: SparkSession, path: str, domain: str, run_id: str, stage:
     return rows.drop("domain", "run_id", "stage")
 
 
+def store_mapping(mapping: DataFrame, domain: str, run_id: str, stage: str, mode: str = "local", path: str | None = None, to_database: Callable[[DataFrame], None] | None = None) -> None:
+    """Keep a mapping (placeholder and its value or ciphertext) of a stage: locally all stages, in the database only the final one; mode is local, db or both.
+
+    `to_database` appends rows, for example by df.write.jdbc. Locally a stage that is written again replaces itself.
+    """
+    if mode not in ("local", "db", "both"):
+        raise ValueError(f"mapping mode {mode!r} is none of local, db, both")
+    if mode != "db":
+        write_stage(mapping, path, domain, run_id, stage)
+    if mode != "local" and stage == "final":
+        rows = mapping.withColumns({"uuid": F.expr("uuid()"), "request_id": F.lit(run_id), "stage": F.lit(stage), "created_at": F.current_timestamp()})
+        to_database(rows)
+
+
+def read_mapping(spark: SparkSession, path: str, domain: str, run_id: str) -> DataFrame:
+    """The final mapping of a run, with missing brackets added; an error if it has no rows."""
+    return read_stage(spark, path, domain, run_id).withColumn("placeholder", T.bracketed(F.col("placeholder")))
+
+
+def database_mapping(rows: DataFrame, run_id: str) -> DataFrame:
+    """The final mapping of a run out of a table of the database (a filter that Spark pushes down), with missing brackets added; an error if it has no rows."""
+    own = rows.where((F.col("request_id") == run_id) & (F.col("stage") == "final"))
+    if own.isEmpty():
+        raise LookupError(f"no final mapping of {run_id}")
+    return own.withColumn("placeholder", T.bracketed(F.col("placeholder")))
+
+
+def fetched(store: DataFrame, request_id: str, stage: str, table: str) -> DataFrame:
+    """The rows of a request, stage and table."""
+    return store.where((F.col("request_id") == request_id) & (F.col("stage") == stage) & (F.col("table_name") == table))
+
+
+def bare(mapping: DataFrame) -> DataFrame:
+    """Placeholders without brackets, as the plain store keeps them."""
+    return mapping.withColumn("placeholder", F.btrim("placeholder", F.lit("<>")))
+
+
 def route(mode: Column, rows: Column, threshold: Column, on_large: Column, text: bool = False) -> Column:
     """Where input goes: handoff, file_drop, skip, call or error. Only text input may be skipped for its size."""
     large = (mode == "lambda") & (rows > threshold)
@@ -88,7 +129,7 @@ def new_logs(logs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def anchored(logs: DataFrame, ledger: DataFrame, bundle: str) -> DataFrame:
-    """The ledger's next entry for the new logs: their names in order, a hash over name and digest, a block number. No row without new logs."""
+    """The ledger's next entry for the new logs: their names in order, a hash over their digests in order, a mock transaction over bundle and hash, a block number. No row without new logs."""
     new = new_logs(logs, ledger).agg(F.array_sort(F.collect_list("name")).alias("included_logs"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"))
     number = ledger.count() + 1
     tx = F.concat(F.lit("mock_"), F.sha2(F.concat_ws(":", F.lit(bundle), "sha256"), 256))

@@ -1,8 +1,10 @@
-"""Session settings: the shared checkpoint folder."""
+"""Session settings: the shared checkpoint folder, and the package on the Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; on a cluster without a shared folder ship it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))

@@ -31,6 +31,11 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
+def counted(spark, name, text):
+    df, found = S.with_findings(spark.createDataFrame([(text,)], "t string"), F.col("t"))
+    return df.select(found[name]).first()[0]
+
+
 def token(label, value):
     return f"<{label}_{hashlib.sha256(f'{RUN}|{label}|{re.sub(r"\s+", " ", value).strip()}'.encode()).hexdigest()[:10]}>"
 
@@ -48,7 +53,7 @@ def test_patterns_match_as_in_python(spark):
 def test_residuals_count_as_in_python(spark, name, pattern, ignore):
     samples = [TEXT, "", "Employee ID EMP-1234 of Acme Works Ltd transferred $12.50 and 30 pounds", "spouse of Ann, trip to Rome, thyroid ETF; job title. pt Jones; Dr. Lee attended. TXN 12A"]
     for s in samples:
-        assert one(spark, S.text_findings(F.col("t"))[name], t=s) == len(re.findall(pattern, re.sub(P.PLACEHOLDER, "", s), re.IGNORECASE if ignore else 0))
+        assert counted(spark, name, s) == len(re.findall(pattern, re.sub(P.PLACEHOLDER, "", s), re.IGNORECASE if ignore else 0))
 
 
 def test_round_trip_and_integrity(spark):
@@ -81,8 +86,15 @@ def test_tokens(spark):
 
 def test_collisions_get_new_tokens(spark):
     found = spark.createDataFrame([("A", str(k), k) for k in range(40)], "label string, raw string, ord int")
-    rows = M.resolved_collisions(found, RUN, 1).collect()
-    assert len(rows) == 40 and len({r["norm"] for r in rows}) == 40
+    rows = M.resolved_collisions(found, RUN, 2).collect()
+    taken, want = set(), {}
+    for k in range(40):  # in order of sight, each the first free token
+        tries = (hashlib.sha256("|".join([RUN, "A", str(k), *([str(n)] if n else [])]).encode()).hexdigest()[:2] for n in range(300))
+        want[str(k)] = next(t for t in tries if t not in taken)
+        taken.add(want[str(k)])
+    assert {r["norm"]: r["placeholder"] for r in rows} == {k: f"<A_{t}>" for k, t in want.items()} and len(taken) == 40
+    with pytest.raises(ValueError):
+        M.resolved_collisions(found, RUN, 1)
     assert len({r["placeholder"] for r in M.resolved_collisions(found, RUN).collect()}) == 40
 
 
@@ -98,19 +110,26 @@ def test_passes_and_cycles(spark):
 def test_records_and_batches(spark):
     df = spark.createDataFrame([(1, "head\n1. a\nmore\n2. b"), (2, "1. a\n"), (3, "none"), (4, "")], "id long, text string")
     rows = R.split_records(df, "id", "text")
-    assert {(r["id"], r["pos"], r["number"], r["text"]) for r in rows.collect()} == {(1, 0, None, "head\n"), (1, 1, 1, "1. a\nmore\n"), (1, 2, 2, "2. b"), (2, 1, 1, "1. a\n"), (3, 1, 1, "none"), (4, 1, 1, "")}
+    assert {(r["id"], r["pos"], r["number"], r["text"]) for r in rows.collect()} == {(1, 0, None, "head\n"), (1, 1, 1, "1. a\nmore\n"), (1, 2, 2, "2. b"), (2, 1, 1, "1. a\n"), (3, 1, 1, "none"), (4, 0, None, "")}
     assert {r["id"]: r["text"] for r in R.joined_records(rows, "id").collect()} == {r["id"]: r["text"] for r in df.collect()}
     sizes = spark.createDataFrame([("g", k, s) for k, s in enumerate([5, 5, 20, 3, 3, 3])], "g string, k int, s int")
     assert [r["batch"] for r in R.greedy_batches(sizes, "g", "k", "s", 2, 10).orderBy("k").collect()] == [0, 0, 1, 2, 2, 3]
+    many = spark.range(200_000).selectExpr("cast(id % 3 as string) g", "id k", "id % 7 s")
+    got = R.greedy_batches(many, "g", "k", "s", 25, 60).groupBy("g", "batch").count().agg(F.max("count"), F.count("*")).first()
+    assert got[0] <= 25 and got[1] > 8000
+    texts = spark.createDataFrame([(1, " \n"), (2, "x\n 1. a\n\n2.  b \n"), (3, "plain")], "id long, text string")
+    assert {(r["id"], r["number"], r["text"]) for r in R.bare_records(texts, "id", "text").collect()} == {(2, 1, "a"), (2, 2, "b"), (3, 1, "plain")}
+    assert [r[0] for r in df.orderBy("id").select(R.record_count(F.col("text"))).collect()] == [2, 1, 1, 0]
 
 
 def test_replies(spark):
-    assert R.parse_objects('{"A":["x"]} junk {"A":["y","x"],"B":null,"C":1}') == {"A": ["x", "y"], "B": [], "C": ["1"]}
-    assert R.parse_objects('```json\n{"A": ["x"]}\n```') == {"A": ["x"]}
+    assert R.objects_in('```json\n{"A": ["}"]}\n``` {no} {"B": {"c": 1}}') == ['{"A": ["}"]}', '{"B": {"c": 1}}']
     with pytest.raises(ValueError):
-        R.parse_objects("nothing here")
-    df = spark.createDataFrame([('x {"NAME": ["Jo"]}',), ("none",), (None,)], "reply string")
-    assert [r["detections"] for r in R.parsed_replies(df, "reply").collect()] == [{"NAME": ["Jo"]}, None, None]
+        R.objects_in("nothing here {")
+    df = spark.createDataFrame([(1, '{"A":["x", null]} junk {"A":["y","x"],"B":null,"C":1}'), (2, "none"), (3, None)], "id long, reply string")
+    found = R.values_of_objects(R.parsed_replies(df, "reply"), ["id"], "objects")
+    merged = {(r["id"], r["category"]): r["values"] for r in R.merged_detections(found, "id", "ord", "category", "value").collect()}
+    assert merged == {(1, "A"): ["x", "y"], (1, "C"): ["1"]}
 
 
 def test_lone_name_after_speaking(spark):
@@ -148,7 +167,15 @@ def test_store_sources_and_ledger(spark, tmp_path):
 def test_encryption_round_trip(spark):
     rows = spark.createDataFrame([("<A_1>", "geheim ü"), ("<A_2>", "")], "placeholder string, original_value string")
     key = F.lit("0123456789abcdef").cast("binary")
-    assert {tuple(r) for r in M.decrypted(M.encrypted(rows, key), key).collect()} == {tuple(r) for r in rows.collect()}
+    sealed = M.encrypted(rows.unionAll(rows), key, "k1")
+    kept = sealed.collect()
+    assert len({r["ciphertext"] for r in kept}) == len({r["wrapped_key"] for r in kept}) == 4 and {r["key_id"] for r in kept} == {"k1"}
+    stored = spark.createDataFrame(kept, sealed.schema)
+    assert {tuple(r) for r in M.decrypted(stored, key).collect()} == {tuple(r) for r in rows.collect()} and M.key_works(spark, key)
+    with pytest.raises(Exception, match="no ciphertext for <A_1>"):
+        M.decrypted(stored.withColumn("ciphertext", F.lit("{}")), key).collect()
+    with pytest.raises(Exception, match="AES|aes|crypto"):
+        M.decrypted(stored, F.lit("another key 1234").cast("binary")).collect()
 
 
 def test_streamed_masking_equals_batch(spark, tmp_path):
