@@ -1,12 +1,3 @@
-"""All queries of this subpackage and of the pipeline, with the SQL of those that SQL can express."""
+"""The modules of this subpackage that register queries: each has QUERIES, and ORACLES with the SQL of those that SQL can express."""
 
-from __future__ import annotations
-
-import importlib
-
-#: Modules of this subpackage that register a query.
 MODULES = ["bpe", "quality", "toxicity", "licenses", "html_text", "urls", "simhash", "decontaminate", "substrings", "neighbours"]
-
-_modules = [*(importlib.import_module(f"cloakspark.llm.{name}") for name in MODULES), importlib.import_module("corpus_pipeline")]
-QUERIES = {k: f for m in _modules for k, f in m.QUERIES.items()}
-ORACLES = {k: s for m in _modules for k, s in m.ORACLES.items()}
