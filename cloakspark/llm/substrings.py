@@ -5,19 +5,23 @@ brought together like this:
 
 1. The smallest hash of the GRAM-byte grams in a LENGTH-byte window is the window's key; equal windows have equal
    keys. Neighbouring windows with one key form a stretch. Stretches travel as hashes, packed, by key.
-2. Of stretches with equal content all but the first are covered whole. Where a key has stretches of different
-   content, the first of each content is asked for its bytes, and so is one that may hold a window twice.
+2. Of stretches with equal content (by 128 bits of hashes) all but the first are covered whole. Where a key has
+   stretches of different content, the first of each content is asked for its bytes, and so is one that may hold a
+   window twice.
 3. The bytes come from a join with the documents. Stretches of a key are joined to one string; its suffix array is
    built by linear grouping, and neighbouring suffixes with LENGTH common bytes are the repeated windows.
 4. Covered ranges are merged by document and cut out.
 
-A key with more than HOT different contents is not sent to one task: each of its windows becomes a stretch with a
-key of its own, so that equal windows meet and others don't.
+A line that very many documents hold between different texts gives a key very many contents. Such keys are counted
+first, in all documents, and are cut before they travel: windows that hold the key's gram at nearly the same place
+(STEP places) share all but STEP - 1 bytes on either side, and the hash of those shared bytes is their new key. So equal
+windows still meet, different surroundings part, and the rest of the way is the same for all keys.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakspark.llm._common import prepared, table
+from cloakspark.llm._common import checkpointed, prepared, table
 from cloakspark.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -36,15 +40,18 @@ GRAM = 40
 GRAMS = LENGTH - GRAM + 1
 #: Windows of a stretch, at most.
 STRETCH = 64
-#: Different contents of a key from which its windows travel one by one.
-HOT = 2_000
-#: Bytes of text that are hashed at once, and that go into one suffix array.
-SEGMENT, ARRAY = 1 << 20, 1 << 16
+#: Contents of a key from which it is cut: HOT, or this share of all stretches, so that no more than 1 / HOT_SHARE keys are sent to all tasks (8 bytes each). Keys of fewer than LOCAL contents in a task aren't counted.
+HOT, HOT_SHARE, LOCAL = 2_000, 1e-6, 64
+#: Places of a gram that windows of a cut key share, and the bytes that such windows have in common.
+STEP = 8
+CORE = LENGTH - STEP + 1
+#: Bytes of text that are hashed at once, that go into one suffix array, and beyond which the windows of a key are dealt to several arrays by their hash.
+SEGMENT, ARRAY, LARGE = 1 << 20, 1 << 16, 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _STEP = 0x2545F4914F6CDD1D
 _NO_ID = (1 << 63) - 1  # stands for a null id, which comes last
 _STRETCH = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("windows", "u1"), ("periodic", "u1")])
-_WANTED = np.dtype([("key", "<u8"), ("at", "<u4"), ("windows", "u1"), ("hot", "u1")])
+_WANTED = np.dtype([("key", "<u8"), ("at", "<u4"), ("windows", "u1")])
 _GIVEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("windows", "u1"), ("size", "u1")])
 
 
@@ -60,11 +67,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of windows, key and content hash of the stretches of texts laid end to end (SEGMENT + LENGTH bytes at most).
 
     Last, whether the key's gram stands more than once in the stretch, without which it can't hold a window twice.
-    ends: where each text ends. Windows don't cross texts.
+    ends: where each text ends. Windows don't cross texts. hot: keys, in order, whose stretches are cut.
     """
     n = len(raw)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -92,21 +99,46 @@ def stretches(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     k = np.arange(len(first)) - first
     start, rest = np.repeat(start, pieces) + k * STRETCH, np.repeat(length, pieces) - k * STRETCH
     windows = np.minimum(rest, STRETCH)
-    content = _mixed((sums[start + windows + LENGTH - 1] - sums[start]) * inverse[start] + windows.astype(np.uint64) * np.uint64(_STEP))
     key = low[start]
+    if len(hot):
+        cut = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        parts = [_cut(grams, int(a), int(w), k) for a, w, k in zip(start[cut], windows[cut], key[cut], strict=True)]
+        if parts:
+            begin, count, base, offset = (np.concatenate(c) for c in zip(*parts, strict=True))
+            shared = _mixed((sums[base + CORE] - sums[base]) * inverse[base] + (offset.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP))
+            start, windows = np.concatenate([start[~cut], begin]), np.concatenate([windows[~cut], count])
+            gram, key = np.concatenate([key[~cut], low[begin]]), np.concatenate([key[~cut], shared])
+        else:
+            gram = key
+    else:
+        gram = key
+    content = _mixed((sums[start + windows + LENGTH - 1] - sums[start]) * inverse[start] + windows.astype(np.uint64) * np.uint64(_STEP))
     enters = np.concatenate([[0], np.cumsum(grams[GRAMS - 1 :] == low)])
-    periodic = ((sliding_window_view(grams, GRAMS)[start] == key[:, None]).sum(axis=1) > 1) | (enters[start + windows] > enters[start + 1])
+    periodic = ((sliding_window_view(grams, GRAMS)[start] == gram[:, None]).sum(axis=1) > 1) | (enters[start + windows] > enters[start + 1])
     return start, windows, key, content, periodic
 
 
-def stretches_of(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
+def _cut(grams: np.ndarray, start: int, windows: int, key: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of a stretch whose windows hold the key's gram (its first place in the window) within STEP places: start, windows, where the shared bytes begin, and which STEP."""
+    at = start + np.flatnonzero(grams[start : start + windows - 1 + GRAMS] == key)
+    own = start + np.arange(windows)
+    gram = at[np.searchsorted(at, own)]
+    step = (gram - own) // STEP
+    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (step[1:] != step[:-1])]))
+    return own[new], np.diff(np.concatenate([new, [windows]])), gram[new] - STEP * step[new], step[new]
+
+
+_NONE_HOT = np.zeros(0, np.uint64)
+
+
+def stretches_of(docs: list[tuple[int, int, bytes]], hot: np.ndarray = _NONE_HOT) -> np.ndarray:
     """All stretches of some documents (id, text hash, bytes)."""
     out = [np.zeros(0, _STRETCH)]
 
     def add(parts: list[tuple[int, int, int, bytes]]) -> None:
         raw = np.frombuffer(b"".join([p[3] for p in parts]), np.uint8)
         ends = np.cumsum([len(p[3]) for p in parts])
-        start, windows, key, content, periodic = stretches(raw, ends)
+        start, windows, key, content, periodic = stretches(raw, ends, hot)
         own = np.searchsorted(ends, start, side="right")
         rows = np.zeros(len(start), _STRETCH)
         first = ends - np.array([len(p[3]) for p in parts])
@@ -233,17 +265,69 @@ def _pack_by_key(rows: np.ndarray, buckets: int, contexts: list[bytes] | None =
     return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array([_packed(rows[a:b]) for a, b in cuts], pa.binary()), pa.array(data, pa.binary())], ["bucket", "packed", "data"])
 
 
+def hot_keys(docs: DataFrame) -> np.ndarray:
+    """Keys of so many different contents that their stretches are cut, in order. docs: row (a struct with text)."""
+    prepared(docs.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = [_NONE_HOT], 0
+        for b in batches:
+            rows = stretches_of([(0, 0, raw) for raw in _raw(b.column("row"))])
+            n += len(rows)
+            rows = np.unique(rows[["key", "content"]])
+            keys.append(rows["key"])
+            if sum(map(len, keys)) > 1 << 23:  # a very large task is counted in parts
+                yield from _many(np.concatenate(keys))
+                keys = [_NONE_HOT]
+        yield from _many(np.concatenate(keys))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n])], ["key", "n"])
+
+    found = docs.select("row").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = checkpointed(found)
+    total = found.where("key is null").first()
+    least = max(HOT, HOT_SHARE * (total["n"] if total else 0))
+    hot = [r["key"] for r in found.where((F.col("key").isNotNull()) & (F.col("n") > least)).select("key").collect()]
+    return np.sort(np.array(hot, np.int64).view(np.uint64))
+
+
+def _many(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys that occur LOCAL times, and how often."""
+    key, n = np.unique(keys, return_counts=True)
+    key, n = key[n >= LOCAL], n[n >= LOCAL]
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+
+def dealt(rows: np.ndarray, contexts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The windows of a key of very many contents, single, in parts of about LARGE bytes by their hash: equal windows are in one part."""
+    parts = sum(map(len, contexts)) * STEP // LARGE + 1
+    for p in range(parts):
+        some, own = [], []
+        for i, c in enumerate(contexts):
+            for k in range(len(c) - LENGTH + 1):
+                w = c[k : k + LENGTH]
+                if zlib.crc32(w) % parts == p:
+                    some.append((i, k))
+                    own.append(w)
+        if own:
+            at = np.array(some)
+            one = rows[at[:, 0]]
+            one["at"] += at[:, 1].astype("<u4")
+            yield one, own
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """doc, text, packed: byte ranges of documents that stand earlier. docs: doc, text (its hash), row (a struct with text)."""
     spark = docs.sparkSession
     prepared(spark)
+    hot = hot_keys(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * 4
     per_document = "kind int, doc long, text long, packed binary"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = stretches_of(list(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), _raw(b.column("row")), strict=True)))
+            rows = stretches_of(list(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), _raw(b.column("row")), strict=True)), hot)
             rows, first, elsewhere = _first(rows, "key", "content")
             if (out := _pack_by_key(rows[first], buckets)) is not None:
                 yield pa.RecordBatch.from_arrays([out.column(0), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), out.column(1)], ["bucket", "doc", "text", "packed"])
@@ -271,11 +355,10 @@ def covered(docs: DataFrame) -> DataFrame:
         which = np.cumsum(new) - 1
         contents = np.bincount(which)[which] if len(rows) else which
         asked = (contents > 1) | (rows["periodic"] > 0)
-        rows, contents = rows[asked], contents[asked]
+        rows = rows[asked]
         wanted = np.zeros(len(rows), _WANTED)
         for c in ("key", "at", "windows"):
             wanted[c] = rows[c]
-        wanted["hot"] = contents > HOT
         if (out := _by_document(1, rows["doc"], rows["text"], wanted)) is not None:
             yield out
 
@@ -284,16 +367,10 @@ def covered(docs: DataFrame) -> DataFrame:
             rows, contexts = [], []
             for doc, text, raw, wants in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), _raw(b.column("row")), b.column("wanted").to_pylist(), strict=True):
                 want = np.frombuffer(b"".join(wants), _WANTED)
-                for key, at, windows, hot in want.tolist():
-                    if not hot:
-                        context = raw[at : at + windows + LENGTH - 1]
-                        rows.append((key, doc, text, at, windows, len(context)))
-                        contexts.append(context)
-                        continue
-                    for k in range(at, at + windows):
-                        digest = hashlib.blake2b(raw[k : k + LENGTH], digest_size=24).digest()
-                        rows.append((int.from_bytes(digest[16:], "little"), doc, text, k, 1, 16))
-                        contexts.append(digest[:16])
+                for key, at, windows in want.tolist():
+                    context = raw[at : at + windows + LENGTH - 1]
+                    rows.append((key, doc, text, at, windows, len(context)))
+                    contexts.append(context)
             if (out := _pack_by_key(np.array(rows, _GIVEN), buckets, contexts)) is not None:
                 yield out
 
@@ -329,13 +406,16 @@ def covered(docs: DataFrame) -> DataFrame:
             if again:
                 r = rows[again]
                 found.append((r["doc"], r["text"], _ranges(r["at"].astype(np.int64), r["windows"] + np.int64(LENGTH - 1))))
-            if rows["size"][a] >= LENGTH:
-                whole = sum(map(len, seen))
-                if size + whole > ARRAY:
-                    array()
-                    size = 0
-                chosen += seen.values()
-                size += whole
+            whole = sum(map(len, seen))
+            if whole > LARGE:
+                for one, contexts in dealt(rows[list(seen.values())], list(seen)):
+                    found.append(covered_in(one, contexts))
+                continue
+            if size + whole > ARRAY:
+                array()
+                size = 0
+            chosen += seen.values()
+            size += whole
         array()
         if found:
             doc, text, ranges = (np.concatenate(c) for c in zip(*found, strict=True))

@@ -127,10 +127,13 @@ def cut_by_force(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 1])
-def test_substrings_by_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize(("hot", "large"), [(substrings.HOT, substrings.LARGE), (1, substrings.LARGE), (1, 150)])
+def test_substrings_by_brute_force(spark, hot, large, monkeypatch):
+    for name, value in (("HOT", hot), ("LOCAL", min(hot, substrings.LOCAL)), ("LARGE", large)):
+        monkeypatch.setattr(substrings, name, value)
     rows = [r for r in corpus(2) if r[0] is not None][:-1]  # ids with one text; a repeated row stays
+    rng, line = random.Random(12), words(random.Random(13), 18)
+    rows += [(1000 + k, f"{words(rng, rng.randrange(30))} {line} {words(rng, rng.randrange(30))}", "x", "y") for k in range(40)]  # a line of many documents
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = cut_by_force(sorted([r[:2] for r in rows], key=lambda r: r[0]))
     assert sorted(map(tuple, substrings.digests(df).collect())) == sorted(want)
