@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakspark.llm._common import checkpointed, map_batches, prepared, table, texts_of
@@ -31,6 +31,8 @@ SEED = 42
 PARTITIONS = (2, 3, 4, 5)
 #: Nodes of a bucket that one task compares; larger buckets are split into chunks of half of it, compared two by two.
 BUCKET = 16_384
+#: Rows of one key that a join may bring to one task; a key of more is spread over several.
+JOIN_ROWS = 200_000
 #: Buckets up to this size are compared at once, larger ones by search from node to node.
 AT_ONCE = 128
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -264,6 +266,20 @@ def forest_edges(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFr
     return rows.repartition(partitions, "part", "value", "pair").mapInArrow(link, "u long, v long").distinct()
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """The join of rows with the one row of their key. A key of more than JOIN_ROWS rows is dealt over as many tasks as it needs, and its row copied there.
+
+    Such keys are at most one per JOIN_ROWS rows, and are counted with partial sums before anything is shuffled.
+    """
+    hot = checkpointed(many.groupBy(key).count().where(F.col("count") > JOIN_ROWS).select(key, F.ceil(F.col("count") / JOIN_ROWS).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return many.join(one, key)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), parts).cast("int")).drop("__parts")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, root: every node with an edge but the smallest of its component, and that smallest one. edges: u, v.
 
@@ -277,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(edges.select(F.col("root").alias("a"), F.col("v").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
+        large = spread_join(both.where("b > a"), least, "a").select(F.col("b").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
         low = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("root")), F.struct(F.col("root").alias("v"), F.col("m").alias("root")))).alias("e")).select("e.v", "e.root")
         edges = checkpointed(small.where("v <> root").distinct())
@@ -300,18 +316,20 @@ def grouped(df: DataFrame) -> DataFrame:
     roots = components(forest_edges(nodes, plan(nodes)))
     labelled = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = spread_join(labelled.select("fp", "root"), least, "root").select("fp", "component_id")
+    return spread_join(fps, known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with one document of each group: that with the smallest doc_id. Rows without an id stay; of rows with equal ids one stays."""
+    """The rows of `docs` with one document of each group: that with the smallest doc_id. Rows without an id stay; of rows with equal ids that with the smallest hash of all its columns."""
     gone = grouped(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return rest
-    return rest.where("doc_id is null").unionByName(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    single = rest.join(again, "doc_id", "left_semi").select("*", first.alias("__first")).where("__first = 1").drop("__first")
+    return rest.join(again, "doc_id", "left_anti").unionByName(single)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

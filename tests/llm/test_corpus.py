@@ -63,8 +63,10 @@ def linked(fps):
     return {f: least.get(find(f)) for f in nodes}
 
 
-def test_simhash_by_brute_force(spark):
-    rows = corpus()
+@pytest.mark.parametrize("rows_of_a_key", [simhash.JOIN_ROWS, 3])
+def test_simhash_by_brute_force(spark, rows_of_a_key, monkeypatch):
+    monkeypatch.setattr(simhash, "JOIN_ROWS", rows_of_a_key)
+    rows = [*corpus(), (2000, "very long text " * 30_000, "x", "y")]
     fps = [(r[0], fingerprint(r[1])) for r in rows]
     least = linked(fps)
     got = simhash.grouped(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -73,6 +75,8 @@ def test_simhash_by_brute_force(spark):
     kept = simhash.kept(spark.createDataFrame(rows, SCHEMA))
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
     assert sorted(ids) == sorted(set(least.values()))
+    again = simhash.kept(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    assert sorted(map(repr, map(tuple, again.collect()))) == sorted(map(repr, map(tuple, kept.collect())))
 
 
 def dense(n, seed):
