@@ -55,10 +55,18 @@ _WANTED = np.dtype([("key", "<u8"), ("at", "<u4"), ("windows", "u1")])
 _GIVEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("windows", "u1"), ("size", "u1")])
 
 
-@lru_cache(maxsize=1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of _STEP modulo 2**64, of its inverse, and a random number for each byte value."""
-    powers = [np.multiply.accumulate(np.array([1, *[k] * (SEGMENT + LENGTH)], np.uint64)) for k in (_STEP, pow(_STEP, -1, 1 << 64))]
+    return _powers(SEGMENT + LENGTH)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _numbers(1 << max(21, size.bit_length()))
+
+
+@lru_cache(maxsize=2)
+def _numbers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of _STEP modulo 2**64, of its inverse, at least so many, and a random number for each byte value."""
+    powers = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, k, np.uint64)])) for k in (_STEP, pow(_STEP, -1, 1 << 64))]
     return powers[0], powers[1], np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -67,11 +75,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray, counting: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of windows, key and content hash of the stretches of texts laid end to end (SEGMENT + LENGTH bytes at most).
 
     Last, whether the key's gram stands more than once in the stretch, without which it can't hold a window twice.
     ends: where each text ends. Windows don't cross texts. hot: keys, in order, whose stretches are cut.
+    counting: the last is left out, as keys are only counted.
     """
     n = len(raw)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -113,6 +122,8 @@ def stretches(raw: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.nd
     else:
         gram = key
     content = _mixed((sums[start + windows + LENGTH - 1] - sums[start]) * inverse[start] + windows.astype(np.uint64) * np.uint64(_STEP))
+    if counting:
+        return start, windows, key, content, np.zeros(len(start), bool)
     enters = np.concatenate([[0], np.cumsum(grams[GRAMS - 1 :] == low)])
     periodic = ((sliding_window_view(grams, GRAMS)[start] == gram[:, None]).sum(axis=1) > 1) | (enters[start + windows] > enters[start + 1])
     return start, windows, key, content, periodic
@@ -131,14 +142,14 @@ def _cut(grams: np.ndarray, start: int, windows: int, key: np.uint64) -> tuple[n
 _NONE_HOT = np.zeros(0, np.uint64)
 
 
-def stretches_of(docs: list[tuple[int, int, bytes]], hot: np.ndarray = _NONE_HOT) -> np.ndarray:
+def stretches_of(docs: list[tuple[int, int, bytes]], hot: np.ndarray = _NONE_HOT, counting: bool = False) -> np.ndarray:
     """All stretches of some documents (id, text hash, bytes)."""
     out = [np.zeros(0, _STRETCH)]
 
     def add(parts: list[tuple[int, int, int, bytes]]) -> None:
         raw = np.frombuffer(b"".join([p[3] for p in parts]), np.uint8)
         ends = np.cumsum([len(p[3]) for p in parts])
-        start, windows, key, content, periodic = stretches(raw, ends, hot)
+        start, windows, key, content, periodic = stretches(raw, ends, hot, counting)
         own = np.searchsorted(ends, start, side="right")
         rows = np.zeros(len(start), _STRETCH)
         first = ends - np.array([len(p[3]) for p in parts])
@@ -232,6 +243,22 @@ def repeated_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
     return label[many], owner[order[many]], at[order[many]]
 
 
+def shared_by(contexts: list[bytes]) -> list[int]:
+    """Numbers of the strings that may hold a window of another one or one twice: those with a window whose hash occurs again."""
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    if len(raw) < LENGTH:
+        return []
+    power, inverse, values = _powers(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[raw] * power[: len(raw)], dtype=np.uint64)])
+    ends = np.cumsum(sizes)
+    inside = np.concatenate([np.arange(e - n, e - LENGTH + 1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+    hashes = (sums[inside + LENGTH] - sums[inside]) * inverse[inside]
+    _, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    owner = np.searchsorted(ends, inside, side="right")
+    return np.unique(owner[n[which] > 1]).tolist()
+
+
 def covered_in(rows: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, text and byte ranges of windows that stand earlier in another place. rows: _GIVEN of one or more keys, whose bytes are `contexts`."""
     label, own, at = repeated_windows(contexts)
@@ -272,10 +299,10 @@ def hot_keys(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [_NONE_HOT], 0
         for b in batches:
-            rows = stretches_of([(0, 0, raw) for raw in _raw(b.column("row"))])
+            rows = stretches_of([(0, 0, raw) for raw in _raw(b.column("row"))], counting=True)
             n += len(rows)
-            rows = np.unique(rows[["key", "content"]])
-            keys.append(rows["key"])
+            _, one = np.unique(rows["key"] ^ _mixed(rows["content"]), return_index=True)
+            keys.append(rows["key"][one])
             if sum(map(len, keys)) > 1 << 23:  # a very large task is counted in parts
                 yield from _many(np.concatenate(keys))
                 keys = [_NONE_HOT]
@@ -392,9 +419,11 @@ def covered(docs: DataFrame) -> DataFrame:
         size = 0
 
         def array() -> None:
-            if chosen:
-                found.append(covered_in(rows[chosen], [raw[starts[i] : ends[i]] for i in chosen]))
-                chosen.clear()
+            # strings that share no window needn't be sorted
+            some = [chosen[k] for k in shared_by([raw[starts[i] : ends[i]] for i in chosen])] if chosen else []
+            if some:
+                found.append(covered_in(rows[some], [raw[starts[i] : ends[i]] for i in some]))
+            chosen.clear()
 
         for a, z in zip(new, [*new[1:], len(rows)], strict=True):
             seen: dict[bytes, int] = {}
@@ -409,7 +438,8 @@ def covered(docs: DataFrame) -> DataFrame:
             whole = sum(map(len, seen))
             if whole > LARGE:
                 for one, contexts in dealt(rows[list(seen.values())], list(seen)):
-                    found.append(covered_in(one, contexts))
+                    if some := shared_by(contexts):
+                        found.append(covered_in(one[some], [contexts[k] for k in some]))
                 continue
             if size + whole > ARRAY:
                 array()
