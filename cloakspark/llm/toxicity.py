@@ -130,6 +130,8 @@ class Network:
     def probability(self, ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         """Of each text, given the buckets of its words and stems."""
         joined, starts = _joined(ids)
+        # places of a text end with its first padding, as in training: further ones would reach into the next text
+        places = np.stack([starts, [*starts[1:], len(joined)]], axis=1) - [0, max(FILTERS) - 1]
         rows = self.row[joined]
         parts = table[rows[:, 0]]
         for k in range(1, rows.shape[1]):
@@ -140,7 +142,7 @@ class Network:
             f = parts[:, at : at + n].copy()
             for k in range(1, width):
                 f[:-k] += parts[k:, at + k * n : at + (k + 1) * n]
-            pooled.append(np.maximum.reduceat(f, starts, axis=0))
+            pooled.append(np.maximum.reduceat(f, places.ravel(), axis=0)[::2])
             at += width * n
         x = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0)
         return 1 / (1 + np.exp(-np.clip(x.astype(float) @ self.weight + self.offset, -40, 40)))
