@@ -40,7 +40,7 @@ CLASSES, SIZE, REST = 48, 64, 16
 #: Rows of the two weight tables, as powers of two.
 CLASS_BITS, WORD_BITS = 13, 14
 FEATURES = 4
-#: Tokens whose counts every task gets; a token beyond them is at most one of so many tokens of the corpus.
+#: Tokens whose counts every task gets, at most; a token beyond them is about one of so many tokens of the corpus, or less.
 HEAD = 65_536
 #: Bytes of text from which a pack is full.
 PACK_BYTES = 4 << 20
@@ -138,10 +138,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals over all counts, and the HEAD most frequent tokens (ties: the smaller token)."""
+    """Totals over all counts, and the most frequent tokens, HEAD at most; which of equally frequent ones is the model's own is decided by the token."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "key").limit(HEAD).collect()
-    keys, c = [bytes(r["key"]) for r in head], np.array([r["c"] for r in head], np.int64)
+    # the count from which on tokens are at most HEAD, by a few hundred ranges of counts: a sort would send each task's first ones
+    step = F.when(F.col("c") < 64, F.col("c").cast("int")).otherwise((F.log2(F.col("c") / 64) * 16).cast("int") + 64)
+    many, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["c"]):
+        many += r["n"]
+        if many > HEAD:
+            break
+        least = r["c"]
+    head = [] if least is None else sorted(((r["c"], bytes(r["key"])) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[0], x[1]))
+    keys, c = [k for _, k in head], np.array([n for n, _ in head], np.int64)
     rest_total, rest_distinct = np.zeros(REST, np.int64), np.zeros(REST, np.int64)
     for r in counts.groupBy((F.crc32(F.substring("key", -2, 2)) % REST).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         rest_total[r["k"]], rest_distinct[r["k"]] = r["n"], r["v"]
@@ -205,22 +213,22 @@ class Softmax:
         n = len(e)
         e *= (1 / total)[:, None]
         e[np.arange(n), aim] -= 1
-        flat = rows.astype(np.uint16).ravel()
+        flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         order %= n
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         length = np.diff(np.append(first, len(order)))
         u = len(first)
-        sums, old = self.sums[:u], self.old[:u]
-        e.take(order[first], axis=0, out=sums, mode="clip")
+        sums, old, many = self.sums[:u], self.old[:u], e.take(order, axis=0, out=self.many[: len(order)], mode="clip")
+        many.take(first, axis=0, out=sums, mode="clip")
         for j in range(1, OFTEN):
             again = np.flatnonzero((length > j) & (length <= OFTEN))
             if len(again):
-                sums[again] += e.take(order[first[again] + j], axis=0, out=self.many[: len(again)], mode="clip")
-        for i in np.flatnonzero(length > OFTEN):
-            m = length[i]
-            sums[i] = self.ones[:m] @ e.take(order[first[i] : first[i] + m], axis=0, out=self.many[:m], mode="clip")
+                sums[again] += many[first[again] + j]
+        long = np.flatnonzero(length > OFTEN)
+        for i, f, m in zip(long.tolist(), first[long].tolist(), length[long].tolist(), strict=True):
+            np.dot(self.ones[:m], many[f : f + m], out=sums[i])
         own = ordered[first].astype(np.int64)
         self.met[own] += length
         self.weights.take(own, axis=0, out=old, mode="clip")
@@ -235,24 +243,25 @@ def contexts(known: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """features x tokens: what stands before every token, as numbers still to be hashed. known: the token's number, or its class for others."""
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.arange(len(known)) - start
-    before = []
+    known, before = known.astype(np.uint32), []
     for k in (1, 2, 3):
-        x = np.full(len(known), CLASSES * SIZE + REST, np.uint64)  # before the text
+        x = np.empty(len(known), np.uint32)
         x[k:] = known[: len(known) - k]
-        x[at < k] = CLASSES * SIZE + REST
+        x[at < k] = CLASSES * SIZE + REST  # before the text
         before.append(x)
     a, b, c = before
-    return np.stack([a * np.uint64(5) + np.uint64(1), b * np.uint64(5) + np.uint64(2), (a * np.uint64(8191) + b) * np.uint64(5) + np.uint64(3), c * np.uint64(5) + np.uint64(4)])
+    five = np.uint32(5)
+    return np.stack([a * five + np.uint32(1), b * five + np.uint32(2), (a * np.uint32(8191) + b) * five + np.uint32(3), c * five + np.uint32(4)])
 
 
 def class_rows(f: np.ndarray) -> np.ndarray:
-    """Rows of the class table for hashed features."""
-    return ((f * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CLASS_BITS)
+    """Rows of the class table for features, hashed in 32 bits."""
+    return ((f * np.uint32(2654435761)) >> np.uint32(32 - CLASS_BITS)).astype(np.uint16)
 
 
 def word_rows(f: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Rows of the member table for hashed features within classes."""
-    return (((f * np.uint64(64) + own.astype(np.uint64) + np.uint64(1)) * np.uint64(2246822519)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - WORD_BITS)
+    """Rows of the member table for features within classes."""
+    return (((f * np.uint32(64) + own.astype(np.uint32) + np.uint32(1)) * np.uint32(2246822519)) >> np.uint32(32 - WORD_BITS)).astype(np.uint16)
 
 
 class Pack:
@@ -272,7 +281,8 @@ class Pack:
         self.word = np.where(own, ranks, -1)[ids]
         self.other = others[ids]
         self.cls = np.where(self.word >= 0, self.word // SIZE, CLASSES + self.other)
-        self.features = contexts(np.where(self.word >= 0, self.word, CLASSES * SIZE + self.other).astype(np.uint64), self.sizes)
+        features = contexts(np.where(self.word >= 0, self.word, CLASSES * SIZE + self.other), self.sizes)
+        self.class_rows, self.word_rows = class_rows(features), word_rows(features, self.cls)
 
 
 def scores(p: Pack, tables: Tables, v: Vocabulary, nets: tuple[Softmax, Softmax]) -> np.ndarray:
@@ -280,12 +290,12 @@ def scores(p: Pack, tables: Tables, v: Vocabulary, nets: tuple[Softmax, Softmax]
     out = np.empty(len(p.word))
     for k in range(0, len(out), BATCH):
         s = slice(k, k + BATCH)
-        f, cls, word = p.features[:, s], p.cls[s], p.word[s]
-        z, _, total = nets[0].powers(tables.class_bias, None, class_rows(f))
+        cls, word = p.cls[s], p.word[s]
+        z, _, total = nets[0].powers(tables.class_bias, None, p.class_rows[:, s])
         got = z[np.arange(len(cls)), cls].astype(np.float64) - np.log(total)
         own = np.flatnonzero(word >= 0)
         if len(own):
-            z, _, total = nets[1].powers(tables.word_bias, cls[own], word_rows(f[:, own], cls[own]))
+            z, _, total = nets[1].powers(tables.word_bias, cls[own], p.word_rows[:, s][:, own])
             got[own] += z[np.arange(len(own)), word[own] % SIZE] - np.log(total)
         out[s] = got / np.log(10)
     rest = p.word < 0
@@ -299,13 +309,13 @@ def taught(tables: Tables, nets: tuple[Softmax, Softmax], p: Pack, train: np.nda
     todo = np.random.default_rng(seed).permutation(np.flatnonzero(train))
     for k in range(0, len(todo), BATCH):
         s = todo[k : k + BATCH]
-        f, cls, word = p.features[:, s], p.cls[s], p.word[s]
-        rows = class_rows(f)
+        cls, word = p.cls[s], p.word[s]
+        rows = p.class_rows[:, s]
         _, e, total = nets[0].powers(tables.class_bias, None, rows)
         nets[0].learn(e, total, cls, rows)
         own = np.flatnonzero(word >= 0)
         if len(own):
-            rows = word_rows(f[:, own], cls[own])
+            rows = p.word_rows[:, s[own]]
             _, e, total = nets[1].powers(tables.word_bias, cls[own], rows)
             nets[1].learn(e, total, word[own] % SIZE, rows)
 
@@ -315,6 +325,20 @@ def nets_of(tables: Tables) -> tuple[Softmax, Softmax]:
     return Softmax(tables.classes, tables.class_squares), Softmax(tables.words, tables.word_squares)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The packs of a batch; lists of numbers as arrays."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name, cell in zip(batch.schema.names, (c[i] for c in batch.columns), strict=True):
+            if name in ("keys", "ids", "pack"):
+                row[name] = cell.as_py()
+            elif name == "doc_ids":
+                row[name] = cell.values  # ids may be null
+            else:
+                row[name] = cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else None
+        yield row
+
+
 def _small_batches(spark: SparkSession, rows: int) -> str | None:
     """Bound the rows of an Arrow batch from now on; the bound before."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
@@ -336,9 +360,9 @@ def trained(packs: DataFrame, v: Vocabulary) -> Tables:
             nets = nets_of(own)
             rank = {k: i for i, k in enumerate(v.keys[: v.own])}
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     p = Pack(row, v, rank)
-                    taught(own, nets, p, np.repeat(~np.array(row["held"], bool), p.sizes), row["pack"] % (1 << 31))
+                    taught(own, nets, p, np.repeat(~row["held"], p.sizes), row["pack"] % (1 << 31))
             for kind, (net, old, old_squares) in enumerate(((nets[0], arrays[2], arrays[3]), (nets[1], arrays[4], arrays[5]))):
                 for k in range(0, len(old), BLOCK):
                     s = slice(k, k + BLOCK)
@@ -408,12 +432,12 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             tables, rank = Tables(arrays), {k: i for i, k in enumerate(v.keys)}
             nets = nets_of(tables)
             for batch in batches:
-                for row in batch.to_pylist():
-                    p = Pack(row, v, rank, None if row["at"] is None else (np.array(row["at"], np.int64), np.array(row["c"], np.int64)))
+                for row in _rows(batch):
+                    p = Pack(row, v, rank, None if row["at"] is None else (row["at"], row["c"]))
                     first = np.cumsum(p.sizes) - p.sizes
                     total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731  no document is without a token
                     out = [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(p.sizes), pa.array(total((p.count > 0).astype(np.int64))), pa.array(np.full(len(first), v.total)),
+                        row["doc_ids"], pa.array(row["held"]), pa.array(p.sizes), pa.array(total((p.count > 0).astype(np.int64))), pa.array(np.full(len(first), v.total)),
                         pa.array(total(np.log10((p.count + 1) / (v.total + v.distinct + 1)))), pa.array(total(scores(p, tables, v, nets))),
                     ]
                     yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCHEMA.split(", ")])
