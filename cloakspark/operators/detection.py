@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
+from cloakspark.operators.numbering import greedy_batches
 from cloakspark.operators.records import applied_detections, objects_in, scattered, values_of_objects
 from cloakspark.operators.reports import contextual_rows
 from cloakspark.sources.policy import RunConfig
@@ -148,18 +149,23 @@ def bisected(detector: Detector, rows: list[dict[str, Any]], task: str = TASK, *
             pending += [part[len(part) // 2 :], part[: len(part) // 2]]
 
 
-def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: Detector, task: str = TASK, split: bool = True) -> DataFrame:
+def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: Detector, task: str = TASK, split: bool = True, delay: float = 0.0) -> DataFrame:
     """batch, ord, category, value of all that the detector names; one call per batch of rows (a batch is at most the batch size).
 
     item: the row in the prompt, in order of the column `order`. A malformed reply splits the batch, or else is asked for
-    again. The result is kept, so that a detector is never called a second time for the same batch.
+    again. A task waits `delay` seconds, and up to half a second more, between calls. The result is kept, so that a
+    detector is never called a second time for the same batch.
     """
     kind = dict(rows.dtypes)[batch]
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = 0
         for part in parts:
             out = []
             for b, items in zip(part["batch"], part["rows"], strict=True):
+                if calls and delay > 0:
+                    time.sleep(delay + random.uniform(0.0, 0.5))
+                calls += 1
                 said = [json.loads(i) for i in items]
                 out.append((b, list(bisected(detector, said, task)) if split else called(detector, prompt(said, task))))
             yield pd.DataFrame(out, columns=["batch", "objects"])
@@ -171,25 +177,44 @@ def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: De
 
 
 def numbered_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """The frame with `batch_id` by a dense row number."""
+    """The frame with `batch_id` by a dense row number (as `numbering.numbered` makes it)."""
     return df.withColumn("batch_id", F.floor(F.col(key) / size).cast("long"))
 
 
-def two_phases(rows: DataFrame, key: str, text: str, run_id: str, detector: Detector, residual: Callable[[DataFrame], DataFrame], config: RunConfig | None = None) -> DataFrame:
-    """Records: detection and replacement on all rows, then again on the rows that `residual` still names.
+def packed_batches(df: DataFrame, group: str | None, key: str, text: str, size: int, characters: int) -> DataFrame:
+    """The frame with `batch_id`: in each group (or all rows) records are packed in order of `key` until a batch is full or would grow too long."""
+    by = F.lit("") if group is None else F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    rows = df.withColumn("__group", by)
+    batches = greedy_batches(rows.withColumn("__size", F.length(text)), "__group", key, "__size", size, characters)
+    named = batches.select(F.col("__group"), key, F.concat("batch", F.lit(" "), "__group").alias("batch_id"))
+    return rows.join(named, ["__group", key]).drop("__group")
 
-    `key` is a dense row number; residual(rows) gives a frame with `key`. Aliases of categories are those of plain text.
+
+def two_phases(
+    rows: DataFrame, key: str, text: str, run_id: str, detector: Detector, residual: Callable[[DataFrame], DataFrame], config: RunConfig | None = None, group: str | None = None, applied: str | None = None
+) -> DataFrame:
+    """Records of texts: detection and replacement on all rows, then again on the rows that `residual` still names.
+
+    group and key (or key alone) tell a record; records are packed in order of `key` within their group, by number and by
+    characters, in both phases. residual(rows) gives a frame with the same columns for the records that still hold
+    something. Aliases and rules are those of plain text. `applied` names a further column, if given: the detections
+    that replaced something in the record, of both phases.
     """
     config = config or RunConfig()
+    keys, did = [k for k in (group, key) if k], applied or "__applied"
 
     def phase(df: DataFrame, task: str) -> DataFrame:
-        batched = numbered_batches(df, key, config.batch_size)
-        found = detected(batched, "batch_id", key, record_rows(key, text), detector, task)
-        return checkpointed(applied_detections(batched, found, "batch_id", text, run_id, P.TEXT_ALIASES).drop("batch_id"))
+        batched = checkpointed(packed_batches(df, group, key, text, config.batch_size, config.max_characters))
+        found = detected(batched, "batch_id", key, record_rows(key, text), detector, task, delay=config.delay_seconds)
+        return checkpointed(applied_detections(batched, found, "batch_id", text, run_id, P.TEXT_ALIASES, notes=False, applied=did).drop("batch_id"))
 
     first = phase(rows, TASK)
-    left = checkpointed(first.join(residual(first).select(key), key, "left_semi"))
-    return first if left.isEmpty() else scattered(first, phase(left, RECOVERY_TASK), key, text)
+    left = checkpointed(first.join(residual(first.drop(did)).select(*keys).distinct(), keys, "left_semi").drop(did))
+    if not left.isEmpty():
+        again = phase(left, RECOVERY_TASK).select(*keys, F.col(text).alias("__new"), F.col(did).alias("__more"))
+        both = F.array_distinct(F.concat(did, F.coalesce("__more", F.array().cast("array<struct<category:string,value:string>>"))))
+        first = first.join(again, keys, "left").withColumns({text: F.coalesce("__new", text), did: both}).drop("__new", "__more")
+    return first if applied else first.drop(did)
 
 
 def note_phases(rows: DataFrame, key: str, columns: list[str], run_id: str, detector: Detector, config: RunConfig | None = None, aliases: dict[str, str] = P.NOTE_ALIASES) -> DataFrame:
@@ -201,11 +226,8 @@ def note_phases(rows: DataFrame, key: str, columns: list[str], run_id: str, dete
 
     def phase(df: DataFrame, size: int, task: str) -> DataFrame:
         batched = numbered_batches(df, key, size)
-        found = detected(batched, "batch_id", key, note_rows(key, columns), detector, task, split=False)
-        out = batched
-        for c in columns:
-            out = applied_detections(out, found, "batch_id", c, run_id, aliases)
-        return checkpointed(out.drop("batch_id"))
+        found = detected(batched, "batch_id", key, note_rows(key, columns), detector, task, split=False, delay=config.delay_seconds)
+        return checkpointed(applied_detections(batched, found, "batch_id", columns, run_id, aliases).drop("batch_id"))
 
     first = phase(rows, config.batch_size, TASK)
     left = checkpointed(first.join(contextual_rows(first, key, columns), key, "left_semi"))

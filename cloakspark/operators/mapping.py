@@ -1,4 +1,4 @@
-"""The token-to-value mapping: build, collisions, store, restoration and integrity."""
+"""The token-to-value mapping: build, collisions, store and integrity. Restoration is in `restoration`, its graph in `cycles`."""
 
 from __future__ import annotations
 
@@ -116,33 +116,6 @@ def check_integrity(report: DataFrame) -> None:
         raise IntegrityError(f"{n} tokens were returned more often than sent")
 
 
-def restored_once(df: DataFrame, id_col: str, text_col: str, mapping: DataFrame) -> DataFrame:
-    """`id_col`, `text_col`, changed: each known token replaced by its value, by a join of tokens with the mapping.
-
-    Unknown tokens stay. mapping: placeholder, original_value, one row per placeholder. Spark picks the join; texts
-    without tokens don't take part in it.
-    """
-    parts = df.select(id_col, text_col, F.split(text_col, P.PLACEHOLDER, -1).alias("gaps"), T.tokens_in(F.col(text_col)).alias("tokens"))
-    tokens = parts.select(id_col, F.posexplode_outer("tokens").alias("at", "placeholder")).where("placeholder is not null").join(mapping.select("placeholder", "original_value"), "placeholder", "left")
-    values = tokens.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("original_value", "placeholder").alias("v")))), lambda x: x["v"]).alias("values"))
-    whole = F.array_join(F.zip_with("gaps", "values", lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    new = F.when(F.col("values").isNull(), F.col(text_col)).otherwise(whole)
-    return parts.join(values, id_col, "left").select(id_col, new.alias(text_col), (~new.eqNullSafe(F.col(text_col))).alias("changed"))
-
-
-def restored(df: DataFrame, id_col: str, text_col: str, mapping: DataFrame, max_passes: int = 5) -> DataFrame:
-    """id, text, passes: passes are repeated up to max_passes, or until one changes nothing; one counts for a row only if its text changed."""
-    df = df.select(id_col, text_col).withColumn("passes", F.lit(0))
-    for _ in range(max(1, max_passes)):
-        once = restored_once(df, id_col, text_col, mapping)
-        df = checkpointed(df.select(id_col, "passes").join(once, id_col).select(id_col, text_col, (F.col("passes") + F.col("changed").cast("int")).alias("passes"), "changed"))
-        done = df.where("changed").limit(1).count() == 0
-        df = df.drop("changed")
-        if done:
-            break
-    return df
-
-
 def unresolved(df: DataFrame, text_col: str) -> DataFrame:
     """n: tokens left in all texts."""
     return df.agg(F.coalesce(F.sum(F.regexp_count(text_col, F.lit(P.PLACEHOLDER))), F.lit(0)).alias("n"))
@@ -154,46 +127,6 @@ def check_resolved(df: DataFrame, text_col: str) -> None:
         raise IntegrityError(f"{n} tokens are unresolved")
 
 
-def dependencies(mapping: DataFrame) -> DataFrame:
-    """source, target: a value that mentions another mapped token."""
-    edges = mapping.select(F.col("placeholder").alias("source"), F.explode(F.array_distinct(T.tokens_in(F.col("original_value")))).alias("target"))
-    return edges.join(mapping.select(F.col("placeholder").alias("target")), "target", "left_semi").select("source", "target")
-
-
-def cycles(mapping: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """placeholder: tokens on a cycle that the returned tokens reach. roots: placeholder.
-
-    Reachability from the roots, where `depth` bounds the length of a chain of values, and an error says so if it's not
-    enough; then paths from each reached token back to itself, which double their length until nothing new comes.
-    """
-    edges = dependencies(mapping).distinct()
-    reach = roots.select(F.col("placeholder").alias("node")).distinct()
-    seen = reach
-    for _ in range(depth):
-        reach = reach.join(edges, reach["node"] == edges["source"]).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
-        reach = checkpointed(reach)
-        if reach.isEmpty():
-            break
-        seen = seen.unionByName(reach).distinct()
-    else:
-        raise ValueError(f"values are nested deeper than {depth}")
-    near = checkpointed(edges.join(seen, edges["source"] == seen["node"], "left_semi"))
-    for _ in range(depth):  # a token that nothing leads to, or that leads nowhere, is on no cycle: what remains is small
-        size = near.count()
-        inner = near.join(near.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(near.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        inner = checkpointed(inner.select("source", "target"))
-        near = inner
-        if inner.count() == size or not size:
-            break
-    known, before, n = near, -1, near.count()
-    while n > before:
-        on = known.select(F.col("source").alias("s"), F.col("target").alias("t"))
-        longer = known.join(on, known["target"] == on["s"]).select("source", F.col("t").alias("target"))
-        known = checkpointed(known.select("source", "target").unionByName(longer).distinct())
-        before, n = n, known.count()
-    return known.where("source = target").select(F.col("source").alias("placeholder")).distinct()
-
-
 def plain_restored(text: Column, entries: Column) -> Column:
     """One pass by plain substring, the longest token first, with and without brackets. entries: array<struct<placeholder, original>>."""
     ordered = F.array_sort(entries, lambda a, b: F.when(F.length(a["placeholder"]) != F.length(b["placeholder"]), F.length(b["placeholder"]) - F.length(a["placeholder"])).when(a["placeholder"] < b["placeholder"], -1).when(a["placeholder"] > b["placeholder"], 1).otherwise(0))

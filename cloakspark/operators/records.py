@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
+from cloakspark.operators.values import replaced
 from cloakspark.sources.session import with_package
 
 MAX_CHARACTERS = 12_000
@@ -55,42 +54,23 @@ def fixed_batches(df: DataFrame, row_id: str, size: int) -> DataFrame:
     return df.withColumns({"batch_id": F.floor(F.col(row_id) / size).cast("long"), "position": (F.col(row_id) % size + 1).cast("int")})
 
 
-def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records: int, max_characters: int = MAX_CHARACTERS) -> DataFrame:
-    """group, order, batch: in each group records are packed in order; a batch closes when it is full or would grow too long.
-
-    Packing is a walk in order: groups are brought together and sorted, and a task walks along its rows, holding a batch
-    number and two sums. Rows are three small columns; a null size counts as 0.
-    """
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
-    kinds = dict(rows.dtypes)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, batch, n, chars = object(), 0, 0, 0
-        for b in batches:
-            out = []
-            for g, s in zip(b.column("g").to_pylist(), b.column("s").to_pylist(), strict=True):
-                if g != here:
-                    here, batch, n, chars = g, 0, 0, 0
-                elif n >= max_records or chars + s > max_characters:
-                    batch, n, chars = batch + 1, 0, 0
-                n, chars = n + 1, chars + s
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("o"), pa.array(out, pa.int32())], ["g", "o", "batch"])
-
-    ordered = rows.repartition("g").sortWithinPartitions("g", "o")
-    return ordered.mapInArrow(walk, f"g {kinds['g']}, o {kinds['o']}, batch int").select(F.col("g").alias(group), F.col("o").alias(order), "batch")
-
-
 def merged_detections(df: DataFrame, key: str, ord_: str, category: str, value: str) -> DataFrame:
     """key, category, values: values of a category in order of appearance, each once; nulls dropped."""
     firsts = df.where(F.col(value).isNotNull()).groupBy(key, category, value).agg(F.min(ord_).alias("o"))
     return firsts.groupBy(key, category).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
 
 
-def accepted(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Detections that may be replaced: no tokens, two characters unless digits, digits of four unless the category names an id."""
+def accepted(df: DataFrame, category: str, value: str, notes: bool = True) -> DataFrame:
+    """Detections that may be replaced: two characters or more, or digits, and no tokens.
+
+    In notes, digits need four unless the category names an id, and a token is what stands between brackets. In plain text
+    any digits count, and a token is a value of nothing but placeholders.
+    """
     digits = F.col(value).rlike(r"^\d+$")
-    return df.where(~T.is_token(F.col(value)) & ((F.length(value) >= 2) | digits) & ~(digits & (F.length(value) < 4) & ~F.col(category).isin(*P.ID_CATEGORIES)))
+    long = (F.length(value) >= 2) | digits
+    if not notes:
+        return df.where((F.col(value) != "") & ~T.only_tokens(F.col(value)) & long)
+    return df.where(~T.is_token(F.col(value)) & long & ~(digits & (F.length(value) < 4) & ~F.col(category).isin(*P.ID_CATEGORIES)))
 
 
 def canonical(category: Column, aliases: dict[str, str] = P.NOTE_ALIASES) -> Column:
@@ -99,15 +79,25 @@ def canonical(category: Column, aliases: dict[str, str] = P.NOTE_ALIASES) -> Col
     return F.coalesce(F.element_at(known, category), category)
 
 
-def applied_detections(rows: DataFrame, detections: DataFrame, batch: str, text_col: str, run_id: str, aliases: dict[str, str] = P.NOTE_ALIASES) -> DataFrame:
-    """Rows with every accepted detection of their batch replaced in the text, outside placeholders; by category, the longest first.
+def applied_detections(
+    rows: DataFrame, detections: DataFrame, batch: str, text_col: str | list[str], run_id: str, aliases: dict[str, str] = P.NOTE_ALIASES, notes: bool = True, applied: str | None = None
+) -> DataFrame:
+    """Rows with every accepted detection of their batch replaced in the text columns, outside placeholders; by category, the longest first.
 
-    detections: batch, category, value. They are gathered per batch, which is bounded by the batch size.
+    detections: batch, category, value. They are gathered per batch, which is bounded by the batch size. `applied` names a
+    further column, if given: array<struct<category, value>> of the detections that replaced something in the row.
     """
-    keyed = accepted(detections.withColumn("category", canonical(T.category_key(F.col("category")), aliases)).withColumn("value", F.btrim("value")), "category", "value").select(batch, "category", "value").distinct()
-    values = keyed.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("category", (-F.length("value")).alias("k"), "value"))).alias("found"))
-    text = F.aggregate("found", F.col(text_col), lambda t, d: T.stitched_outside(t, T.value_pattern(d["value"]), lambda m: T.placeholder(run_id, T.shaped_category(d["category"], d["value"]), m)))
-    return rows.join(values, batch, "left").withColumn(text_col, F.when(F.col("found").isNull(), F.col(text_col)).otherwise(text)).drop("found")
+    named = detections.withColumn("category", canonical(T.category_key(F.col("category")), aliases)).withColumn("value", F.btrim("value"))
+    keyed = accepted(named, "category", "value", notes).select(batch, "category", "value").distinct()
+    ordered = keyed.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("category", (-F.length("value")).alias("k"), "value"))).alias("found"))
+    values = ordered.select(batch, F.transform("found", lambda v: F.struct(v["category"].alias("category"), v["value"].alias("value"))).alias("found"))
+    columns = [text_col] if isinstance(text_col, str) else text_col
+    return replaced(rows, values, batch, columns, lambda v, m: T.placeholder(run_id, T.shaped_category(v["category"], v["value"]), m), applied)
+
+
+def applied_count(rows: DataFrame, by: list[str], applied: str = "applied") -> DataFrame:
+    """n: distinct detections that replaced something, each once per `by`: the batch in notes, the record in plain text."""
+    return rows.select(*by, F.explode(applied).alias("d")).select(*by, "d.category", "d.value").distinct().agg(F.count("*").alias("n"))
 
 
 def scattered(rows: DataFrame, recovered: DataFrame, key: str, column: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from cloakspark.operators import mapping as M
 from cloakspark.operators import trees
+from cloakspark.operators.cycles import cycles
 from cloakspark.operators.reports import rehydration_status, third_party_status
+from cloakspark.operators.restoration import restored_json
 from cloakspark.sources.session import checkpointed
 
 
@@ -34,9 +36,9 @@ def rehydrated(payloads: DataFrame, id_col: str, json_col: str, expected: DataFr
     if status != "completed":
         return {"status": status, **report}, payloads.withColumn("passes", F.lit(0)) if said == "processed" else None
     known = checkpointed(read_mapping())
-    if n := M.cycles(known, returned.select("placeholder")).count():
+    if n := cycles(known, returned.select("placeholder")).count():
         return {"status": "failed", "reason": "mapping_cycles", "tokens_on_cycles": n, **report}, None
-    out = trees.restored(payloads, id_col, json_col, known, max_passes)
+    out = restored_json(payloads, id_col, json_col, known, max_passes)
     left = trees.token_counts(out, json_col).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if left:
         return {"status": "failed", "reason": "unresolved_placeholders", "unresolved": left, **report}, None

@@ -104,6 +104,19 @@ def occurrences(text: Column, value: Column) -> Column:
     return F.when(F.length(v) == 0, 0).otherwise(((F.length(t) - F.length(F.replace(t, v, F.lit("")))) / F.length(v)).cast("long"))
 
 
+def number_key(text: Column) -> Column:
+    """Equal for texts that are numbers of the same value, whatever their length and spelling; null for any other text."""
+    form = r"^\s*([+-]?)(?:(\d+)\.?(\d*)|()\.(\d+))(?:[eE]([+-]?\d{1,18}))?\s*$"
+    part = lambda k: F.regexp_extract(text, form, k)
+    fraction = F.concat(part(3), part(5))
+    digits = F.ltrim(F.concat(part(2), fraction), F.lit("0"))
+    short = F.rtrim(digits, F.lit("0"))
+    power = F.coalesce(F.nullif(part(6), F.lit("")).cast("long"), F.lit(0)) - F.length(fraction) + F.length(digits) - F.length(short)
+    endless = F.lower(F.btrim(F.regexp_replace(text, r"^\s*\+", "")))
+    number = F.when(short == "", "0").otherwise(F.concat(F.when(part(1) == "-", "-").otherwise(""), short, F.lit("e"), power.cast("string")))
+    return F.when(text.rlike(form), number).when(endless.isin("inf", "infinity"), "inf").when(endless.isin("-inf", "-infinity"), "-inf")
+
+
 def fidelity(source: DataFrame, returned: DataFrame, row_id: str) -> DataFrame:
     """One row: exact and semantic share of equal fields, fields and rows changed; not applicable if the numbers of rows differ.
 
@@ -113,8 +126,7 @@ def fidelity(source: DataFrame, returned: DataFrame, row_id: str) -> DataFrame:
     s = source.select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"s_{c}") for c in fields])
     r = returned.select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"r_{c}") for c in fields])
     exact = {c: F.col(f"s_{c}") == F.col(f"r_{c}") for c in fields}
-    number = lambda c: F.col(c).try_cast("decimal(38,18)")
-    semantic = {c: exact[c] | F.coalesce(number(f"s_{c}") == number(f"r_{c}"), F.lit(False)) for c in fields}
+    semantic = {c: exact[c] | F.coalesce(number_key(F.col(f"s_{c}")) == number_key(F.col(f"r_{c}")), F.lit(False)) for c in fields}
     total = lambda d: sum((x.cast("long") for x in d.values()), F.lit(0).cast("long"))
     rows = s.join(r, row_id, "full_outer").select(
         F.col(f"s_{fields[0]}").isNotNull().alias("mine"), F.col(f"r_{fields[0]}").isNotNull().alias("theirs"), total(exact).alias("exact"), total(semantic).alias("semantic")

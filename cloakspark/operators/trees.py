@@ -11,9 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakspark.functions import patterns as P
 from cloakspark.functions import text as T
-from cloakspark.sources.session import checkpointed
 
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?+'
 
@@ -52,24 +50,3 @@ def tokens_of(json: Column) -> Column:
 def token_counts(df: DataFrame, json_col: str) -> DataFrame:
     """placeholder, n over the string values of all JSON texts."""
     return df.select(F.explode_outer(tokens_of(F.col(json_col))).alias("placeholder")).where("placeholder is not null").groupBy("placeholder").agg(F.count("*").alias("n"))
-
-
-def restored(df: DataFrame, id_col: str, json_col: str, mapping: DataFrame, max_passes: int = 5) -> DataFrame:
-    """id, JSON text, passes: known placeholders in string values replaced by their values, again and again up to max_passes.
-
-    A text takes part in a pass while it holds a known placeholder; passes are those that changed it. Each text is
-    handed the small map of its own placeholders by a join, so the mapping is never sent whole. df: one row per id.
-    """
-    known = mapping.select("placeholder", "original_value")
-    df = df.select(id_col, json_col, F.lit(0).alias("passes"))
-    for _ in range(max(1, max_passes)):
-        tokens = df.select(id_col, F.explode(F.array_distinct(tokens_of(F.col(json_col)))).alias("placeholder")).join(known, "placeholder")
-        own = tokens.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("own"))
-        new = mapped_values(F.col(json_col), lambda v: T.stitched(v, P.PLACEHOLDER, lambda t: F.coalesce(F.element_at("own", t), t)))
-        joined = df.join(own, id_col, "left").select(id_col, json_col, "passes", F.when(F.col("own").isNull(), F.col(json_col)).otherwise(new).alias("new"))
-        df = checkpointed(joined.select(id_col, F.col("new").alias(json_col), (F.col("passes") + (~F.col("new").eqNullSafe(F.col(json_col))).cast("int")).alias("passes"), (~F.col("new").eqNullSafe(F.col(json_col))).alias("changed")))
-        done = df.where("changed").limit(1).count() == 0
-        df = df.drop("changed")
-        if done:
-            break
-    return df

@@ -62,7 +62,7 @@ select '<T_' || cast(c_custkey as string) || '>' as placeholder,
        when c_custkey % 5 = 0 then 'value ' || cast(c_custkey as string) else 'in <T_' || cast(c_custkey - 1 as string) || '>' end as original_value
 from {customer}"""
 
-TABLES = ("customer", "orders", "documents")
+TABLES = ("customer", "orders", "documents", "events", "lineitem", "conversations")
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

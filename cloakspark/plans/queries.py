@@ -12,6 +12,9 @@ from cloakspark.operators import masking as K
 from cloakspark.operators import records as R
 from cloakspark.operators import reports as S
 from cloakspark.operators import trees as J
+from cloakspark.operators.cycles import cycles
+from cloakspark.operators.numbering import greedy_batches
+from cloakspark.operators.restoration import restored, restored_json
 from cloakspark.plans import fixtures as X
 from cloakspark.plans.fixtures import RUN, fixture
 from cloakspark.sources import exchange as E
@@ -56,7 +59,8 @@ def placeholder_counts(spark, d):
 def rehydrate_single(spark, d):
     trace = checkpointed(M.traced(_documents(spark, d), "doc_id", "text", RUN))  # the chain of patterns runs once for text and mapping
     mapping = M.first_seen(M.found_of(trace, RUN))
-    return M.restored_once(trace.select(F.col("id").alias("doc_id"), "text"), "doc_id", "text", mapping).select("doc_id", "text", "changed")
+    back = restored(trace.select(F.col("id").alias("doc_id"), "text"), "doc_id", "text", mapping, 1)
+    return back.select("doc_id", "text", (F.col("passes") > 0).alias("changed"))
 
 
 _PAYLOAD = ('{"status":"ok","<T_', '>":"a key","records":[{"id":', ',"note":"see <T_', '> and <X_1>"}]}')
@@ -69,7 +73,7 @@ def _payloads(spark, d):
 
 
 def restore_json(spark, d):
-    return J.restored(_payloads(spark, d), "c_custkey", "payload", _edges(spark, d))
+    return restored_json(_payloads(spark, d), "c_custkey", "payload", _edges(spark, d))
 
 
 def json_token_counts(spark, d):
@@ -82,12 +86,12 @@ def _edges(spark, d):
 
 def rehydrate_multipass(spark, d):
     texts = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit("see <T_"), F.col("c_custkey").cast("string"), F.lit("> and <X_1>")).alias("text"))
-    return M.restored(texts, "c_custkey", "text", _edges(spark, d))
+    return restored(texts, "c_custkey", "text", _edges(spark, d))
 
 
 def mapping_cycles(spark, d):
     roots = _edges(spark, d).where(F.regexp_extract("placeholder", r"(\d+)", 1).cast("int") % 4 < 2).select("placeholder")
-    return M.cycles(_edges(spark, d), roots)
+    return cycles(_edges(spark, d), roots)
 
 
 def unresolved_count(spark, d):
@@ -208,7 +212,7 @@ def batch_fixed(spark, d):
 
 
 def batch_greedy(spark, d):
-    return R.greedy_batches(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 25)
+    return greedy_batches(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 25)
 
 
 def residual_counts(spark, d):

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakspark.sources.exchange import write_text
 from cloakspark.sources.policy import RunConfig
 
 
@@ -67,12 +68,10 @@ def run_metrics(counts: dict[str, int], seconds: dict[str, float], status: str =
     return numbers | kept | said | timed | ({label: fidelity.get(k, "Not applicable") for k, label in FIDELITY.items()} if fidelity else {})
 
 
-def write_metrics(metrics: dict[str, Any], metadata: dict[str, str], path: str) -> None:
-    """As JSON, and as an aligned table beside it."""
-    with open(f"{path}.json", "w", encoding="utf-8") as f:
-        json.dump({**metadata, "metrics": metrics}, f, indent=2)
-    with open(f"{path}.txt", "w", encoding="utf-8") as f:
-        f.write("".join(f"{k:<50} {v}\n" for k, v in {"Metric": "Value", **metrics}.items()))
+def write_metrics(spark: SparkSession, metrics: dict[str, Any], metadata: dict[str, str], path: str) -> None:
+    """As JSON, and as an aligned table beside it, on any file system that Spark can reach."""
+    write_text(spark, f"{path}.json", json.dumps({**metadata, "metrics": metrics}, indent=2))
+    write_text(spark, f"{path}.txt", "".join(f"{k:<50} {v}\n" for k, v in {"Metric": "Value", **metrics}.items()))
 
 
 def record_artifact(spark: SparkSession, table: str, path: str, metadata: dict[str, str], **extra: str) -> None:
@@ -93,6 +92,7 @@ def bundled(logs: list[str], path: str) -> dict[str, Any]:
     return {"zip_name": os.path.basename(path), "zip_path": path, "sha256": digest, "included_logs": sorted(map(os.path.basename, logs))}
 
 
+#: Fixed fields of a ledger entry.
 LEDGER = (
     "run_id string, policy_id string, policy_version string, policy_hash string, domain string, bundle_type string, zip_name string, zip_path string, sha256 string, included_logs array<string>, "
     "blockchain_enabled boolean, blockchain_anchor_digest boolean, blockchain_provider string, blockchain_tx_hash string, blockchain_block_number long, blockchain_rpc_url string, timestamp_utc string, note string"

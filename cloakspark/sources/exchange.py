@@ -6,13 +6,14 @@ written last, also by renaming. Responses are read only after their manifest has
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cloakspark.sources.handoff import file_hashes, manifest_error, read_documents, read_table
@@ -85,32 +86,43 @@ def write_table(df: DataFrame, path: str, metadata: dict[str, Any]) -> None:
     write_sidecar(df.sparkSession, path, metadata)
 
 
-def write_texts(df: DataFrame, id_col: str, text_col: str, path: str, metadata: dict[str, Any]) -> None:
-    """A stage of documents: a folder per document id that holds its text as a file (with a newline at its end), with one sidecar for all."""
-    texts = df.select(F.col(text_col).alias("value"), F.col(id_col).cast("string").alias("doc"))
-    texts.write.mode("overwrite").partitionBy("doc").text(path)
+def write_texts(df: DataFrame, id_col: str, text_col: str, path: str, metadata: dict[str, Any], rows_per_file: int = 10_000) -> None:
+    """A stage of documents as JSON lines of id and text, in files of bounded size, with one sidecar for all."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(path)
     write_sidecar(df.sparkSession, path, metadata)
 
 
+def read_texts(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    """id, text of a stage of documents."""
+    return spark.read.schema(f"id {id_type}, text string").json(path)
+
+
 def content_hash(spark: SparkSession, path: str) -> str | None:
     """sha256 of a file; of a folder over the hashes of its files in order of their names. None where there is nothing."""
     if not exists(spark, path):
         return None
-    hashes = file_hashes(spark, path).where(~F.col("name").startswith("_"))
-    rows = hashes.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("name", "sha256"))).alias("all")).select("n", F.transform("all", lambda x: x["sha256"]).alias("all"))
-    one = rows.select(F.when(F.col("n") == 1, F.col("all")[0]).when(F.col("n") > 1, F.sha2(F.array_join("all", ""), 256)).alias("h"))
-    return one.first()["h"]
+    hashes = file_hashes(spark, path).where(~F.col("name").startswith("_")).orderBy("name")
+    n, only, whole = 0, None, hashlib.sha256()
+    for r in hashes.toLocalIterator():  # a line per file, a part of them at a time
+        n, only = n + 1, r["sha256"]
+        whole.update(only.encode())
+    return None if not n else only if n == 1 else whole.hexdigest()
 
 
 def publish(df: DataFrame, root: str, domain: str, run_id: str, metadata: dict[str, Any], profile: str = "risk_enrichment") -> str:
-    """Write a request for an external processor: a table (structured) or texts; the folder it is in. df: the masked rows."""
+    """Write a request for an external processor: a table (structured) or texts; the folder it is in. df: the masked rows.
+
+    The number of records is counted by the write itself.
+    """
     spark, out = df.sparkSession, f"{root}/outbound/{domain}/{run_id}"
     name = "anonymized.csv" if domain == "structured" else "anonymized.txt"
-    writer = df.write.mode("overwrite")
+    said = Observation()
+    writer = df.observe(said, F.count(F.lit(1)).alias("records")).write.mode("overwrite")
     writer.option("header", True).option("escape", '"').csv(f"{out}/.writing") if domain == "structured" else writer.text(f"{out}/.writing")
     moved(spark, f"{out}/.writing", f"{out}/{name}")
     form = "csv" if domain == "structured" else "text"
-    manifest = {**metadata, "domain": domain, "format": form, "input_file": name, "input_sha256": content_hash(spark, f"{out}/{name}"), "records": df.count(), "processing_profile": profile, "created_at_utc": now()}
+    manifest = {**metadata, "domain": domain, "format": form, "input_file": name, "input_sha256": content_hash(spark, f"{out}/{name}"), "records": said.get["records"], "processing_profile": profile, "created_at_utc": now()}
     write_text(spark, f"{out}/request_manifest.json", json.dumps(manifest, indent=2))
     return out
 

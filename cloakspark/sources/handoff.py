@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakspark.functions import text as T
+from cloakspark.sources.session import with_package
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -33,10 +37,53 @@ def newest_file(spark: SparkSession, path: str) -> str | None:
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
 
 
+#: Bytes of a file that a task holds at once, and file systems whose streams a task can open itself.
+PIECE = 8 << 20
+OPENED = ("file", "hdfs", "s3", "gs")
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    scheme, _, rest = uri.partition(":")
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(uri)
+
+
+def _digest(files: fs.FileSystem, path: str) -> str:
+    """sha256 of a file, read piece by piece."""
+    h = hashlib.sha256()
+    with files.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            h.update(piece)
+    return h.hexdigest()
+
+
+def content_digest(uri: str) -> str | None:
+    """sha256 of a file; of a folder over those of its files in order of their names, or that of its only file; None where there is nothing."""
+    files, path = _opened(uri)
+    kind = files.get_file_info(path).type
+    if kind == fs.FileType.File:
+        return _digest(files, path)
+    inside = files.get_file_info(fs.FileSelector(path)) if kind == fs.FileType.Directory else []
+    hashes = [_digest(files, f.path) for f in sorted(inside, key=lambda f: f.base_name) if f.type == fs.FileType.File and f.base_name[0] not in "_."]
+    return None if not hashes else hashes[0] if len(hashes) == 1 else hashlib.sha256("".join(hashes).encode()).hexdigest()
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, sha256 of every file."""
+    """path, name, sha256 of every file, of any length: tasks read files as streams.
+
+    On file systems that only Spark can read, files are loaded whole, which ends at 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    first = files.select("path").first()
+    if first is not None and first["path"].partition(":")[0] not in OPENED:
+        return files.select("path", name, F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("sha256", pa.array([_digest(*_opened(p)) for p in b.column("path").to_pylist()], pa.string()))
+
+    with_package(spark)
+    return files.select("path", name).mapInArrow(digests, "path string, name string, sha256 string")
 
 
 def write_stage(df: DataFrame, path: str, domain: str, run_id: str, stage: str) -> None:

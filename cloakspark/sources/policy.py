@@ -155,6 +155,7 @@ class RunConfig:
     batch_size: int = 25
     max_characters: int = 12_000
     recovery_batch_size: int = 10
+    delay_seconds: float = 0.5
     request_format: str = "openai_chat"
     response_format: str = "openai_chat"
     model: str = ""

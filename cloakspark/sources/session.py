@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once into a table in the shared folder.
+
+    For rounds that read their own results: a checkpoint keeps the estimated size of its plan, and estimates multiply
+    with every join, whereas that of a table is its true one.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; on a cluster without a shared folder ship it with --py-files."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

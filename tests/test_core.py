@@ -14,6 +14,9 @@ from cloakspark.operators import mapping as M
 from cloakspark.operators import masking as K
 from cloakspark.operators import records as R
 from cloakspark.operators import reports as S
+from cloakspark.operators.cycles import cycles
+from cloakspark.operators.numbering import greedy_batches
+from cloakspark.operators.restoration import restored
 from cloakspark.sources import handoff as H
 from cloakspark.sources.session import checkpoint_folder
 from cloakspark.streaming.masking import masked_files
@@ -61,7 +64,7 @@ def test_round_trip_and_integrity(spark):
     masked = K.masked_in_steps(df, "text", RUN)
     mapping = M.first_seen(M.found_in(df, "id", "text", RUN))
     assert mapping.count() == len({r["placeholder"] for r in mapping.collect()}) > 5
-    back = {r["id"]: r["text"] for r in M.restored(masked, "id", "text", mapping).collect()}
+    back = {r["id"]: r["text"] for r in restored(masked, "id", "text", mapping).collect()}
     assert back == {r["id"]: r["text"] for r in df.collect()}
     counts = M.token_counts(masked, "text")
     M.check_integrity(M.integrity(counts, M.token_counts(masked.where("id = 1"), "text")))
@@ -101,10 +104,10 @@ def test_collisions_get_new_tokens(spark):
 def test_passes_and_cycles(spark):
     mapping = spark.createDataFrame([("<A_1>", "x <A_2>"), ("<A_2>", "y <A_3>"), ("<A_3>", "z"), ("<B_1>", "<B_2>"), ("<B_2>", "<B_1>"), ("<C_1>", "<C_1>")], "placeholder string, original_value string")
     df = spark.createDataFrame([(1, "<A_1>!"), (2, "plain")], "id long, text string")
-    assert {(r["id"], r["text"], r["passes"]) for r in M.restored(df, "id", "text", mapping).collect()} == {(1, "x y z!", 3), (2, "plain", 0)}
+    assert {(r["id"], r["text"], r["passes"]) for r in restored(df, "id", "text", mapping).collect()} == {(1, "x y z!", 3), (2, "plain", 0)}
     checkpoint_folder(spark)
     roots = spark.createDataFrame([("<A_1>",), ("<B_1>",)], "placeholder string")
-    assert {r["placeholder"] for r in M.cycles(mapping, roots).collect()} == {"<B_1>", "<B_2>"}
+    assert {r["placeholder"] for r in cycles(mapping, roots).collect()} == {"<B_1>", "<B_2>"}
 
 
 def test_records_and_batches(spark):
@@ -113,9 +116,9 @@ def test_records_and_batches(spark):
     assert {(r["id"], r["pos"], r["number"], r["text"]) for r in rows.collect()} == {(1, 0, None, "head\n"), (1, 1, 1, "1. a\nmore\n"), (1, 2, 2, "2. b"), (2, 1, 1, "1. a\n"), (3, 1, 1, "none"), (4, 0, None, "")}
     assert {r["id"]: r["text"] for r in R.joined_records(rows, "id").collect()} == {r["id"]: r["text"] for r in df.collect()}
     sizes = spark.createDataFrame([("g", k, s) for k, s in enumerate([5, 5, 20, 3, 3, 3])], "g string, k int, s int")
-    assert [r["batch"] for r in R.greedy_batches(sizes, "g", "k", "s", 2, 10).orderBy("k").collect()] == [0, 0, 1, 2, 2, 3]
+    assert [r["batch"] for r in greedy_batches(sizes, "g", "k", "s", 2, 10).orderBy("k").collect()] == [0, 0, 1, 2, 2, 3]
     many = spark.range(200_000).selectExpr("cast(id % 3 as string) g", "id k", "id % 7 s")
-    got = R.greedy_batches(many, "g", "k", "s", 25, 60).groupBy("g", "batch").count().agg(F.max("count"), F.count("*")).first()
+    got = greedy_batches(many, "g", "k", "s", 25, 60).groupBy("g", "batch").count().agg(F.max("count"), F.count("*")).first()
     assert got[0] <= 25 and got[1] > 8000
     texts = spark.createDataFrame([(1, " \n"), (2, "x\n 1. a\n\n2.  b \n"), (3, "plain")], "id long, text string")
     assert {(r["id"], r["number"], r["text"]) for r in R.bare_records(texts, "id", "text").collect()} == {(2, 1, "a"), (2, 2, "b"), (3, 1, "plain")}
@@ -191,3 +194,19 @@ def test_all_queries_are_registered():
 
     core = entry._core()[0]
     assert set(core.ORACLES) <= set(core.QUERIES) and len(core.QUERIES) >= 40
+
+
+def test_numbers_of_the_same_value(spark):
+    from decimal import Decimal, InvalidOperation
+
+    texts = ["1", "1.0", "+1", "01.", ".5", "0.50", "5e-1", "1E2", "100", "-0", "0.000", "", ".", "1.2.3", "x1", " 7 ", "7", "9" * 40, "9" * 40 + ".0", "9" * 39 + "8", "1e400", "10e399", "inf", "-Infinity", "nan", "-5", "5", "1e-400", "0e5", "--1"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+
+    def same(a, b):
+        try:
+            return Decimal(a) == Decimal(b)
+        except InvalidOperation:
+            return False
+
+    got = {(r["a"], r["b"]): r["same"] for r in df.withColumn("same", F.coalesce(S.number_key(F.col("a")) == S.number_key(F.col("b")), F.lit(False))).collect()}
+    assert got == {(a, b): same(a, b) for a in texts for b in texts}

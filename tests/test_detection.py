@@ -125,7 +125,7 @@ def test_metrics_and_audit(spark, tmp_path):
     A.appended(spark, f"{tmp_path}/ledger", entry | {"zip_name": "gone.zip"})
     got = A.audited(spark.read.parquet(f"{tmp_path}/ledger"), H.file_hashes(spark, f"{tmp_path}/z.zip"))
     assert {tuple(r) for r in got.collect()} == {("z.zip", True, True), ("gone.zip", False, False)}
-    A.write_metrics(m, {"run_id": "r"}, f"{tmp_path}/m")
+    A.write_metrics(spark, m, {"run_id": "r"}, f"{tmp_path}/m")
     assert json.loads((tmp_path / "m.json").read_text())["metrics"]["Records"] == 1
     A.record_artifact(spark, f"{tmp_path}/artifacts", "m.json", {"run_id": "r"})
     assert spark.read.parquet(f"{tmp_path}/artifacts").count() == 1

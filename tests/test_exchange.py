@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloakspark.operators import rehydration as R
 from cloakspark.operators import reports as S
 from cloakspark.operators import trees as J
+from cloakspark.operators.restoration import restored_json
 from cloakspark.sources import exchange as E
 from cloakspark.sources import handoff as H
 from cloakspark.sources.policy import RunConfig
@@ -57,8 +58,10 @@ def test_writers_and_inputs(spark, tmp_path):
     E.write_table(df.select("id"), f"{tmp_path}/t.csv", META)
     E.write_texts(df, "id", "text", f"{tmp_path}/texts", META)
     assert E.read_json(spark, f"{tmp_path}/t.csv.metadata.json")["artifact"] == "t.csv"
-    texts = {r["doc_id"].split("/")[-2]: r["text"] for r in H.read_documents(spark, f"{tmp_path}/texts/doc=1").collect()}
-    assert texts == {"doc=1": "a\nb\n\n"}
+    assert {tuple(r) for r in E.read_texts(spark, f"{tmp_path}/texts", "long").collect()} == {(1, "a\nb\n"), (2, "")}
+    many = spark.range(2500, numPartitions=1).selectExpr("id", "'x' text")
+    E.write_texts(many, "id", "text", f"{tmp_path}/many", META, rows_per_file=1000)
+    assert len(list((tmp_path / "many").glob("part-*"))) == 3 and E.read_texts(spark, f"{tmp_path}/many").count() == 2500
     E.write_report(spark, f"{tmp_path}/report.json", META, {"status": "passed"})
     assert E.read_json(spark, f"{tmp_path}/report.json")["status"] == "passed"
     with pytest.raises(FileNotFoundError):
@@ -87,7 +90,7 @@ def test_values_of_trees(spark):
     got = {r["id"]: r["v"] for r in df.select("id", J.string_values(F.col("j")).alias("v")).collect()}
     assert got == {1: ['a <X_1> "q" é', "<Y_2>", ""], 2: [], 3: []}
     mapping = spark.createDataFrame([("<X_1>", 'say "hi" \\ <Y_2>'), ("<Y_2>", "line\nbreak")], "placeholder string, original_value string")
-    out = {r["id"]: (r["j"], r["passes"]) for r in J.restored(df, "id", "j", mapping).collect()}
+    out = {r["id"]: (r["j"], r["passes"]) for r in restored_json(df, "id", "j", mapping).collect()}
     assert json.loads(out[1][0]) == {"k <X_1>": 'a say "hi" \\ line\nbreak "q" é', "n": [1, "line\nbreak", None, {"b": ""}], "t": True} and out[1][1] == 2
     assert out[2] == (None, 0) and out[3] == ("[]", 0)
     assert {r["placeholder"]: r["n"] for r in J.token_counts(df, "j").collect()} == {"<X_1>": 1, "<Y_2>": 1}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from cloakspark.operators import mapping
+from cloakspark.operators import cycles
 
 
 def ring(n, name):
@@ -20,5 +20,5 @@ def test_cycles_are_found_whole(spark, length):
     rows[0] = (rows[0][0], rows[0][1] + " and <BRIDGE_1>")  # a path from one cycle to another is on neither
     m = spark.createDataFrame(rows, "placeholder string, original_value string")
     some = m.where("placeholder like '%0>'").select("placeholder")
-    assert {r["placeholder"] for r in mapping.cycles(m, some).collect()} == {*token, *other}
-    assert mapping.cycles(m, m.where("placeholder = '<LEAF_1>'").select("placeholder")).count() == 0
+    assert {r["placeholder"] for r in cycles.cycles(m, some).collect()} == {*token, *other}
+    assert cycles.cycles(m, m.where("placeholder = '<LEAF_1>'").select("placeholder")).count() == 0
