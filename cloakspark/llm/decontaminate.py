@@ -3,7 +3,7 @@
 A text becomes its words, in which numbers, units after numbers, and names (capitalised words inside a sentence)
 are replaced by typed placeholders, so a question with other numbers or names has the same template. Windows of
 WINDOW template words are hashed; documents and benchmark items meet by a hash join on windows. A document holds an
-item if at least SIMILARITY of the item's distinct windows stand in it and the slots agree: the values behind the
+item if at least SIMILARITY of the item's windows stand in it, one that the item holds several times as often there, and the slots agree: the values behind the
 placeholders must map one to one, by majority, for at least CONSISTENCY of the slot pairs. All of it is DataFrame
 functions.
 
@@ -106,7 +106,7 @@ def anchors(benchmark: DataFrame) -> DataFrame | None:
     """item_id, w, word: windows of which a document must share one to hold the item, each with a plain word of it; None if an item has no such words.
 
     An item is held if SIMILARITY of its windows are shared, so of any more windows than may be missing one is shared,
-    with all its words. Of each item those windows are taken whose longest plain word (in both readings) is longest, as
+    with all its words; a window that stands several times counts as often. Of each item those windows are taken whose longest plain word (in both readings) is longest, as
     long words are in few documents. benchmark: item_id, text.
     """
     words = read(benchmark, "item_id")
@@ -114,10 +114,10 @@ def anchors(benchmark: DataFrame) -> DataFrame | None:
     words = words.where("n > 0").select("item_id", "c", plain.alias("plain"), "n")
     every = F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))
     best = F.transform(every, lambda i: F.struct(_hash(F.col("c"), i, WINDOW).alias("w"), F.array_max(F.filter(F.slice("plain", i + 1, WINDOW), lambda x: x.isNotNull())).alias("best")))
-    each = words.select("item_id", F.explode(best).alias("x")).select("item_id", "x.w", "x.best").groupBy("item_id", "w").agg(F.max("best").alias("best"))
-    n = F.count("*").over(Window.partitionBy("item_id"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc_nulls_last("best"), "w"))
-    chosen = each.select("item_id", "w", "best", n.alias("n"), rank.alias("rank")).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    each = words.distinct().select("item_id", F.explode(best).alias("x")).select("item_id", "x.w", "x.best").groupBy("item_id", "w").agg(F.max("best").alias("best"), F.count("*").alias("m"))
+    n = F.sum("m").over(Window.partitionBy("item_id"))
+    ordered = Window.partitionBy("item_id").orderBy(F.desc_nulls_last("best"), "w").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = each.select("item_id", "w", "best", n.alias("n"), F.coalesce(F.sum("m").over(ordered), F.lit(0)).alias("before")).where(F.col("before") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9))
     chosen = checkpointed(chosen.select("item_id", "w", "best.word"))
     return None if chosen.where("word is null").limit(1).count() else chosen
 
@@ -208,8 +208,8 @@ def occurrences(met: DataFrame) -> DataFrame:
     keys = ["doc_id", "item_id"]
     at, reach = F.col("i") - F.col("their_i"), F.floor((1 - SIMILARITY) * F.col("n_windows")).cast("int")
     near = met.withColumn("place", F.explode(F.sequence(at - reach, at + reach)))
-    near = near.groupBy(*keys, "t", "place", "their_i").agg(F.min_by(F.struct("w", "theirs", "slots", "n_windows"), F.struct(F.abs(at - F.col("place")), F.col("b").cast("int"), F.col("i"))).alias("m"))
-    return near.select(*keys, "t", "place", "m.*")
+    near = near.groupBy(*keys, "t", "place", "their_i").agg(F.min_by(F.struct("w", "theirs", "slots", "n_windows", "i"), F.struct(F.abs(at - F.col("place")), F.col("b").cast("int"), F.col("i"))).alias("m"))
+    return near.select(*keys, "t", "place", "their_i", "m.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -228,23 +228,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = checkpointed(windows(benchmark, "item_id"))
     short = tuple(sorted(r["m"] for r in each.where(F.col("m") < WINDOW).select("m").distinct().collect()))
     # one row per item and window: the windows' own places and slots are kept in an array, as a window may stand twice
-    items = each.groupBy("item_id", "h").agg(F.collect_set(F.struct(F.col("i").alias("their_i"), "w", "b", F.col("slots").alias("theirs"))).alias("item_windows"))
-    sizes = each.where("not b").groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    items = each.groupBy("item_id", "h").agg(F.collect_set(F.struct(F.col("i").alias("their_i"), F.col("t").alias("their_t"), "w", "b", F.col("slots").alias("theirs"))).alias("item_windows"))
+    sizes = each.where("not b").groupBy("item_id").agg(F.countDistinct("t", "i").alias("n_windows"))
     docs = candidates(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null"), each, anchors(benchmark), short)
     own = windows(docs, "doc_id", short).drop("m", "w")
     found = own.join(F.broadcast(items) if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "h")
     found = checkpointed(found)  # few rows, read again below; the windows of the documents are worked out once
     first = found.withColumn("item_windows", F.filter("item_windows", lambda x: ~x["b"])).where("not b and size(item_windows) > 0")
-    shared = first.groupBy(*keys).agg(F.countDistinct("h").alias("n_shared")).join(sizes, "item_id")
+    # a window that stands several times on both sides is shared as often as it does on the side with fewer
+    fewer = first.groupBy(*keys, "h").agg(F.least(F.countDistinct("t", "i"), F.max(F.size("item_windows")).cast("long")).alias("n"))
+    shared = fewer.groupBy(*keys).agg(F.sum("n").alias("n_shared")).join(sizes, "item_id")
     pairs = first.where("slots is not null").select(*keys, "slots", F.explode(F.array_distinct(F.transform("item_windows", lambda x: x["theirs"]))).alias("theirs"))
     whole = checkpointed(judged(shared, pairs, keys))
     rest = found.join(whole, keys, "left_anti")
-    met = rest.select(*keys, "t", "i", "slots", F.col("b").alias("mine"), F.explode("item_windows").alias("x")).select(*keys, "t", "i", "slots", "x.their_i", "x.w", "x.theirs", (F.col("mine") | F.col("x.b")).alias("b"))
-    enough = met.groupBy(*keys).agg(F.countDistinct("w").alias("n_shared")).join(sizes, "item_id").where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
+    met = rest.select(*keys, "t", "i", "slots", F.col("b").alias("mine"), F.explode("item_windows").alias("x")).select(*keys, "t", "i", "slots", "x.their_i", "x.their_t", "x.w", "x.theirs", (F.col("mine") | F.col("x.b")).alias("b"))
+    fewer = met.groupBy(*keys, "w").agg(F.least(F.countDistinct("t", "i"), F.countDistinct("their_t", "their_i")).alias("n"))
+    enough = fewer.groupBy(*keys).agg(F.sum("n").alias("n_shared")).join(sizes, "item_id").where(F.col("n_shared") >= SIMILARITY * F.col("n_windows"))
     met = checkpointed(met.join(enough, keys))
     places = checkpointed(occurrences(met))
     placed = [*keys, "t", "place"]
-    one = judged(places.groupBy(*placed).agg(F.countDistinct("w").alias("n_shared"), F.first("n_windows").alias("n_windows")), places, placed).drop("t", "place")
+    one = judged(places.groupBy(*placed).agg(F.least(F.countDistinct("their_i"), F.countDistinct("i")).alias("n_shared"), F.first("n_windows").alias("n_windows")), places, placed).drop("t", "place")
     best = one.unionByName(judged(enough, met, keys)).groupBy(*keys).agg(F.max(F.struct("consistency", "n_shared", "n_windows", "share")).alias("m"))
     return whole.unionByName(best.select(*keys, "m.n_shared", "m.n_windows", "m.share", "m.consistency"))
 
@@ -264,7 +267,7 @@ _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 _WINDOWS = r"""
 select {key}, array_to_string(c[i : i + 4], ' ') w,
        list_transform(c[i : i + 4], lambda x, k : case when x[1] = '<' then o[i + k - 1] end) s,
-       list_contains(list_transform(c[i : i + 4], lambda x : x[1] = '<'), true) slotted
+       list_contains(list_transform(c[i : i + 4], lambda x : x[1] = '<'), true) slotted, i
 from (select {key}, list_transform(p, lambda x : x.c) c, list_transform(p, lambda x : x.o) o, unnest(range(1, greatest(len(p) - 4, 1) + 1)) i
       from (select {key}, list_filter(list_transform(words, lambda x, k : struct_pack(c := case
                 when regexp_full_match(x, '[.!?\n]+') then '.'
@@ -276,10 +279,11 @@ from (select {key}, list_transform(p, lambda x : x.c) c, list_transform(p, lambd
       where len(p) > 0)"""
 _SQL = f"""
 with own as ({_WINDOWS.replace("{key}", "doc_id").replace("{table}", "documents").replace("{units}", _UNITS)}),
-theirs as (select distinct * from ({_WINDOWS.replace("{key}", "item_id").replace("{table}", "benchmark").replace("{units}", _UNITS)})),
-sizes as (select item_id, count(distinct w) n_windows from theirs group by item_id),
+placed as (select distinct * from ({_WINDOWS.replace("{key}", "item_id").replace("{table}", "benchmark").replace("{units}", _UNITS)})),
+theirs as (select distinct item_id, w, s, slotted from placed),
+sizes as (select item_id, count(*) n_windows from placed group by item_id),
 met as (select doc_id, item_id, w, own.slotted, own.s mine, theirs.s other from own join theirs using (w)),
-shared as (select doc_id, item_id, count(distinct w) n_shared from met group by all),
+shared as (select doc_id, item_id, sum(least(n, m)) :: bigint n_shared from (select doc_id, w, count(*) n from own group by all) join (select item_id, w, count(*) m from placed group by all) using (w) group by all),
 vals as (select doc_id, item_id, a, b, count(*) n from (select doc_id, item_id, unnest(other) a, unnest(mine) b from met where slotted) where a is not null and b is not null group by all),
 agree as (select doc_id, item_id, sum(case when best_b = b and best_a = a then n else 0 end) / sum(n) consistency
           from (select *, first(b) over (partition by doc_id, item_id, a order by n desc, b desc) best_b, first(a) over (partition by doc_id, item_id, b order by n desc, a desc) best_a from vals) group by all)

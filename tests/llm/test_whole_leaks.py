@@ -57,3 +57,14 @@ def test_very_long_texts_repeated_rows_and_hot_placeholder_windows(spark):
     docs = [long, long, numbers, numbers + " and more", "", TRAIN]
     got = held(spark, [TRAIN, " ".join(str(k + 7) for k in range(12))], docs)
     assert {(0, 0), (1, 0), (5, 0)} <= got and {d for d, i in got if i == 0} == {0, 1, 5}
+
+
+def test_windows_that_repeat_count_by_place(spark):
+    run = " ".join(str(k) for k in range(1, 21))
+    lists = "Tom has 3 apples and Ann has 3 apples and Ann has 3 apples and Ann has 3 apples and Ann has 3 apples now"
+    other_run = " ".join(str(3 * k + 100) for k in range(1, 21))
+    docs = ["call us at 40 77 12 9 63 now or later", f"list: {run} end", f"list: {other_run} end", "Tom has 3 apples and Ann has 3 apples and that is all", f"well {lists}", "so Bob has 8 apples and Eve has 8 apples and Eve has 8 apples and Eve has 8 apples and Eve has 8 apples now"]
+    assert held(spark, [run, lists], docs) == {(1, 0), (2, 0), (4, 1), (5, 1)}
+    short = [" ".join(str(k) for k in range(12))] * 3  # the same row three times is one text
+    items = spark.createDataFrame([(0, run)], "item_id long, text string")
+    assert decontaminate.leaks(spark.createDataFrame([(1, t) for t in short], "doc_id long, text string"), items).count() == 0
