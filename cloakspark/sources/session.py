@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (as in tests) one of our own is set."""
+    """The folder in spark.checkpoint.dir; where the session names none, one of our own in local mode, and elsewhere an error, as hosts must share it."""
     context = spark.sparkContext
     if not (folder := context.getCheckpointDir()):
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cloakspark-checkpoint-")
+        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+            folder = tempfile.mkdtemp(prefix="cloakspark-checkpoint-")
         context.setCheckpointDir(folder)
     return folder
 

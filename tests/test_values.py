@@ -122,3 +122,22 @@ def test_one_group_is_spread_over_tasks(spark):
         assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_the_query_of_many_values_equals_the_fold(spark, tmp_path):
+    from cloakspark.functions import patterns as P
+    from cloakspark.operators.records import accepted, canonical
+    from cloakspark.plans import detecting as Q
+    from cloakspark.plans.fixtures import RUN as OWN
+    from cloakspark.plans.fixtures import fixture
+
+    rng = random.Random(3)
+    words = ["Anna", "anna", "Bell", "of", "the", "The", "étage", "ab-cd", "a", "x1"]
+    turns = [(c, t, "user", " ".join(rng.choices(words, k=rng.randrange(12)))) for c in range(4) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.range(12).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    named = fixture(spark, str(tmp_path), Q.WORDS).where("value <> ''").withColumn("category", canonical(T.category_key(F.col("category")), P.NOTE_ALIASES))
+    found = accepted(named, "category", "value", False).distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("category", (-F.length("value")).alias("k"), "value"))).alias("found"))
+    text = F.aggregate("found", F.col("text"), lambda t, d: T.stitched_outside(t, T.value_pattern(d["value"]), lambda m: T.placeholder(OWN, T.shaped_category(d["category"], d["value"]), m)))
+    want = spark.read.parquet(f"{tmp_path}/conversations.parquet").join(found, "conv_id", "left").select("conv_id", "turn", F.when(F.col("found").isNull(), F.col("text")).otherwise(text).alias("text"))
+    assert {tuple(r) for r in Q.apply_many(spark, str(tmp_path)).select("conv_id", "turn", "text").collect()} == {tuple(r) for r in want.collect()}
