@@ -1,8 +1,9 @@
-"""What the ten operators share: table access, Arrow batches and shared checkpoints."""
+"""What the operators share: table access, Arrow batches and shared checkpoints."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -32,12 +33,15 @@ def prepared(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (as in tests) one of our own is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where the session names none, one of our own in local mode, and elsewhere an error, as hosts must share it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cloakspark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+        named = tempfile.mkdtemp(prefix="cloakspark-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 

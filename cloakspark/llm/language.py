@@ -1,9 +1,9 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax, over exact counts of the corpus.
 
-A token's probability is that of its class, given the three tokens before it, times that of the token within its
+A token's probability is that of its class, given the two tokens before it, times that of the token within its
 class. The most frequent tokens form classes by frequency, whose members are told apart by features again; all
 other tokens fall into classes by their last bytes, within which their smoothed counts decide, so that every
-possible token has a probability. Features (previous token, the one before it, both, and the third) are hashed to
+possible token has a probability. Features (the previous token, the one before it, and both) are hashed to
 rows of two tables: one row gives a weight to every class, or to every member of one class.
 
 Documents are read once. Tasks cut them into packs of some MB, in which tokens are numbers of the pack's own
@@ -39,11 +39,11 @@ MODULUS, REST_OF = 7, 2
 CLASSES, SIZE, REST = 48, 64, 16
 #: Rows of the two weight tables, as powers of two.
 CLASS_BITS, WORD_BITS = 13, 14
-FEATURES = 4
+FEATURES = 3
 #: Tokens whose counts every task gets, at most; a token beyond them is about one of so many tokens of the corpus, or less.
 HEAD = 65_536
 #: Bytes of text from which a pack is full.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 8 << 20
 #: Rounds of training, each over its share of all packs; tokens of a gradient step; step width; first sum of squares.
 ROUNDS, BATCH, RATE, FIRST = 4, 2048, 0.15, 0.1
 #: Sums of weights are cut here, so that powers of e stay in range; the least bias.
@@ -55,7 +55,7 @@ BLOCK = 256
 #: Longer tokens are known by a digest, so that a list of tokens stays small.
 LONG_TOKEN = 64
 #: Packs that a task holds at once.
-PACKS_AT_ONCE = 4
+PACKS_AT_ONCE = 2
 #: The end of a text; white space, so no word is equal to it.
 END = b"\n"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -73,9 +73,15 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONG_TOKEN else b" " + hashlib.sha256(word).hexdigest().encode()
 
 
-def rest_class(key: bytes) -> int:
-    """The class of a token that isn't among the frequent ones."""
-    return zlib.crc32(key[-2:]) % REST
+#: The class of a token that isn't among the frequent ones, by its last two bytes as a number.
+_REST_OF_TAIL = np.array([zlib.crc32(k.to_bytes(2, "big")) % REST for k in range(1 << 16)], np.int64)
+#: The same in Spark.
+_REST_SQL = f"cast(crc32(lpad(substring(key, -2, 2), 2, X'00')) % {REST} as int)"
+
+
+def rest_classes(keys: list[bytes]) -> np.ndarray:
+    """The classes of tokens that aren't among the frequent ones."""
+    return _REST_OF_TAIL[np.frombuffer(b"".join([k[-2:] if len(k) > 1 else b"\0" + k for k in keys]), ">u2")]
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -151,11 +157,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     head = [] if least is None else sorted(((r["c"], bytes(r["key"])) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[0], x[1]))
     keys, c = [k for _, k in head], np.array([n for n, _ in head], np.int64)
     rest_total, rest_distinct = np.zeros(REST, np.int64), np.zeros(REST, np.int64)
-    for r in counts.groupBy((F.crc32(F.substring("key", -2, 2)) % REST).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.groupBy(F.expr(_REST_SQL).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         rest_total[r["k"]], rest_distinct[r["k"]] = r["n"], r["v"]
-    for k, n in zip(keys[: CLASSES * SIZE], c, strict=False):
-        rest_total[rest_class(k)] -= n
-        rest_distinct[rest_class(k)] -= 1
+    own = rest_classes(keys[: CLASSES * SIZE])
+    np.subtract.at(rest_total, own, c[: len(own)])
+    np.subtract.at(rest_distinct, own, 1)
     return Vocabulary(total["n"], total["v"], keys, c, rest_total, rest_distinct)
 
 
@@ -244,14 +250,14 @@ def contexts(known: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.arange(len(known)) - start
     known, before = known.astype(np.uint32), []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         x = np.empty(len(known), np.uint32)
         x[k:] = known[: len(known) - k]
         x[at < k] = CLASSES * SIZE + REST  # before the text
         before.append(x)
-    a, b, c = before
+    a, b = before
     five = np.uint32(5)
-    return np.stack([a * five + np.uint32(1), b * five + np.uint32(2), (a * np.uint32(8191) + b) * five + np.uint32(3), c * five + np.uint32(4)])
+    return np.stack([a * five + np.uint32(1), b * five + np.uint32(2), (a * np.uint32(8191) + b) * five + np.uint32(3)])
 
 
 def class_rows(f: np.ndarray) -> np.ndarray:
@@ -274,7 +280,7 @@ class Pack:
         if tail is not None:
             count[tail[0]] = tail[1]
         own = (ranks >= 0) & (ranks < v.own)
-        others = np.array([0 if o else rest_class(k) for k, o in zip(keys, own.tolist(), strict=True)], np.int64)
+        others = rest_classes(keys)
         ids = np.frombuffer(row["ids"], "<i4")
         self.sizes = np.array(row["sizes"], np.int64)
         self.count = count[ids]
@@ -325,13 +331,24 @@ def nets_of(tables: Tables) -> tuple[Softmax, Softmax]:
     return Softmax(tables.classes, tables.class_squares), Softmax(tables.words, tables.word_squares)
 
 
+def _slices(values: pa.Array) -> list[bytes]:
+    """The elements of a binary array, cut from its bytes at once."""
+    values = values.cast(pa.binary())
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if len(values) else b""
+    at = (at - at[:1]).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The packs of a batch; lists of numbers as arrays."""
     for i in range(batch.num_rows):
         row = {}
         for name, cell in zip(batch.schema.names, (c[i] for c in batch.columns), strict=True):
-            if name in ("keys", "ids", "pack"):
+            if name in ("ids", "pack"):
                 row[name] = cell.as_py()
+            elif name == "keys":
+                row[name] = _slices(cell.values)
             elif name == "doc_ids":
                 row[name] = cell.values  # ids may be null
             else:

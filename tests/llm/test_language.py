@@ -17,6 +17,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def class_of(key):
+    return int(L.rest_classes([key])[0])
+
+
 def tokens_of(text):
     return [*WORD.findall((text or "").translate(LOWER)), "\n"]
 
@@ -88,8 +92,8 @@ def small_model():
     rest = ranked[L.CLASSES * L.SIZE :]
     total, distinct = np.zeros(L.REST, int), np.zeros(L.REST, int)
     for w in rest:
-        total[L.rest_class(w)] += counts[number[w]]
-        distinct[L.rest_class(w)] += 1
+        total[class_of(w)] += counts[number[w]]
+        distinct[class_of(w)] += 1
     v = L.Vocabulary(len(ids), len(number), ranked, np.array([counts[number[w]] for w in ranked]), total, distinct)
     row = {"keys": list(number), "ids": np.array(ids, "<i4").tobytes(), "sizes": sizes}
     tables = L.Tables.of_counts(v)
@@ -105,13 +109,13 @@ def plain_scores(texts, v, tables):
     own = L.CLASSES * L.SIZE
     out = []
     for t in texts:
-        before = [own + L.REST] * 3
+        before = [own + L.REST] * 2
         for w in [*L.words(t.encode()), L.END]:
             r = rank[w]
-            known = r if r < own else own + L.rest_class(w)
-            cls = r // L.SIZE if r < own else L.CLASSES + L.rest_class(w)
-            a, b, c = before
-            f = [a * 5 + 1, b * 5 + 2, (a * 8191 + b) * 5 + 3, c * 5 + 4]
+            known = r if r < own else own + class_of(w)
+            cls = r // L.SIZE if r < own else L.CLASSES + class_of(w)
+            a, b = before
+            f = [a * 5 + 1, b * 5 + 2, (a * 8191 + b) * 5 + 3]
             z = tables.class_bias.astype(float) + sum(tables.classes[(x * 2654435761 % 2**32) >> (32 - L.CLASS_BITS)].astype(float) for x in f)
             p = z[cls] - np.log(np.exp(z).sum())
             if r < own:
@@ -119,9 +123,9 @@ def plain_scores(texts, v, tables):
                 p += z[r % L.SIZE] - np.log(np.exp(z).sum())
                 out.append(p / math.log(10))
             else:
-                k = L.rest_class(w)
+                k = class_of(w)
                 out.append(p / math.log(10) + math.log10((v.counts[r] + 1) / (v.rest_total[k] + v.rest_distinct[k] + 1)))
-            before = [known, a, b]
+            before = [known, a]
     return out
 
 
@@ -144,7 +148,7 @@ def test_all_tokens_share_one(few_classes):
     assert np.allclose((e / total[:, None]).sum(axis=1), 1, atol=1e-5)
     others = [(w, c) for w, c in zip(v.keys, v.counts, strict=True) if v.keys.index(w) >= v.own]
     for k in range(L.REST):
-        mine = [c for w, c in others if L.rest_class(w) == k]
+        mine = [c for w, c in others if class_of(w) == k]
         assert math.isclose(sum((c + 1) / (v.rest_total[k] + v.rest_distinct[k] + 1) for c in mine) + 1 / (v.rest_total[k] + v.rest_distinct[k] + 1), 1)
 
 
@@ -152,7 +156,7 @@ def test_gradient_step_equals_plain_one(few_classes):
     rng = np.random.default_rng(2)
     weights, squares = rng.normal(0, 0.1, (1 << 6, 8)).astype("f4"), np.full(1 << 6, L.FIRST, "f4")
     net = L.Softmax(weights.copy(), squares.copy())
-    rows, aim, bias = (rng.zipf(1.5, (4, 200)) % 64).astype(np.uint16), rng.integers(0, 8, 200), np.zeros(8, "f4")
+    rows, aim, bias = (rng.zipf(1.5, (L.FEATURES, 200)) % 64).astype(np.uint16), rng.integers(0, 8, 200), np.zeros(8, "f4")
     _, e, total = net.powers(bias, None, rows)
     net.learn(e, total, aim, rows)
     z = weights[rows].sum(axis=0).astype(float)
@@ -178,5 +182,5 @@ def test_classes_of_others_agree_with_the_counts(spark):
         L.CLASSES = kept
     total = Counter()
     for r in counts.collect():
-        total[L.rest_class(bytes(r["key"]))] += r["c"]
+        total[class_of(bytes(r["key"]))] += r["c"]
     assert [total[k] for k in range(L.REST)] == v.rest_total.tolist() and v.total == sum(total.values())
