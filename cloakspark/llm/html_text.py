@@ -35,8 +35,6 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 FAN = 32
 #: Nodes of a stream, and different slots of a page, beyond which they are generalised.
 LONG, MANY = 256, 200
-#: Pages from which a text that never varies, before or after all that varies in an article, is template.
-TEMPLATE_FROM = 8
 
 #: Elements whose content isn't markup or isn't shown.
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|title"
@@ -51,6 +49,10 @@ _NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header masthead footer "
     "comment comments disqus reply replies notice cookie cookies consent popup modal newsletter subscribe subscription share sharing social related recommended widget toolbar pagination pager login search".split()
 )
+#: Words that may stand beside such a word in a name inside an article: any other word there makes it a name of the article's own.
+_BESIDE = frozenset("area bar block box btn button buttons card col column container form group icon icons inline inner item items label link links list module outer panel row section signup slot strip thread tools top bottom left right unit wrap wrapper".split())
+#: Names that inside an article are its own.
+_OWN_INSIDE = frozenset("header masthead".split())
 _ARTICLE = frozenset(("article", "main"))
 _ARTICLE_WORDS = frozenset("article main content post entry story".split())
 _SPACE = re.compile(r"\s+")
@@ -63,21 +65,33 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].translate(_LOWER) if sep else ""
 
 
+def marked_never(names: list[str], inside: bool) -> bool:
+    """Whether names in class, id or role mark what isn't the article. Outside of an article any word of a name does; inside, all of its words must agree."""
+    for name in names:
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        never = [w for w in words if w in _NEVER_WORDS and not (inside and w in _OWN_INSIDE)]
+        if never and not (inside and any(w not in _NEVER_WORDS and w not in _BESIDE and not w.isdigit() for w in words)):
+            return True
+    return False
+
+
 class Element:
     """An open container: its key in paths, and whether it can hold the article."""
 
     __slots__ = ("key", "name", "never", "path", "within")
 
     def __init__(self, name: str, rest: str, parent: Element | None):
-        words: list[str] = []
+        names: list[str] = []
         if rest:
             for a in _ATTRIBUTE.finditer(rest):
-                words += re.split(r"[\s_-]+", (a[2] or a[3] or a[4] or "").lower())
+                names += (a[2] or a[3] or a[4] or "").lower().split()
+        words = [w for n in names for w in re.split(r"[_-]+", n)]
         self.name = name
         # marker words on the page's own roots tell of its layout; an article in an article may be a comment
         root = name in ("html", "body", "main") or (name == "article" and not (parent and parent.within))
-        self.within = bool(parent and parent.within) or name in _ARTICLE or not _ARTICLE_WORDS.isdisjoint(words)
-        self.never = bool(parent and parent.never) or name in _NEVER or (not root and not _NEVER_WORDS.isdisjoint(words)) or (name == "header" and not (parent and parent.within))
+        inside = bool(parent and parent.within)
+        self.within = inside or name in _ARTICLE or not _ARTICLE_WORDS.isdisjoint(words)
+        self.never = bool(parent and parent.never) or name in _NEVER or (not root and marked_never(names, inside)) or (name == "header" and not inside)
         marks = [w for w in words if w and not any(c.isdigit() for c in w)]
         self.key = ".".join([name, *marks[:3]])
         self.path = f"{parent.path}/{self.key}" if parent else self.key
@@ -292,24 +306,14 @@ class Matcher:
         return out
 
 
-def content_slots(found: list[tuple[int, str, int, bool, bool]]) -> list[int]:
-    """Numbers of the slots that hold article text. found: slot, container, pages with it, whether its text varies, whether it is marked as an article.
+def content_slots(found: list[tuple[int, set[int], bool, bool]]) -> list[int]:
+    """Numbers of the slots that hold article text. found: slot, the slots in the same element with it, whether its text varies, whether it is marked as an article.
 
-    Marked slots and others are judged by themselves, as a page without marks may stand beside pages with them. Where no
-    text varies, nothing tells template from content and all is content. Else a slot whose text never varies is template:
-    among marked ones if it stands before or after all that vary and is on TEMPLATE_FROM pages, among others unless slots of its own
-    container vary before and after it.
+    Marked slots are content, whatever the number of pages. Of the others a slot whose text never varies is template,
+    unless it stands in one element with a slot that varies; where none varies, nothing tells them apart and all are content.
     """
-    out: list[int] = []
-    for marked in (True, False):
-        own = [f for f in found if f[4] == marked]
-        varying = [(s, c) for s, c, _, varies, _ in own if varies]
-        for s, container, n, varies, _ in own:
-            sides = [v < s for v, c in varying if marked or c == container]
-            between = True in sides and False in sides
-            if varies or not varying or between or (marked and n < TEMPLATE_FROM):
-                out.append(s)
-    return sorted(out)
+    varying = {s for s, _, varies, marked in found if varies and not marked}
+    return sorted(s for s, near, varies, marked in found if marked or varies or not varying or not varying.isdisjoint(near))
 
 
 def usable_blocks(html: str) -> list:
@@ -355,7 +359,7 @@ def by_host(pages: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def slot_facts(pages: DataFrame) -> DataFrame:
-    """host, slot, container, n, low, high, marked: sums over all pages with blocks that match a slot. pages: host, html, wrapper."""
+    """host, slot, near (slots that stand in one element with it), n, low, high, marked: sums over all pages with blocks that match a slot. pages: host, html, wrapper."""
 
     def make():
         matchers: dict[str, Matcher] = {}
@@ -366,25 +370,30 @@ def slot_facts(pages: DataFrame) -> DataFrame:
                 blocks = usable_blocks(page or "")
                 matcher = matchers.get(wrapper) or matchers.setdefault(wrapper, Matcher(wrapper))
                 own: dict[int, list] = {}
+                inside: dict[int, set[int]] = defaultdict(set)
                 for (_, e, text), slot in zip(blocks, matcher(names_of(blocks)), strict=True):
                     if slot is not None:
-                        o = own.setdefault(slot, [e.path if e else "-", False, []])
+                        o = own.setdefault(slot, [set(), False, []])
                         o[1] = o[1] or bool(e and e.within)
                         o[2].append(text)
-                for slot, (container, within, texts) in own.items():  # of a repeated group all texts of a page are one
+                        if e:
+                            o[0].add(id(e))
+                            inside[id(e)].add(slot)
+                for slot, (elements, within, texts) in own.items():  # of a repeated group all texts of a page are one
                     h = xxhash.xxh64_intdigest("\n".join(texts)) >> 1
-                    f = facts.setdefault((host, slot), [container, 0, h, h, within])
+                    f = facts.setdefault((host, slot), [set(), 0, h, h, within])
+                    f[0].update(*(inside[e] for e in elements))
                     f[1], f[2], f[3], f[4] = f[1] + 1, min(f[2], h), max(f[3], h), f[4] or within
             if not facts:
                 return None
-            columns = zip(*[(*k, *v) for k, v in facts.items()], strict=True)
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "slot", "container", "n", "low", "high", "marked"])
+            columns = zip(*[(*k, sorted(v[0]), *v[1:]) for k, v in facts.items()], strict=True)
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "slot", "near", "n", "low", "high", "marked"])
 
         return each
 
-    facts = map_batches(pages.select("host", "html", "wrapper"), make, "host string, slot int, container string, n long, low long, high long, marked boolean")
-    return facts.groupBy("host", "slot").agg(F.min("container").alias("container"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("marked").alias("marked"))
+    facts = map_batches(pages.select("host", "html", "wrapper"), make, "host string, slot int, near array<int>, n long, low long, high long, marked boolean")
+    return facts.groupBy("host", "slot").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("marked").alias("marked"))
 
 
 def decided(facts: DataFrame) -> DataFrame:
@@ -392,7 +401,7 @@ def decided(facts: DataFrame) -> DataFrame:
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("slot")
-        found = [(int(s), c, int(n), bool(n == 1 or low != high), bool(m)) for s, c, n, low, high, m in rows[["slot", "container", "n", "low", "high", "marked"]].itertuples(index=False)]
+        found = [(int(s), set(near), bool(n == 1 or low != high), bool(m)) for s, near, n, low, high, m in rows[["slot", "near", "n", "low", "high", "marked"]].itertuples(index=False)]
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "content": [",".join(map(str, content_slots(found)))]})
 
     return facts.groupBy("host").applyInPandas(judge, "host string, content string")

@@ -32,11 +32,21 @@ def test_wrapper_tells_template_from_content_without_marks(spark):
     assert got == {k: f"intro {k}\nSummary\nend {k}" for k in range(5)}
 
 
-def test_template_at_the_rim_of_an_article(spark):
-    pages = [f"<body><article><div>Read this in our app</div><h1>Head {k}</h1><p>text {k}</p></article></body>" for k in range(9)]
-    assert texts(spark, pages) == {k: f"Head {k}\ntext {k}" for k in range(9)}
-    assert texts(spark, pages[:4])[0] == "Read this in our app\nHead 0\ntext 0"
-    assert texts(spark, [pages[0]] * 20)[0] == "Read this in our app\nHead 0\ntext 0"
+def test_an_article_keeps_what_never_varies_on_any_number_of_pages(spark):
+    page = "<body><article><h2>Introduction</h2><p>text {0}</p><p>more {0}</p><h3>Conclusion</h3><p>The end.</p></article></body>"
+    unmarked = "<body><div><h1>Release notes</h1><p>body {0}</p></div></body>"
+    for n in (1, 2, 7, 8, 100):
+        assert texts(spark, [page.format(k) for k in range(n)]) == {k: f"Introduction\ntext {k}\nmore {k}\nConclusion\nThe end." for k in range(n)}
+    for n in (1, 2, 8):
+        assert texts(spark, [unmarked.format(k) for k in range(n)]) == {k: f"Release notes\nbody {k}" for k in range(n)}
+
+
+def test_names_of_the_articles_own_parts(spark):
+    own = ["share-price-analysis", "content-header", "post-header", "login-guide", "header", "ad-hoc-report", "related-work", "search-results-2024 story"]
+    others = ["share", "share-buttons", "ad", "ad-slot-1", "comments", "comment-list", "newsletter-signup", "related_links", "cookie-notice"]
+    for inside in ("article", "main"):
+        pages = [f"<body><{inside}><p>text {k}</p><div class='{c}'><p>Body of the piece</p></div></{inside}></body>" for k, c in enumerate(own + others)]
+        assert texts(spark, pages) == {k: f"text {k}" + ("\nBody of the piece" if k < len(own) else "") for k in range(len(pages))}
 
 
 def test_another_wrapper_gives_another_text(spark):
