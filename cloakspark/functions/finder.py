@@ -15,7 +15,7 @@ import regex
 
 from cloakspark.functions.patterns import PLACEHOLDER
 
-_WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]")
+_WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]")
 _EDGE = regex.compile(r"[\p{L}\p{N}]")
 _HELD = regex.compile(PLACEHOLDER)
 
