@@ -43,11 +43,11 @@ def _open_before_token(text: Column) -> Column:
 
 
 def _replaced(open_: DataFrame, key: str, tokens: Column, known: DataFrame) -> DataFrame:
-    """key, found (array of token, text, in order, by place), depth, more, plain over the tokens of each row. known: as `expanded` gives it; unknown tokens stay."""
+    """key, found (array of token, text, in order, by place), own (map of token to text), deeper, left, sound over the tokens of each row. known: as `expanded` gives it; unknown tokens stay."""
     each = open_.select(key, F.posexplode(tokens).alias("at", "token")).join(known.withColumnRenamed("placeholder", "token"), "token", "left")
     one = F.struct("at", "token", F.coalesce("text", "token").alias("text"))
     return each.groupBy(key).agg(
-        F.array_sort(F.collect_list(one)).alias("found"), F.max(F.coalesce("depth", F.lit(0))).alias("deeper"), F.bool_or(F.coalesce("more", F.lit(False))).alias("left"), F.bool_and(F.coalesce("plain", F.lit(True))).alias("sound"),
+        F.array_sort(F.collect_list(one)).alias("found"), F.map_from_entries(F.collect_set(F.struct("token", F.coalesce("text", "token").alias("text")))).alias("own"), F.max(F.coalesce("depth", F.lit(0))).alias("deeper"), F.bool_or(F.coalesce("more", F.lit(False))).alias("left"), F.bool_and(F.coalesce("plain", F.lit(True))).alias("sound"),
     )
 
 
@@ -109,14 +109,14 @@ def _in_passes(rows: DataFrame, column: str, once, max_passes: int) -> DataFrame
 
 
 def _restored(df: DataFrame, id_col: str, column: str, mapping: DataFrame, max_passes: int, tokens, put, split_open) -> DataFrame:
-    """Of texts and payloads alike. tokens: column to array of its tokens; put: column and found to the new column; split_open: whether a token could arise across a gap."""
+    """Of texts and payloads alike. tokens: column to array of its tokens; put: column to the new column, with `found` and `own` at hand; split_open: whether a token could arise across a gap."""
     passes = max(1, max_passes)
     # a made-up key, as ids may repeat or be null; kept, so that it stays the same
     rows = checkpointed(df.select(id_col, column, F.monotonically_increasing_id().alias(ROW)).withColumn("__any", F.size(tokens(F.col(column))) > 0))
     some = rows.where("__any")
     known = expanded(mapping, passes)
     joined = some.join(_replaced(some, ROW, tokens(F.col(column)), known), ROW)
-    new = put(F.col(column), F.col("found"))
+    new = put(F.col(column))
     moved = (~new.eqNullSafe(F.col(column))).cast("int")
     sound = F.lit(True) if passes == 1 else F.col("sound") & ~F.col("left") & ~split_open(F.col(column))
     joined = joined.select(ROW, id_col, new.alias("new"), F.when(sound, F.greatest(moved, F.when(moved > 0, F.col("deeper")).otherwise(0)) if passes > 1 else moved).alias("passes"))
@@ -130,7 +130,7 @@ def _restored(df: DataFrame, id_col: str, column: str, mapping: DataFrame, max_p
 
     def once(left: DataFrame) -> DataFrame:
         found = _replaced(left, ROW, tokens(F.col(column)), plain)
-        return left.join(found.select(ROW, "found"), ROW, "left").withColumn("new", F.when(F.col("found").isNull(), F.col(column)).otherwise(put(F.col(column), F.col("found"))))
+        return left.join(found.select(ROW, "found", "own"), ROW, "left").withColumn("new", F.when(F.col("found").isNull(), F.col(column)).otherwise(put(F.col(column))))
 
     again = _in_passes(some.join(odd.select(ROW), ROW, "left_semi"), column, once, passes)
     return out.unionByName(again.join(some.select(ROW, id_col), ROW).select(id_col, column, "passes"))
@@ -143,14 +143,13 @@ def restored(df: DataFrame, id_col: str, text_col: str, mapping: DataFrame, max_
     pass counts for a row if it changed its text. mapping: placeholder, original_value. Spark picks the joins; texts
     without tokens take part in none.
     """
-    return _restored(df, id_col, text_col, mapping, max_passes, T.tokens_in, lambda t, found: _stitched(t, F.transform(found, lambda x: x["text"])), _open_before_token)
+    return _restored(df, id_col, text_col, mapping, max_passes, T.tokens_in, lambda t: _stitched(t, F.transform("found", lambda x: x["text"])), _open_before_token)
 
 
 def restored_json(df: DataFrame, id_col: str, json_col: str, mapping: DataFrame, max_passes: int = 5) -> DataFrame:
     """The same for JSON texts of any shape: known tokens in their string values are replaced; keys, numbers and structure stay."""
 
-    def put(json: Column, found: Column) -> Column:
-        own = F.map_from_entries(F.array_distinct(F.transform(found, lambda x: F.struct(x["token"], x["text"]))))
-        return F.when(json.isNotNull(), trees.mapped_values(json, lambda v: T.stitched(v, P.PLACEHOLDER, lambda t: F.coalesce(F.element_at(own, t), t))))
+    def put(json: Column) -> Column:
+        return F.when(json.isNotNull(), trees.mapped_values(json, lambda v: T.stitched(v, P.PLACEHOLDER, lambda t: F.coalesce(F.element_at("own", t), t))))
 
     return _restored(df, id_col, json_col, mapping, max_passes, trees.tokens_of, put, lambda json: F.exists(trees.string_values(json), _open_before_token))
