@@ -33,7 +33,7 @@ from (select c_custkey, (c_custkey - 1) % 30 as p, c_custkey - (c_custkey - 1) %
 def rehydrate_documents(spark, d):
     """Every document stands behind a token, whose value is its masked text: two passes or more for a text with values."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    trace = checkpointed(M.traced(docs, "doc_id", "text", RUN))
+    trace = checkpointed(M.traced(docs, "doc_id", "text", RUN, P.ASCII_TEXT_PATTERNS))
     name = F.concat(F.lit("<DOC_"), F.col("id").cast("string"), F.lit(">"))
     mapping = M.first_seen(M.found_of(trace, RUN)).unionByName(trace.select(name.alias("placeholder"), F.col("text").alias("original_value")))
     texts = trace.select(F.col("id").alias("doc_id"), F.concat(F.lit("see "), name, F.lit(" and <X_1>")).alias("text"))
