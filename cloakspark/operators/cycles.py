@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakspark.functions import text as T
-from cloakspark.sources.session import stored
+from cloakspark.sources import session
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table whose joins are merges: broadcasts of some MB each would add up in the driver over the rounds."""
+    return session.stored(df).hint("merge")
 
 
 def dependencies(mapping: DataFrame) -> DataFrame:
