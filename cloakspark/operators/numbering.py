@@ -71,6 +71,10 @@ class _Part:
         self.first, self.last = self.rows.column("g")[0].as_py(), self.rows.column("g")[self.n - 1].as_py()
 
 
+#: Rows of a partition that a task packs at once.
+ROWS_A_PART = 200_000
+
+
 def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records: int, max_characters: int = MAX_CHARACTERS) -> DataFrame:
     """group, order, batch: in each group records are packed in order; a batch closes when it is full or would grow too long.
 
@@ -78,12 +82,15 @@ def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records
     where the next one does, by a search in prefix sums; what a task has to know of the others is how many of its first
     rows belong to a batch that is open, and that is a table of max_records entries per partition, which the driver
     follows from partition to partition. A null size counts as 0, and null groups are one group; rows equal in group and
-    order come in order of size. A single record may be longer than max_characters.
+    order come in order of size. A single record may be longer than max_characters. A task holds its partition, so there
+    are as many partitions as `ROWS_A_PART` makes of the rows, or one for each core.
     """
     with_package(df.sparkSession)
     rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
     # equal rows are told apart, so that they are dealt over tasks as well
-    rows = checkpointed(rows.withColumn("t", F.monotonically_increasing_id()).orderBy("g", "o", "s", "t").drop("t"))
+    key, n_rows = ["g", "o", "s", "t"], df.count()
+    parts_ = max(1, -(-n_rows // ROWS_A_PART), min(n_rows, df.sparkSession.sparkContext.defaultParallelism))
+    rows = checkpointed(rows.withColumn("t", F.monotonically_increasing_id()).repartitionByRange(parts_, *key).sortWithinPartitions(*key).drop("t"))
     most, kinds = max(1, max_records), {f.name: f.dataType for f in rows.schema}
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
