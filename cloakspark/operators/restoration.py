@@ -112,14 +112,14 @@ def _restored(df: DataFrame, id_col: str, column: str, mapping: DataFrame, max_p
     """Of texts and payloads alike. tokens: column to array of its tokens; put: column to the new column, with `found` and `own` at hand; split_open: whether a token could arise across a gap."""
     passes = max(1, max_passes)
     # a made-up key, as ids may repeat or be null; kept, so that it stays the same
-    rows = checkpointed(df.select(id_col, column, F.monotonically_increasing_id().alias(ROW)).withColumn("__any", F.size(tokens(F.col(column))) > 0))
+    rows = checkpointed(df.select(id_col, column, F.monotonically_increasing_id().alias(ROW)).withColumn("__tokens", tokens(F.col(column))).withColumn("__any", F.size("__tokens") > 0))
     some = rows.where("__any")
     known = expanded(mapping, passes)
-    joined = some.join(_replaced(some, ROW, tokens(F.col(column)), known), ROW)
-    new = put(F.col(column))
-    moved = (~new.eqNullSafe(F.col(column))).cast("int")
+    joined = some.join(_replaced(some, ROW, F.col("__tokens"), known), ROW)
+    joined = joined.withColumn("new", put(F.col(column)))  # by itself, as it is mentioned several times
+    moved = (~F.col("new").eqNullSafe(F.col(column))).cast("int")
     sound = F.lit(True) if passes == 1 else F.col("sound") & ~F.col("left") & ~split_open(F.col(column))
-    joined = joined.select(ROW, id_col, new.alias("new"), F.when(sound, F.greatest(moved, F.when(moved > 0, F.col("deeper")).otherwise(0)) if passes > 1 else moved).alias("passes"))
+    joined = joined.select(ROW, id_col, "new", F.when(sound, F.greatest(moved, F.when(moved > 0, F.col("deeper")).otherwise(0)) if passes > 1 else moved).alias("passes"))
     joined = checkpointed(joined.withColumnRenamed("new", column))
     out = rows.where("not coalesce(__any, false)").select(id_col, column, F.lit(0).alias("passes"))
     odd = joined.where("passes is null")
@@ -150,6 +150,6 @@ def restored_json(df: DataFrame, id_col: str, json_col: str, mapping: DataFrame,
     """The same for JSON texts of any shape: known tokens in their string values are replaced; keys, numbers and structure stay."""
 
     def put(json: Column) -> Column:
-        return F.when(json.isNotNull(), trees.mapped_values(json, lambda v: T.stitched(v, P.PLACEHOLDER, lambda t: F.coalesce(F.element_at("own", t), t))))
+        return F.when(json.isNotNull(), trees.mapped_values(json, lambda v: T.stitched(v, P.PLACEHOLDER, lambda t: F.coalesce(F.element_at("own", t), t)), "<"))
 
-    return _restored(df, id_col, json_col, mapping, max_passes, trees.tokens_of, put, lambda json: F.exists(trees.string_values(json), _open_before_token))
+    return _restored(df, id_col, json_col, mapping, max_passes, trees.tokens_of, put, lambda json: F.exists(trees.string_values(json, "<"), _open_before_token))
