@@ -199,25 +199,29 @@ def credit_stats(profiles: DataFrame) -> DataFrame:
 
 def privacy_types(text: Column) -> Column:
     """Names of the privacy types of a record, in their fixed order."""
-    hits = [F.when(F.lit(False) | _any(text, ps), F.lit(name)) for name, _, ps in P.PRIVACY_TYPES]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return _named_types([_holds_type(text, T.plainly_lowered(text), name, ps) for name, _, ps in P.PRIVACY_TYPES])
 
 
-def _any(text: Column, ps: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in ps:
-        out = out | text.rlike(P.java(p, True))
-    return out
+def _holds_type(text: Column, low: Column, name: str, ps: tuple[str, ...]) -> Column:
+    """Whether a record is of a type, by one search for all its patterns; a text without any of the words that every match holds isn't searched."""
+    return T.may_hold(low, P.PRIVACY_NEEDS[name]) & text.rlike(P.java("(?:" + "|".join(ps) + ")", True))
+
+
+def _named_types(hits: list[Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for hit, (name, _, _) in zip(hits, P.PRIVACY_TYPES, strict=True)]))
 
 
 def privacy_risk(df: DataFrame, text_col: str) -> DataFrame:
     """The frame with types, calculation, score and risk of each record."""
-    weight = F.create_map(*[F.lit(x) for name, w, _ in P.PRIVACY_TYPES for x in (name, w)])
-    df = df.withColumn("types", privacy_types(F.col(text_col)))
-    df = df.withColumn("score", F.aggregate(F.transform("types", lambda t: weight[t]), F.lit(0), lambda a, b: a + b))
-    calculation = F.coalesce(F.nullif(F.array_join(F.transform("types", lambda t: weight[t].cast("string")), " + "), F.lit("")), F.lit("0"))
+    names = {f"__type_{k}": (name, ps) for k, (name, _, ps) in enumerate(P.PRIVACY_TYPES)}
+    df = df.withColumn("__low", T.plainly_lowered(F.col(text_col)))
+    df = df.withColumns({c: _holds_type(F.col(text_col), F.col("__low"), *t) for c, t in names.items()})
+    hits, weights = [F.col(c) for c in names], [w for _, w, _ in P.PRIVACY_TYPES]
+    score = sum((F.when(hit, w).otherwise(0) for hit, w in zip(hits, weights, strict=True)), F.lit(0))
+    calculation = F.concat_ws(" + ", *[F.when(hit, F.lit(str(w))) for hit, w in zip(hits, weights, strict=True)])
+    df = df.withColumns({"types": _named_types(hits), "score": score, "calculation": F.coalesce(F.nullif(calculation, F.lit("")), F.lit("0"))}).drop("__low", *names)
     risk = F.when(F.col("types") == F.array(F.lit("Medical Info")), "Medium").when(F.col("score") >= 8, "High").when(F.col("score") >= 4, "Medium").otherwise("Low")
-    return df.withColumns({"calculation": calculation, "risk": risk})
+    return df.withColumn("risk", risk)
 
 
 def record_fields(text: Column) -> dict[str, Column]:
