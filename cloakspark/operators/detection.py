@@ -149,12 +149,13 @@ def bisected(detector: Detector, rows: list[dict[str, Any]], task: str = TASK, *
             pending += [part[len(part) // 2 :], part[: len(part) // 2]]
 
 
-def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: Detector, task: str = TASK, split: bool = True, delay: float = 0.0) -> DataFrame:
+def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: Detector, task: str = TASK, split: bool = True, delay: float = 0.0, tasks: int | None = None) -> DataFrame:
     """batch, ord, category, value of all that the detector names; one call per batch of rows (a batch is at most the batch size).
 
     item: the row in the prompt, in order of the column `order`. A malformed reply splits the batch, or else is asked for
     again. A task waits `delay` seconds, and up to half a second more, between calls. The result is kept, so that a
-    detector is never called a second time for the same batch.
+    detector is never called a second time for the same batch. `tasks`, if given, deals the batches out over that many
+    tasks: by their few bytes they would be gathered in one.
     """
     kind = dict(rows.dtypes)[batch]
 
@@ -171,7 +172,8 @@ def detected(rows: DataFrame, batch: str, order: str, item: Column, detector: De
             yield pd.DataFrame(out, columns=["batch", "objects"])
 
     with_package(rows.sparkSession)
-    batches = rows.groupBy(F.col(batch).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.to_json(item).alias("j")))), lambda x: x["j"]).alias("rows"))
+    dealt = rows.repartition(tasks, batch) if tasks else rows
+    batches = dealt.groupBy(F.col(batch).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.to_json(item).alias("j")))), lambda x: x["j"]).alias("rows"))
     replies = checkpointed(batches.mapInPandas(ask, f"batch {kind}, objects array<string>"))
     return values_of_objects(replies, ["batch"], "objects").withColumnRenamed("batch", batch)
 
@@ -184,10 +186,19 @@ def numbered_batches(df: DataFrame, key: str, size: int) -> DataFrame:
 def packed_batches(df: DataFrame, group: str | None, key: str, text: str, size: int, characters: int) -> DataFrame:
     """The frame with `batch_id`: in each group (or all rows) records are packed in order of `key` until a batch is full or would grow too long."""
     by = F.lit("") if group is None else F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    rows = df.withColumn("__group", by)
-    batches = greedy_batches(rows.withColumn("__size", F.length(text)), "__group", key, "__size", size, characters)
-    named = batches.select(F.col("__group"), key, F.concat("batch", F.lit(" "), "__group").alias("batch_id"))
-    return rows.join(named, ["__group", key]).drop("__group")
+    sized, others = df.withColumns({"__group": by, "__size": F.length(text)}), [c for c in df.columns if c != key]
+    batches = greedy_batches(sized, "__group", key, "__size", size, characters, also=others)
+    return batches.select(key, *[f"`{c}`" for c in others], F.concat("batch", F.lit(" "), "__group").alias("batch_id"))
+
+
+#: Records that a task sends to the detector, and replaces values in.
+RECORDS_A_TASK = 10_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as the number of records asks for. df is kept."""
+    n = df.count()
+    return max(1, -(-n // RECORDS_A_TASK), min(n, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def two_phases(
@@ -204,11 +215,11 @@ def two_phases(
     keys, did = [k for k in (group, key) if k], applied or "__applied"
 
     def phase(df: DataFrame, task: str) -> DataFrame:
-        batched = checkpointed(packed_batches(df, group, key, text, config.batch_size, config.max_characters))
-        found = detected(batched, "batch_id", key, record_rows(key, text), detector, task, delay=config.delay_seconds)
-        return checkpointed(applied_detections(batched, found, "batch_id", text, run_id, P.TEXT_ALIASES, notes=False, applied=did).drop("batch_id"))
+        tasks, batched = tasks_for(df), checkpointed(packed_batches(df, group, key, text, config.batch_size, config.max_characters))
+        found = detected(batched, "batch_id", key, record_rows(key, text), detector, task, delay=config.delay_seconds, tasks=tasks)
+        return checkpointed(applied_detections(batched, found, "batch_id", text, run_id, P.TEXT_ALIASES, notes=False, applied=did, tasks=tasks).drop("batch_id"))
 
-    first = phase(rows, TASK)
+    first = phase(checkpointed(rows), TASK)  # packing reads the rows several times
     left = checkpointed(first.join(residual(first.drop(did)).select(*keys).distinct(), keys, "left_semi").drop(did))
     if not left.isEmpty():
         again = phase(left, RECOVERY_TASK).select(*keys, F.col(text).alias("__new"), F.col(did).alias("__more"))

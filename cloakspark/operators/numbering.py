@@ -6,7 +6,7 @@ what the tasks before it sum up to, a few numbers per partition that the driver
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -71,27 +71,28 @@ class _Part:
         self.first, self.last = self.rows.column("g")[0].as_py(), self.rows.column("g")[self.n - 1].as_py()
 
 
-#: Rows of a partition that a task packs at once.
+#: Rows of a partition that a task packs at once, and their sizes together where they carry further columns.
 ROWS_A_PART = 200_000
+SIZE_A_PART = 50_000_000
 
 
-def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records: int, max_characters: int = MAX_CHARACTERS) -> DataFrame:
-    """group, order, batch: in each group records are packed in order; a batch closes when it is full or would grow too long.
+def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records: int, max_characters: int = MAX_CHARACTERS, also: Sequence[str] = ()) -> DataFrame:
+    """group, order, batch, and the columns `also`: in each group records are packed in order; a batch closes when it is full or would grow too long.
 
     Rows are sorted over all tasks by group and order, so a group of any size is spread. Where a batch would start tells
     where the next one does, by a search in prefix sums; what a task has to know of the others is how many of its first
     rows belong to a batch that is open, and that is a table of max_records entries per partition, which the driver
     follows from partition to partition. A null size counts as 0, and null groups are one group; rows equal in group and
     order come in order of size. A single record may be longer than max_characters. A task holds its partition, so there
-    are as many partitions as `ROWS_A_PART` makes of the rows, or one for each core.
+    are as many partitions as `ROWS_A_PART` makes of the rows (with columns `also`, `SIZE_A_PART` of the sizes), or one for each core.
     """
     with_package(df.sparkSession)
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"), *[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(also)])
     # equal rows are told apart, so that they are dealt over tasks as well
-    key, n_rows = ["g", "o", "s", "t"], df.count()
-    parts_ = max(1, -(-n_rows // ROWS_A_PART), min(n_rows, df.sparkSession.sparkContext.defaultParallelism))
+    key, (n_rows, whole_size) = ["g", "o", "s", "t"], rows.agg(F.count("*"), F.sum("s")).first() if also else (df.count(), 0)
+    parts_ = max(1, -(-n_rows // ROWS_A_PART), -(-(whole_size or 0) // SIZE_A_PART), min(n_rows, df.sparkSession.sparkContext.defaultParallelism))
     rows = checkpointed(rows.withColumn("t", F.monotonically_increasing_id()).repartitionByRange(parts_, *key).sortWithinPartitions(*key).drop("t"))
-    most, kinds = max(1, max_records), {f.name: f.dataType for f in rows.schema}
+    most, kinds, sizes_only = max(1, max_records), {f.name: f.dataType for f in rows.schema}, rows.select("g", "o", "s")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _Part(batches)
@@ -99,7 +100,7 @@ def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "n": p.n, "lead": p.lead, "whole": len(p.runs) == 2, "first": p.first, "last": p.last, "sizes": p.sizes[: min(most, p.lead)].tolist()}], schema=None)
 
     head_kind = K.StructType([K.StructField("part", K.LongType()), K.StructField("n", K.LongType()), K.StructField("lead", K.LongType()), K.StructField("whole", K.BooleanType()), K.StructField("first", kinds["g"]), K.StructField("last", kinds["g"]), K.StructField("sizes", K.ArrayType(K.LongType()))])
-    parts = sorted((r.asDict() for r in rows.mapInArrow(_typed(heads, head_kind), head_kind).collect()), key=lambda r: r["part"])
+    parts = sorted((r.asDict() for r in sizes_only.mapInArrow(_typed(heads, head_kind), head_kind).collect()), key=lambda r: r["part"])
     for here, then in zip(parts, [*parts[1:], None][: len(parts)], strict=True):
         here["goes_on"] = then is not None and then["first"] == here["last"]
     ahead: dict[int, list[int]] = {}
@@ -128,7 +129,7 @@ def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records
             yield pa.RecordBatch.from_pylist([{"part": part, "leaves": [x for x, _ in table], "starts": [x for _, x in table]}])
 
     exit_kind = K.StructType([K.StructField("part", K.LongType()), K.StructField("leaves", K.ArrayType(K.LongType())), K.StructField("starts", K.ArrayType(K.LongType()))])
-    tables = {r["part"]: r for r in rows.mapInArrow(_typed(exits, exit_kind), exit_kind).collect()}
+    tables = {r["part"]: r for r in sizes_only.mapInArrow(_typed(exits, exit_kind), exit_kind).collect()}
     entry: dict[int, tuple[int, int]] = {}
     open_, begun, before = 0, 0, None
     for here in parts:
@@ -159,8 +160,8 @@ def greedy_batches(df: DataFrame, group: str, order: str, size: str, max_records
         t = p.rows.drop_columns(["s"]).append_column("batch", pa.array(out, pa.int32()))
         yield from t.to_batches()
 
-    done = K.StructType([K.StructField("g", kinds["g"]), K.StructField("o", kinds["o"]), K.StructField("batch", K.IntegerType())])
-    return rows.mapInArrow(walk, done).select(F.col("g").alias(group), F.col("o").alias(order), "batch")
+    done = K.StructType([K.StructField("g", kinds["g"]), K.StructField("o", kinds["o"]), *[K.StructField(f"a{i}", kinds[f"a{i}"]) for i in range(len(also))], K.StructField("batch", K.IntegerType())])
+    return rows.mapInArrow(walk, done).select(F.col("g").alias(group), F.col("o").alias(order), "batch", *[F.col(f"a{i}").alias(c) for i, c in enumerate(also)])
 
 
 def _typed(make, kind: K.StructType):
